@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exactdedup, packing, tokencount, topk
+from . import bytebpe, exactdedup, langid, packing, quality, tokencount, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo ``n``; it deals rows into folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = _remainder(4).eqNullSafe(F.lit(2))
+    return langid.identify(docs, langid.train(docs, ~out), extra={"held_out": out})
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -26,6 +37,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokencount.default_path("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    return rows.select("doc_id", _remainder(5).eqNullSafe(F.lit(0)).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +53,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_topk, op3_token_counts, op4_best_fit_packing, op8_exact_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_token_counts, op4_best_fit_packing, op5_quality, op8_exact_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
