@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exactdedup, langid, neardup, packing, quality, tokencount, topk
+from . import bytebpe, exactdedup, langid, licenses, neardup, packing, quality, tokencount, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarised(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_token_counts, op4_best_fit_packing, op5_quality, op6_minhash_near_dedup, op8_exact_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_token_counts, op4_best_fit_packing, op5_quality, op6_minhash_near_dedup, op7_license_scan, op8_exact_dedup, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
