@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, exactdedup, langid, licenses, neardup, packing, quality, tokencount, topk
+from . import bytebpe, exactdedup, langid, licenses, neardup, packing, quality, suffixdedup, tokencount, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_documents(_table(spark, sf_dir, "documents"), tokencount.default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_token_counts, op4_best_fit_packing, op5_quality, op6_minhash_near_dedup, op7_license_scan, op8_exact_dedup, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_topk, op3_token_counts, op4_best_fit_packing, op5_quality, op6_minhash_near_dedup, op7_license_scan, op8_exact_dedup, op9_byte_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
