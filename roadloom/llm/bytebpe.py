@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import written
+from .textkit import written_in_buckets
 
 #: Text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -49,7 +49,7 @@ def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
 
     raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
     head = np.array([len(r) for r in raw], "<u8").tobytes()
-    return zstandard.ZstdCompressor(3).compress(np.array([len(raw)], "<u8").tobytes() + head + b"".join(raw))
+    return zstandard.ZstdCompressor(9).compress(np.array([len(raw)], "<u8").tobytes() + head + b"".join(raw))
 
 
 def _expand(payload: bytes) -> list[bytes]:
@@ -71,7 +71,7 @@ def _block_rows(block: int, ids: list, texts: list[str], words_in, buckets: int)
     count: Counter[str] = Counter()
     for w in found:
         count.update(w)
-    words = [w for w, _ in count.most_common()]
+    words = sorted(count, key=lambda w: (-count[w], w))  # the many rare ones stand in alphabetical order, which compresses
     place = dict(zip(words, range(len(words)), strict=True)).__getitem__
     sequence = np.fromiter((place(w) for f in found for w in f), np.uint32, sum(map(len, found)))
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -92,7 +92,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     of a hash bucket encodes each distinct word of the whole corpus once; the ids go back
     to the blocks, where they are put in order by position, and the token-byte table turns
     them into bytes again. A very frequent word is one entry for each block, however often
-    it occurs. Null texts count as empty (no tokens); null ids and repeated rows stay as
+    it occurs. The blocks are written once, laid out by block, so that only distinct words
+    and their ids are shuffled. Null texts count as empty (no tokens); null ids and repeated rows stay as
     they are; an empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType
@@ -129,7 +130,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 
     import pyarrow.compute  # noqa: F401
 
-    parts = written(rows.mapInArrow(blocks, f"{_T1}, ids array<{id_type}>"))
+    parts = written_in_buckets(rows.mapInArrow(blocks, f"{_T1}, ids array<{id_type}>"), "block", buckets)
 
     def encode(table: pa.Table) -> pa.Table:
         """The ids of each distinct word of a bucket, once; then of the words of each block, in their order."""

@@ -117,3 +117,18 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``written``, laid out by a hash of ``key``, so that grouping by it needs no shuffle of this side.
+
+    There are at least as many buckets as shuffle partitions; with fewer, Spark would
+    shuffle this side after all.
+    """
+    spark = df.sparkSession
+    name = f"stage_{uuid.uuid4().hex}"
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    return table
