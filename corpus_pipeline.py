@@ -1,18 +1,90 @@
-"""Corpus pipeline: quality filter, exact dedup, near-dedup, repeated-passage removal, packing."""
+"""Corpus pipeline over ``documents``: quality filter, exact dedup, near-dedup, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), reads ``docs`` with the columns of ``documents`` and
+returns a DataFrame; all but the last return these columns again. Stages call the operators
+of ``roadloom.llm`` with their production parameters on every row.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.llm import exactdedup, neardup, packing, quality, suffixdedup, textkit, tokencount
+
+#: Documents that score below it are rejected.
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from all ``labels``, does not reject."""
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=QUALITY_THRESHOLD)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each text, white space aside."""
+    return exactdedup.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.drop_near_copies(docs)
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has too; ``n_chars`` is counted anew.
+
+    No document is dropped; one that consists of such passages is left with an empty text.
+    A text that stays as it was, null included, is not changed.
+    """
+    left = suffixdedup.repeated_bytes(docs, with_spans=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
+    rows = docs.join(left, F.col("doc_id") == F.col("_id"), "left")
+    changed = F.col("_id").isNotNull()
+    return rows.select(
+        *[
+            F.when(changed, F.col("_text")).otherwise(F.col("text")).alias("text") if c == "text"
+            else F.when(changed, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
+            else docs[c]
+            for c in docs.columns
+        ]
+    )
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokencount.default_path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("best-fit packing", pack),
+]
+
+#: The classifier, the signatures and the packing have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = f"{textkit.shared_dir(spark)}-{uuid.uuid4().hex[:8]}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

@@ -223,6 +223,29 @@ def scored(stats: DataFrame, model: QualityModel, *, threshold: float = 0.3) ->
     return stats.mapInArrow(predict, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def score_column(model: QualityModel, text: Column) -> Column:
+    """The score of a text column in place, for filters that should move nothing."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        parts = [model.score(statistics(values[a:b])) for a, b in byte_runs((len(t or "") for t in values))]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return score(F.coalesce(text, F.lit("")))
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score, learned from all ``labels``, reaches ``threshold``.
+
+    Every row is judged by its text alone, so null ids and repeated rows need no care. The
+    texts are measured twice, once to learn and once to filter, and never shuffled.
+    """
+    model = fit(written(text_statistics(docs, id_col=id_col, text_col=text_col)), labels, id_col=id_col, label_col=label_col)
+    return docs.where(score_column(model, F.col(text_col)) >= threshold)
+
+
 def classify(docs: DataFrame, labels: DataFrame, trained: Column, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(doc_id, score, predicted) of every row of ``docs``, learned from the labels where ``trained`` (a condition on their id) holds.
 
