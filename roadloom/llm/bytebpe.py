@@ -43,13 +43,13 @@ def _encoding(path: str, pattern: str):
     return _LOADED[path, pattern]
 
 
-def _squeeze(*arrays: np.ndarray | bytes) -> bytes:
+def _squeeze(*arrays: np.ndarray | bytes, level: int = 3) -> bytes:
     """Arrays of unsigned 32-bit integers (bytes of equal rank together, so they compress) or bytes, each with its size."""
     import zstandard
 
     raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
     head = np.array([len(r) for r in raw], "<u8").tobytes()
-    return zstandard.ZstdCompressor(9).compress(np.array([len(raw)], "<u8").tobytes() + head + b"".join(raw))
+    return zstandard.ZstdCompressor(level).compress(np.array([len(raw)], "<u8").tobytes() + head + b"".join(raw))
 
 
 def _expand(payload: bytes) -> list[bytes]:
@@ -81,7 +81,7 @@ def _block_rows(block: int, ids: list, texts: list[str], words_in, buckets: int)
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         own = [raw[i] for i in order[edges[b] : edges[b + 1]].tolist()]
-        yield 1, block, b, _squeeze(np.array([len(w) for w in own], np.uint32), b"".join(own)), None
+        yield 1, block, b, _squeeze(np.array([len(w) for w in own], np.uint32), b"".join(own), level=9), None
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

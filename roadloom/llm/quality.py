@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -225,8 +226,6 @@ def scored(stats: DataFrame, model: QualityModel, *, threshold: float = 0.3) ->
 
 def score_column(model: QualityModel, text: Column) -> Column:
     """The score of a text column in place, for filters that should move nothing."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         values = texts.tolist()
