@@ -1,15 +1,612 @@
-"""All queries of the map engine by name."""
+"""All queries of the map engine by name, over the derived test map, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geodesy as g
+from ..functions import planar as p
+from ..operators import graph, matching, measures, spatial, topology, trajectory
+from ..sources import geojson
+from .testmap import TestMap, ctes, num
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[TestMap], DataFrame]], Query]:
+    """Registers a function of the test map, and what must give the same rows over its common table expressions."""
+
+    def register(make: Callable[[TestMap], DataFrame]) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return make(TestMap(spark, sf_dir))
+
+        run.__name__, run.__doc__ = make.__name__, make.__doc__
+        _QUERIES[make.__name__] = run
+        if sql is not None:
+            _SQL[make.__name__] = sql
+        return run
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL fragments ----------------------------------------------------------------------------------
+
+R = num(g.RADIUS_M)
+
+
+def hav(x1: str, y1: str, x2: str, y2: str) -> str:
+    return f"(2 * {R} * asin(least({num(1)}, sqrt(power(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * power(sin(radians({x2} - {x1}) / 2), 2)))))"
+
+
+def bear(x1: str, y1: str, x2: str, y2: str) -> str:
+    d = f"radians({x2} - {x1})"
+    return f"degrees(atan2(sin({d}) * cos(radians({y2})), cos(radians({y1})) * sin(radians({y2})) - sin(radians({y1})) * cos(radians({y2})) * cos({d})))"
+
+
+def wrapped(angle: str) -> str:
+    return f"(({angle} + 360) - 360 * floor(({angle} + 360) / 360))"
+
+
+def angle_diff(a: str, b: str) -> str:
+    return f"abs(({a} - {b} + 180) - 360 * floor(({a} - {b} + 180) / 360) - 180)"
+
+
+#: For each point and segment the distance to the segment, on the plane at the point.
+FEET = f"""
+legs AS (
+  SELECT q.trajectory_id, q.point_index, q.lon, q.lat, s.id, s.seg,
+         radians(s.x1 - q.lon) * {R} * cos(radians(q.lat)) AS ax, radians(s.y1 - q.lat) * {R} AS ay,
+         radians(s.x2 - s.x1) * {R} * cos(radians(q.lat)) AS dx, radians(s.y2 - s.y1) * {R} AS dy
+  FROM points q, segments s),
+feet AS (
+  SELECT trajectory_id, point_index, id AS road_id, min(sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2))) AS distance
+  FROM (SELECT *, greatest({num(0)}, least({num(1)}, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM legs)
+  GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trajectory_id, point_index ORDER BY round(distance, 6), road_id) AS cand_rank FROM feet)"""
+
+LENGTHS = f"""
+lengths AS (
+  SELECT id, sum({hav("x1", "y1", "x2", "y2")}) AS length FROM segments GROUP BY id),
+measured AS (SELECT r.*, l.length, l.length / (greatest(r.speed_limit, 1) * 1000 / 3600) AS travel_time FROM roads r JOIN lengths l USING (id)),
+arcs AS (
+  SELECT id AS edge_id, from_node, to_node, length, travel_time, road_class, x1, y1, x2, y2 FROM measured
+  UNION ALL SELECT id, to_node, from_node, length, travel_time, road_class, x2, y2, x1, y1 FROM measured WHERE NOT oneway)"""
+
+INSIDE = """
+held AS (
+  SELECT q.*, f.id AS fence_id,
+    CASE WHEN box THEN abs(lon - cx) <= w AND abs(lat - cy) <= h ELSE abs(lon - cx) / w + abs(lat - cy) / h <= 1 END
+    AND NOT (hole AND CASE WHEN box THEN abs(lon - cx) < w / 4 AND abs(lat - cy) < h / 4 ELSE abs(lon - cx) / w + abs(lat - cy) / h < 0.25 END) AS inside
+  FROM {rows} q, fences f)"""
+
+RINGS = """
+corners AS (
+  SELECT id, k, 0 AS ring, i, cx + (CASE WHEN box THEN bx ELSE dx END) * w AS x, cy + (CASE WHEN box THEN by_ ELSE dy END) * h AS y
+  FROM fences, (VALUES (0, -1, -1, -1, 0), (1, 1, -1, 0, -1), (2, 1, 1, 1, 0), (3, -1, 1, 0, 1), (4, -1, -1, -1, 0)) v(i, bx, by_, dx, dy)),
+sides AS (SELECT a.id AS fence_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corners a JOIN corners b ON a.id = b.id AND b.i = a.i + 1)"""
+
+
+def side_of(a: str, b: str, c: str) -> str:
+    """Orientation of three points given as prefixes of columns x and y, as in ``planar.orientation``."""
+    (ax, ay), (bx, by), (cx, cy) = a.split(), b.split(), c.split()
+    v = f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+    s = f"power(greatest(abs({bx} - {ax}), abs({by} - {ay}), abs({cx} - {ax}), abs({cy} - {ay}), 1), 2)"
+    return f"(CASE WHEN abs({v}) <= 1e-12 * {s} THEN 0 WHEN {v} > 0 THEN 1 ELSE -1 END)"
+
+
+def cross_of(a: str, b: str) -> str:
+    """Whether segments with prefixes a and b cross as ``planar.segment_intersection`` tests first."""
+    p1, p2, q1, q2 = f"{a}.x1 {a}.y1", f"{a}.x2 {a}.y2", f"{b}.x1 {b}.y1", f"{b}.x2 {b}.y2"
+    return f"({side_of(p1, p2, q1)} <> {side_of(p1, p2, q2)} AND {side_of(q1, q2, p1)} <> {side_of(q1, q2, p2)})"
+
+
+def with_map(tail: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([ctes(), *more]) + "\n" + tail
+
+
+BOX = (116.0351, 39.0049, 116.0949, 39.0251)
+
+# Nearest neighbours -----------------------------------------------------------------------------
+
+
+@query(with_map("SELECT trajectory_id, point_index, CAST(cand_rank AS BIGINT) AS cand_rank, road_id, round(distance, 3) AS distance FROM ranked WHERE cand_rank <= 5", FEET))
+def nearby_roads_topk(m: TestMap) -> DataFrame:
+    """The five nearest roads of every point."""
+    rows = spatial.nearby_roads(m.points, m.roads, ["trajectory_id", "point_index"], 5)
+    return rows.select("trajectory_id", "point_index", F.col("cand_rank").cast("long").alias("cand_rank"), "road_id", F.round("distance", 3).alias("distance"))
+
+
+@query(
+    with_map(
+        f"""SELECT trajectory_id, point_index, node_id, round(distance, 3) AS distance FROM (
+  SELECT q.trajectory_id, q.point_index, n.id AS node_id, {hav("q.lon", "q.lat", "n.lon", "n.lat")} AS distance,
+         row_number() OVER (PARTITION BY q.trajectory_id, q.point_index ORDER BY round(power((q.lon - n.lon) * cos(radians((q.lat + n.lat) / 2)), 2) + power(q.lat - n.lat, 2), 18), n.id) AS rn
+  FROM points q, nodes n) WHERE rn = 1"""
+    )
+)
+def nearest_node(m: TestMap) -> DataFrame:
+    rows = spatial.nearest_node(m.points, m.nodes, ["trajectory_id", "point_index"])
+    return rows.select("trajectory_id", "point_index", "node_id", F.round("distance", 3).alias("distance"))
+
+
+@query(with_map("SELECT trajectory_id, point_index, road_id, round(distance, 3) AS distance FROM ranked WHERE cand_rank = 1", FEET))
+def match_nearest(m: TestMap) -> DataFrame:
+    return matching.match_nearest(m.points, m.roads).select("trajectory_id", "point_index", "road_id", F.round("distance", 3).alias("distance"))
+
+
+@query(
+    with_map(
+        """SELECT trajectory_id, array_to_string(list(road_id ORDER BY point_index), ',') AS roads
+FROM (SELECT *, lag(road_id) OVER (PARTITION BY trajectory_id ORDER BY point_index) AS before FROM ranked WHERE cand_rank = 1)
+WHERE before IS NULL OR before <> road_id GROUP BY trajectory_id""",
+        FEET,
+    )
+)
+def match_nearest_sequence(m: TestMap) -> DataFrame:
+    rows = matching.matched_sequences(matching.match_nearest(m.points, m.roads))
+    return rows.select("trajectory_id", F.array_join("matched_road_sequence", ",").alias("roads"))
+
+
+@query(with_map("SELECT trajectory_id, round(1 / (1 + avg(distance) / 25), 3) AS confidence FROM ranked WHERE cand_rank = 1 GROUP BY trajectory_id", FEET))
+def match_confidence(m: TestMap) -> DataFrame:
+    return matching.matched_sequences(matching.match_nearest(m.points, m.roads)).select("trajectory_id", "confidence")
+
+
+# Trajectories -----------------------------------------------------------------------------------
+
+_STEPS = f"""
+steps AS (
+  SELECT *, coalesce({hav("plon", "plat", "lon", "lat")}, 0) AS step_m, {bear("lon", "lat", "nlon", "nlat")} AS ahead, {bear("plon", "plat", "lon", "lat")} AS back,
+         {hav("lon", "lat", "nlon", "nlat")} AS next_m, {hav("plon", "plat", "nlon", "nlat")} AS by_m
+  FROM (SELECT *, lag(lon) OVER t AS plon, lag(lat) OVER t AS plat, lead(lon) OVER t AS nlon, lead(lat) OVER t AS nlat FROM points WINDOW t AS (PARTITION BY trajectory_id ORDER BY point_index)))"""
+
+
+@query(with_map("SELECT trajectory_id, point_index, round(step_m, 3) AS step_m FROM steps", _STEPS))
+def haversine_step_distance(m: TestMap) -> DataFrame:
+    return trajectory.step_distances(m.points).select("trajectory_id", "point_index", F.round("step_m", 3).alias("step_m"))
+
+
+@query(with_map(f"SELECT trajectory_id, point_index, round({wrapped('coalesce(ahead, back)')}, 5) AS heading FROM steps", _STEPS))
+def gps_heading(m: TestMap) -> DataFrame:
+    return trajectory.headings(m.points).select("trajectory_id", "point_index", F.round("heading", 5).alias("heading"))
+
+
+@query(with_map("SELECT trajectory_id, count(*) AS point_count, round(sum(step_m), 3) AS length_m FROM steps GROUP BY trajectory_id", _STEPS))
+def trajectory_length(m: TestMap) -> DataFrame:
+    return trajectory.lengths(m.points).select("trajectory_id", "point_count", F.round("length_m", 3).alias("length_m"))
+
+
+_SPIKES = "SELECT trajectory_id, point_index FROM steps WHERE step_m > 220 AND next_m > 220 AND by_m < 220 AND plon IS NOT NULL AND nlon IS NOT NULL"
+
+
+@query(with_map(_SPIKES, _STEPS))
+def outliers(m: TestMap) -> DataFrame:
+    return trajectory.outliers(m.points, 220.0)
+
+
+_CHORD = f"""
+chords AS (
+  SELECT trajectory_id, arg_min(lon, point_index) AS x1, arg_min(lat, point_index) AS y1, arg_max(lon, point_index) AS x2, arg_max(lat, point_index) AS y2 FROM points GROUP BY trajectory_id),
+away AS (
+  SELECT trajectory_id, point_index, sqrt(power(ax + t * dx, 2) + power(ay + t * dy, 2)) AS d FROM (
+    SELECT *, CASE WHEN dx * dx + dy * dy <= 1e-18 THEN 0 ELSE greatest({num(0)}, least({num(1)}, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) END AS t FROM (
+      SELECT q.trajectory_id, q.point_index, radians(c.x1 - q.lon) * {R} * cos(radians(q.lat)) AS ax, radians(c.y1 - q.lat) * {R} AS ay,
+             radians(c.x2 - c.x1) * {R} * cos(radians(q.lat)) AS dx, radians(c.y2 - c.y1) * {R} AS dy
+      FROM points q JOIN chords c USING (trajectory_id))))"""
+
+
+def _chords(m: TestMap) -> DataFrame:
+    end = lambda f: f(F.struct("lon", "lat"), "point_index")
+    return m.points.groupBy("trajectory_id").agg(F.array(end(F.min_by), end(F.max_by)).alias("line"))
+
+
+@query(with_map("SELECT trajectory_id, point_index, round(d, 3) AS deviation_m FROM away", _CHORD))
+def point_to_polyline(m: TestMap) -> DataFrame:
+    """The distance of each point from the chord of its trajectory."""
+    return trajectory.deviations(m.points, _chords(m)).select("trajectory_id", "point_index", F.round("deviation_m", 3).alias("deviation_m"))
+
+
+@query(with_map("SELECT trajectory_id, round(max(d), 3) AS max_m, round(avg(d), 3) AS mean_m, count(*) FILTER (d > 77.7) AS n_far, array_to_string(list(point_index ORDER BY point_index) FILTER (d > 77.7), ',') AS far FROM away GROUP BY trajectory_id", _CHORD))
+def deviation_stats(m: TestMap) -> DataFrame:
+    rows = trajectory.deviation_stats(m.points, _chords(m), 77.7)
+    far = F.col("exceeds_threshold")
+    return rows.select("trajectory_id", F.round("max_m", 3).alias("max_m"), F.round("mean_m", 3).alias("mean_m"), F.size(far).cast("long").alias("n_far"), F.when(F.size(far) > 0, F.array_join(far, ",")).alias("far"))
+
+
+@query(
+    with_map(
+        f"""SELECT a, b, round(max(m), 3) AS hausdorff_m FROM (
+  SELECT a, b, min(d) AS m FROM d GROUP BY a, b, i UNION ALL SELECT a, b, min(d) FROM d GROUP BY a, b, j) GROUP BY a, b""",
+        f"""d AS (SELECT p.trajectory_id AS a, q.trajectory_id AS b, p.point_index AS i, q.point_index AS j, {hav("p.lon", "p.lat", "q.lon", "q.lat")} AS d FROM points p JOIN points q ON q.trajectory_id = p.trajectory_id + 1)""",
+    )
+)
+def hausdorff(m: TestMap) -> DataFrame:
+    """Each trajectory against the one with the next id."""
+    rows = trajectory.hausdorff(m.points, m.points, _neighbours(m))
+    return rows.select("a", "b", F.round("hausdorff_m", 3).alias("hausdorff_m"))
+
+
+def _neighbours(m: TestMap) -> DataFrame:
+    ids = m.points.select(F.col("trajectory_id").alias("a")).distinct()
+    return ids.select("a", (F.col("a") + 1).alias("b")).join(ids.withColumnRenamed("a", "b"), "b", "left_semi")
+
+
+@query()
+def dtw_frechet(m: TestMap) -> DataFrame:
+    rows = trajectory.similarity(m.points, _neighbours(m))
+    return rows.select("a", "b", F.round("dtw_m", 3).alias("dtw_m"), F.round("frechet_m", 3).alias("frechet_m"))
+
+
+@query()
+def rdp_simplify(m: TestMap) -> DataFrame:
+    return trajectory.simplified(m.points, 60.0).select("trajectory_id", "point_index")
+
+
+@query()
+def trajectory_analyze(m: TestMap) -> DataFrame:
+    return trajectory.analyse(m.points)
+
+
+@query()
+def convex_hull(m: TestMap) -> DataFrame:
+    return trajectory.convex_hulls(m.points, "trajectory_id")
+
+
+# Boxes ------------------------------------------------------------------------------------------
+
+_BOXES = "boxes AS (SELECT id, min(least(x1, x2)) AS min_lon, min(least(y1, y2)) AS min_lat, max(greatest(x1, x2)) AS max_lon, max(greatest(y1, y2)) AS max_lat FROM segments GROUP BY id)"
+_R7 = ", ".join(f"round({c}, 7) AS {c}" for c in spatial.BOX)
+
+
+@query(with_map(f"SELECT id, {_R7} FROM boxes", _BOXES))
+def road_bbox(m: TestMap) -> DataFrame:
+    return m.roads.select("id", *[F.round(c, 7).alias(c) for c in spatial.BOX])
+
+
+@query(with_map("SELECT round(min(min_lon), 7) AS min_lon, round(min(min_lat), 7) AS min_lat, round(max(max_lon), 7) AS max_lon, round(max(max_lat), 7) AS max_lat FROM boxes", _BOXES))
+def dataset_bounds(m: TestMap) -> DataFrame:
+    return spatial.bounds(m.roads).select(*[F.round(c, 7).alias(c) for c in spatial.BOX])
+
+
+@query(with_map(" UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n FROM {n}" for n in ("nodes", "roads", "points", "fences", "pois"))))
+def layer_counts(m: TestMap) -> DataFrame:
+    parts = [getattr(m, n).agg(F.lit(n).alias("layer"), F.count(F.lit(1)).alias("n")) for n in ("nodes", "roads", "points", "fences", "pois")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_DY = f"(250 / {num(g.METRES_PER_DEGREE)})"
+_DX = f"(250 / ({num(g.METRES_PER_DEGREE)} * greatest({num(0.1)}, abs(cos(radians((min_lat + max_lat) / 2))))))"
+
+
+@query(with_map(f"SELECT id, round(min_lon - {_DX}, 7) AS min_lon, round(min_lat - {_DY}, 7) AS min_lat, round(max_lon + {_DX}, 7) AS max_lon, round(max_lat + {_DY}, 7) AS max_lat FROM boxes", _BOXES))
+def bbox_expand(m: TestMap) -> DataFrame:
+    wide = g.expand_bbox(*[F.col(c) for c in spatial.BOX], 250.0)
+    return m.roads.withColumn("_w", wide).select("id", *[F.round(f"_w.{c}", 7).alias(c) for c in spatial.BOX])
+
+
+_CX = f"degrees(40 / ({R} * greatest(cos(radians((min_lat + max_lat) / 2)), 1e-12)))"
+
+
+@query(with_map(f"SELECT id, round(min_lon - {_CX}, 7) AS west, round(min_lat - degrees(40 / {R}), 7) AS south, round(max_lon + {_CX}, 7) AS east, round(max_lat + degrees(40 / {R}), 7) AS north FROM boxes", _BOXES))
+def corridor_bbox(m: TestMap) -> DataFrame:
+    ring = F.element_at(g.corridor(F.col("geometry"), 40.0), 1)
+    a, b = F.element_at(ring, 1), F.element_at(ring, 3)
+    return m.roads.select("id", F.round(a["lon"], 7).alias("west"), F.round(a["lat"], 7).alias("south"), F.round(b["lon"], 7).alias("east"), F.round(b["lat"], 7).alias("north"))
+
+
+@query(with_map(f"SELECT id FROM boxes WHERE min_lon <= {num(BOX[2])} AND max_lon >= {num(BOX[0])} AND min_lat <= {num(BOX[3])} AND max_lat >= {num(BOX[1])}", _BOXES))
+def roads_in_bbox(m: TestMap) -> DataFrame:
+    return spatial.roads_in_bbox(m.roads, BOX).select("id")
+
+
+@query(with_map("SELECT a.id AS road_id, f.id AS fence_id FROM boxes a JOIN fences f ON a.min_lon <= f.cx + f.w AND a.max_lon >= f.cx - f.w AND a.min_lat <= f.cy + f.h AND a.max_lat >= f.cy - f.h", _BOXES))
+def roads_in_bbox_batch(m: TestMap) -> DataFrame:
+    """Roads and the boxes of all fences."""
+    rows = spatial.bbox_join(m.roads.select("id", *spatial.BOX), spatial.polygon_boxes(m.fences).select("id", *spatial.BOX))
+    return rows.select(F.col("l_id").alias("road_id"), F.col("r_id").alias("fence_id"))
+
+
+@query(with_map("SELECT a.id AS a, b.id AS b FROM boxes a JOIN boxes b ON a.id < b.id AND a.min_lon <= b.max_lon AND a.max_lon >= b.min_lon AND a.min_lat <= b.max_lat AND a.max_lat >= b.min_lat", _BOXES))
+def grid_cell_self_join(m: TestMap) -> DataFrame:
+    """Roads whose boxes meet, by grid cells."""
+    boxes = m.roads.select("id", *spatial.BOX)
+    return spatial.bbox_join(boxes, boxes, 0.004).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+
+
+@query(with_map("SELECT qx, qy, count(*) AS n FROM (SELECT CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS qx, CAST(floor((lat + 90) / 180 * 4096) AS BIGINT) AS qy FROM pois) GROUP BY qx, qy"))
+def quadkey_counts(m: TestMap) -> DataFrame:
+    """Places in each quadtree leaf of depth 12, the key decoded to its column and row."""
+    digit = lambda bit: F.aggregate(F.split("key", ""), F.lit(0).cast("long"), lambda a, d: a * 2 + F.shiftright(F.coalesce(d.try_cast("int"), F.lit(0)), bit).bitwiseAND(F.lit(1)))
+    keys = m.pois.groupBy(spatial.quadkey(F.col("lon"), F.col("lat")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return keys.select(digit(0).alias("qx"), digit(1).alias("qy"), "n")
+
+
+@query()
+def str_tiles(m: TestMap) -> DataFrame:
+    return spatial.str_tiles(m.roads.select("id", *spatial.BOX)).select("id", "tile_x", "tile_y")
+
+
+# Polygons and fences ----------------------------------------------------------------------------
+
+
+@query(with_map("SELECT trajectory_id, point_index, fence_id FROM held WHERE inside", INSIDE.format(rows="points")))
+def points_in_polygon_traj(m: TestMap) -> DataFrame:
+    return spatial.points_in_polygons(m.points, m.fences).select("trajectory_id", "point_index", "fence_id")
+
+
+@query(with_map("SELECT id, fence_id FROM held WHERE inside", INSIDE.format(rows="pois")))
+def points_in_polygon_pois(m: TestMap) -> DataFrame:
+    return spatial.points_in_polygons(m.pois, m.fences).select("id", "fence_id")
+
+
+@query(with_map("SELECT fence_id, trajectory_id, point_index, CASE WHEN inside THEN 'enter' ELSE 'exit' END AS event FROM (SELECT *, lag(inside, 1, false) OVER (PARTITION BY fence_id, trajectory_id ORDER BY point_index) AS before FROM held) WHERE inside <> before", INSIDE.format(rows="points")))
+def geofence_events(m: TestMap) -> DataFrame:
+    return spatial.fence_events(m.points, m.fences)
+
+
+@query(with_map("SELECT fence_id, count(*) AS n_points, count(DISTINCT trajectory_id) AS n_trajectories FROM held WHERE inside GROUP BY fence_id", INSIDE.format(rows="points")))
+def geofence_dwell_counts(m: TestMap) -> DataFrame:
+    return spatial.points_in_polygons(m.points, m.fences).groupBy("fence_id").agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("trajectory_id").alias("n_trajectories"))
+
+
+_MEET = f"""
+vertices AS (SELECT id, x1 AS lon, y1 AS lat FROM segments UNION SELECT id, x2, y2 FROM segments)"""
+_CUT = f"meets AS (SELECT DISTINCT road_id, fence_id FROM (SELECT s.id AS road_id, e.fence_id FROM segments s JOIN sides e ON {cross_of('s', 'e')} UNION ALL SELECT id, fence_id FROM held WHERE inside))"
+
+
+@query(with_map("SELECT road_id, fence_id FROM meets", _MEET, INSIDE.format(rows="vertices"), RINGS, _CUT))
+def roads_in_polygon(m: TestMap) -> DataFrame:
+    return spatial.roads_in_polygons(m.roads, m.fences)
+
+
+@query(with_map("SELECT DISTINCT road_id FROM meets", _MEET, INSIDE.format(rows="vertices"), RINGS, _CUT))
+def blocked_edges(m: TestMap) -> DataFrame:
+    return spatial.blocked_edges(m.roads, m.fences)
+
+
+@query(with_map("SELECT id, round(CASE WHEN box THEN 4 * w * h ELSE 2 * w * h END, 9) AS area, round(cx, 6) AS lon, round(cy, 6) AS lat FROM fences"))
+def polygon_area_centroid(m: TestMap) -> DataFrame:
+    ring = F.element_at("rings", 1)
+    moved = F.transform(ring, lambda q: F.struct((q["lon"] - F.element_at(ring, 1)["lon"]).alias("lon"), (q["lat"] - F.element_at(ring, 1)["lat"]).alias("lat")))
+    middle = p.ring_centroid(moved)
+    first = F.element_at(ring, 1)
+    return m.fences.select("id", F.round(p.ring_area(ring), 9).alias("area"), F.round(middle["lon"] + first["lon"], 6).alias("lon"), F.round(middle["lat"] + first["lat"], 6).alias("lat"))
+
+
+# Graph ------------------------------------------------------------------------------------------
+
+
+@query(with_map("SELECT edge_id, from_node, to_node, round(length, 3) AS length, round(travel_time, 3) AS travel_time FROM arcs", LENGTHS))
+def graph_arcs(m: TestMap) -> DataFrame:
+    return graph.arcs(m.roads).select("edge_id", "from_node", "to_node", F.round("length", 3).alias("length"), F.round("travel_time", 3).alias("travel_time"))
+
+
+_DEGREE = "degrees_ AS (SELECT n.id AS node_id, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS degree FROM nodes n LEFT JOIN (SELECT from_node AS id, 1 AS n FROM roads UNION ALL SELECT to_node, 1 FROM roads) e USING (id) GROUP BY n.id)"
+
+
+@query(with_map("SELECT node_id, degree FROM degrees_", _DEGREE))
+def node_degree(m: TestMap) -> DataFrame:
+    return graph.node_degree(m.nodes, m.roads)
+
+
+@query(with_map("SELECT node_id FROM degrees_ WHERE degree = 0", _DEGREE))
+def isolated_nodes(m: TestMap) -> DataFrame:
+    return topology.isolated_nodes(m.nodes, m.roads)
+
+
+@query(with_map("SELECT DISTINCT r.id AS road_id FROM roads r JOIN degrees_ d ON d.node_id IN (r.from_node, r.to_node) WHERE d.degree <= 1", _DEGREE))
+def dangling_edges(m: TestMap) -> DataFrame:
+    return topology.dangling_edges(m.nodes, m.roads)
+
+
+_EVEN = "links AS (SELECT from_node AS a, to_node AS b FROM roads WHERE id LIKE 'v%' UNION ALL SELECT to_node, from_node FROM roads WHERE id LIKE 'v%')"
+
+
+@query(
+    with_map(
+        "SELECT node, component FROM reach",
+        _EVEN,
+        "reach(node, component) USING KEY (node) AS (SELECT id, id FROM nodes UNION SELECT l.b, min(r.component) FROM reach r JOIN links l ON l.a = r.node LEFT JOIN recurring.reach x ON x.node = l.b WHERE x.component IS NULL OR r.component < x.component GROUP BY l.b)",
+    )
+)
+def connected_components(m: TestMap) -> DataFrame:
+    """Components of the streets that run north only."""
+    links = m.roads.where("id like 'v%'").select(F.col("from_node").alias("a"), F.col("to_node").alias("b"))
+    return graph.components(m.nodes, links)
+
+
+def _spread(weight: str, where: str = "true") -> str:
+    return f"best(node, cost) USING KEY (node) AS (SELECT id, {num(0)} FROM nodes WHERE k = 0 UNION SELECT a.to_node, min(r.cost + a.{weight}) FROM best r JOIN arcs a ON a.from_node = r.node LEFT JOIN recurring.best x ON x.node = a.to_node WHERE {where} AND (x.cost IS NULL OR r.cost + a.{weight} < x.cost - 1e-9) GROUP BY a.to_node)"
+
+
+def _origin(m: TestMap) -> DataFrame:
+    return m.nodes.where("pos = 0").select(F.col("id").alias("source"))
+
+
+@query(with_map("SELECT node, round(cost, 2) AS distance FROM best", LENGTHS, _spread("length")))
+def shortest_distance(m: TestMap) -> DataFrame:
+    """From the first node to all it reaches."""
+    return graph.shortest_paths(graph.arcs(m.roads), _origin(m)).select("node", F.round("distance", 2).alias("distance"))
+
+
+@query(with_map("SELECT node, round(cost, 2) AS seconds FROM best", LENGTHS, _spread("travel_time")))
+def shortest_time(m: TestMap) -> DataFrame:
+    return graph.shortest_paths(graph.arcs(m.roads), _origin(m), "shortest_time").select("node", F.round("travel_time", 2).alias("seconds"))
+
+
+@query(with_map("SELECT node, round(cost, 2) AS distance FROM best", LENGTHS, _MEET, INSIDE.format(rows="vertices"), RINGS, _CUT, _spread("length", "a.edge_id NOT IN (SELECT road_id FROM meets WHERE fence_id IN ('f_7', 'f_13'))")))
+def avoid_polygon(m: TestMap) -> DataFrame:
+    """As ``shortest_distance`` on roads that meet neither of two fences."""
+    blocked = spatial.blocked_edges(m.roads, m.fences.where("id in ('f_7', 'f_13')"))
+    return graph.shortest_paths(graph.without(graph.arcs(m.roads), blocked), _origin(m)).select("node", F.round("distance", 2).alias("distance"))
+
+
+@query()
+def waypoint_route(m: TestMap) -> DataFrame:
+    """Three legs between nodes of the grid, merged."""
+    stops = m.nodes.where("pos in (0, 7, 3, 9)").select("pos", "id")
+    order = F.when(F.col("pos") == 0, 0).when(F.col("pos") == 7, 1).when(F.col("pos") == 3, 2).otherwise(3)
+    named = stops.select(order.alias("leg"), F.col("id").alias("source"))
+    legs = named.join(named.select((F.col("leg") - 1).alias("leg"), F.col("source").alias("target")), "leg")
+    found = graph.routes(graph.arcs(m.roads), legs.select("source", "target"))
+    return graph.merged_legs(legs.join(found, ["source", "target"]).withColumn("route_id", F.lit("route_001")), "route_id")
+
+
+@query()
+def explained_route(m: TestMap) -> DataFrame:
+    pairs = m.nodes.where("pos in (5, 9)").select(F.lit("n_0").alias("source"), F.col("id").alias("target"))
+    return graph.explained_routes(graph.arcs(m.roads), pairs, preferred=["primary", "secondary"])
+
+
+# Topology ---------------------------------------------------------------------------------------
+
+
+@query(
+    with_map(
+        """SELECT first, id AS duplicate FROM (
+  SELECT id, first_value(id) OVER w AS first, row_number() OVER w AS n
+  FROM (SELECT *, least(from_node, to_node) AS a, greatest(from_node, to_node) AS b FROM roads) WINDOW w AS (PARTITION BY a, b ORDER BY pos)) WHERE n > 1"""
+    )
+)
+def duplicate_edges(m: TestMap) -> DataFrame:
+    return topology.duplicate_edges(m.roads)
+
+
+_PAIRS = f"""
+pairs AS (
+  SELECT a.id AS first, b.id AS second, a.seg AS seg_a, b.seg AS seg_b, a.x1 + t * (a.x2 - a.x1) AS lon, a.y1 + t * (a.y2 - a.y1) AS lat
+  FROM (SELECT a, b, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) AS t
+        FROM segments a, segments b WHERE a.pos < b.pos AND a.from_node NOT IN (b.from_node, b.to_node) AND a.to_node NOT IN (b.from_node, b.to_node)
+          AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND greatest(a.y1, a.y2) >= least(b.y1, b.y2)
+          AND {cross_of("a", "b")}))"""
+
+
+@query(with_map("SELECT first, second, seg_a, seg_b, round(lon, 6) AS lon, round(lat, 6) AS lat FROM pairs", _PAIRS))
+def illegal_crossings(m: TestMap) -> DataFrame:
+    rows = topology.crossings(m.roads).where("type = 'illegal_crossing'")
+    return rows.select("first", "second", F.col("seg_a").cast("long").alias("seg_a"), F.col("seg_b").cast("long").alias("seg_b"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+_TRACE = """
+trace AS (
+  SELECT trajectory_id, CAST(point_index AS BIGINT) AS seg, lon AS x1, lat AS y1, lead(lon) OVER t AS x2, lead(lat) OVER t AS y2 FROM points WINDOW t AS (PARTITION BY trajectory_id ORDER BY point_index)),
+cut AS (SELECT * FROM trace WHERE x2 IS NOT NULL)"""
+
+
+@query(with_map(f"SELECT concat('t_', CAST(a.trajectory_id AS VARCHAR)) AS road_id, a.seg AS seg_a, b.seg AS seg_b FROM cut a JOIN cut b ON a.trajectory_id = b.trajectory_id AND b.seg >= a.seg + 2 WHERE {cross_of('a', 'b')}", _TRACE))
+def self_intersections(m: TestMap) -> DataFrame:
+    """Where the line through a trajectory's points meets itself."""
+    rows = trajectory.lines(m.points).select(F.concat(F.lit("t_"), F.col("trajectory_id").cast("string")).alias("id"), F.col("trajectory_id").alias("pos"), F.lit("a").alias("from_node"), F.lit("b").alias("to_node"), F.col("line").alias("geometry"))
+    return topology.self_intersections(rows).select("road_id", F.col("seg_a").cast("long").alias("seg_a"), F.col("seg_b").cast("long").alias("seg_b"))
+
+
+@query()
+def topology_issues(m: TestMap) -> DataFrame:
+    return topology.validate(m.nodes, m.roads)
+
+
+@query()
+def snap_nodes(m: TestMap) -> DataFrame:
+    """Nodes of a fourth of the grid's pitch around the nodes, snapped within 300 m."""
+    near = m.nodes.unionByName(m.nodes.select(F.concat("id", F.lit("_b")).alias("id"), (F.col("lon") + 0.002).alias("lon"), "lat", (F.col("pos") + 1_000_000).alias("pos")))
+    return topology.snap_nodes(near, 300.0)
+
+
+@query()
+def split_roads(m: TestMap) -> DataFrame:
+    return topology.split_roads(m.roads.drop(*spatial.BOX)).select("id", "from_node", "to_node", "length")
+
+
+@query()
+def topology_repair_summary(m: TestMap) -> DataFrame:
+    return topology.repair(m.nodes, m.roads.drop(*spatial.BOX), 1.0)[2]
+
+
+# Cost terms -------------------------------------------------------------------------------------
+
+_PRIOR = " ".join(f"WHEN '{k}' THEN {num(v)}" for k, v in g.CLASS_PRIOR.items())
+
+
+@query(with_map(f"SELECT id, CASE road_class {_PRIOR} ELSE {num(g.CLASS_PRIOR_OTHER)} END AS prior, round(travel_time, 3) AS travel_time, round(CASE WHEN road_class = 'primary' THEN 0 ELSE 0.15 * length END, 3) AS preference_cost FROM measured", LENGTHS))
+def road_costs(m: TestMap) -> DataFrame:
+    return m.roads.select(
+        "id", g.class_prior(F.col("road_class"), F.col("road_type")).alias("prior"), F.round(g.travel_time(F.col("length"), F.col("speed_limit")), 3).alias("travel_time"),
+        F.round(g.class_preference_cost(F.col("road_class"), F.col("length"), ["primary"]), 3).alias("preference_cost"),
+    )
+
+
+_HEADED = f"headed AS (SELECT *, {wrapped(bear('x1', 'y1', 'x2', 'y2'))} AS heading FROM arcs)"
+_ANGLE = angle_diff("a.heading", "b.heading")
+
+
+@query(with_map(f"SELECT a.edge_id AS prev_edge, b.edge_id, a.to_node AS node, round(CASE WHEN a.edge_id = b.edge_id OR {_ANGLE} < 35 THEN 0 WHEN {_ANGLE} > 150 THEN 16 ELSE 8 * {_ANGLE} / 90 END, 4) AS turn_s FROM headed a JOIN headed b ON a.to_node = b.from_node", LENGTHS, _HEADED))
+def turn_cost_pairs(m: TestMap) -> DataFrame:
+    arcs = graph.arcs(m.roads)
+    a, b = arcs.select(F.col("edge_id").alias("prev_edge"), F.col("heading").alias("h1"), F.col("to_node").alias("node")), arcs.select("edge_id", F.col("heading").alias("h2"), F.col("from_node").alias("node"))
+    return a.join(b, "node").select("prev_edge", "edge_id", "node", F.round(g.turn_cost(F.col("prev_edge"), F.col("h1"), F.col("edge_id"), F.col("h2")), 4).alias("turn_s"))
+
+
+_FEASIBLE = "greatest(45, 25 + point_index % 30) * 1.35 + 10"
+
+
+@query(with_map(f"SELECT trajectory_id, point_index, round(CASE WHEN point_index = 0 OR step_m / 5 * 3.6 <= {_FEASIBLE} THEN 0 ELSE least(1, (step_m / 5 * 3.6 - ({_FEASIBLE})) / ({_FEASIBLE})) END, 4) AS penalty FROM steps", _STEPS))
+def speed_feasibility(m: TestMap) -> DataFrame:
+    """Steps of five seconds between roads of 45 and of 25 to 54 km/h."""
+    steps = trajectory.step_distances(m.points)
+    before = F.when(F.col("point_index") > 0, F.lit(45.0))
+    penalty = g.speed_feasibility(before, (F.lit(25) + F.col("point_index") % 30).cast("double"), F.col("step_m"), F.lit(5.0))
+    return steps.select("trajectory_id", "point_index", F.round(penalty, 4).alias("penalty"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS p50, round(list_sort(list(value))[1 + CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT)], 6) AS p95, round(list_sort(list(value))[1 + CAST(round_even((count(*) - 1) * 0.99, 0) AS BIGINT)], 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles_nearest_rank(m: TestMap) -> DataFrame:
+    """Event values by type, as if they were timings."""
+    return measures.latency_report(m.table("events"), ["event_type"], "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+# Map matching and exchange ----------------------------------------------------------------------
+
+
+@query()
+def match_candidate_cost(m: TestMap) -> DataFrame:
+    return matching.match_candidate_cost(m.points, m.roads).select("trajectory_id", "point_index", "road_id", F.round("total_cost", 4).alias("total_cost"))
+
+
+@query()
+def match_hmm(m: TestMap) -> DataFrame:
+    return matching.match_hmm(m.points, m.roads).select("trajectory_id", "point_index", "road_id", F.round("distance", 3).alias("distance"))
+
+
+@query()
+def match_evaluation(m: TestMap) -> DataFrame:
+    """Noisy traces along three streets, matched both ways, against the streets."""
+    route = [[(116.0, 39.0), (116.01, 39.0)], [(116.01, 39.0), (116.02, 39.0)], [(116.02, 39.0), (116.03, 39.0)]]
+    rows = matching.parallel_road_trace(route) + matching.low_frequency_trace(route)
+    points = matching.trace_rows(m.spark, rows)
+    truth = points.select("trajectory_id").distinct().withColumn("roads", F.array(F.lit("h_0"), F.lit("h_1"), F.lit("h_2")))
+    near = matching.evaluation(matching.matched_sequences(matching.match_nearest(points, m.roads)), truth).withColumn("algorithm", F.lit("nearest"))
+    hmm = matching.evaluation(matching.matched_sequences(matching.match_hmm(points, m.roads), 20.0), truth).withColumn("algorithm", F.lit("hmm"))
+    return near.unionByName(hmm)
+
+
+@query()
+def geojson_features(m: TestMap) -> DataFrame:
+    roads = geojson.road_features(m.roads)
+    fences = geojson.geofence_features(m.fences)
+    return roads.unionByName(fences).select("id", "feature")

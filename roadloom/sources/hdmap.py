@@ -1,0 +1,173 @@
+"""Lane-level maps: lanes and boundaries from and to OpenDRIVE user data and Lanelet2 XML."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.types import LANE_BOUNDARIES, LANES, LINE
+from .osm import elements, tag_map, text_elements
+
+_POINTS = "struct<point:array<struct<_s:int,_lon:double,_lat:double>>>"
+VECTOR_LANE = f"_id string, _speedLimit double, _turnType string, _leftBoundary string, _rightBoundary string, _predecessors string, _successors string, centerline {_POINTS}"
+L2_NODE = "_id string, _lon double, _lat double"
+_TAGS = "tag array<struct<_k:string,_v:string>>"
+L2_WAY = f"_id string, nd array<struct<_ref:string>>, {_TAGS}"
+L2_RELATION = f"_id string, member array<struct<_type:string,_ref:string,_role:string>>, {_TAGS}"
+
+
+def _ids(value: Column) -> Column:
+    return F.filter(F.split(F.coalesce(value, F.lit("")), ","), lambda x: x != "")
+
+
+def _none(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
+
+
+def _no_metadata() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+# OpenDRIVE --------------------------------------------------------------------------------------
+
+
+def opendrive_lanes(rows: DataFrame) -> DataFrame:
+    """Lanes of vectorLane elements; their boundaries are named only, the geometry of boundaries is not read back."""
+    line = F.transform(F.coalesce("centerline.point", F.array().cast("array<struct<_s:int,_lon:double,_lat:double>>")), lambda q: F.struct(q["_lon"].alias("lon"), q["_lat"].alias("lat")))
+    return rows.select(
+        F.coalesce("_id", F.lit("lane")).alias("id"), line.cast(LINE).alias("centerline"), _none(F.col("_leftBoundary")).alias("left_boundary"), _none(F.col("_rightBoundary")).alias("right_boundary"),
+        F.coalesce("_speedLimit", F.lit(40.0)).alias("speed_limit"), F.coalesce("_turnType", F.lit("through")).alias("turn_type"), _ids(F.col("_predecessors")).alias("predecessor_ids"), _ids(F.col("_successors")).alias("successor_ids"), _no_metadata().alias("metadata"),
+    )
+
+
+def read_opendrive(spark: SparkSession, path: str) -> DataFrame:
+    return opendrive_lanes(elements(spark, path, "vectorLane", VECTOR_LANE))
+
+
+def import_opendrive(spark: SparkSession, text: str) -> DataFrame:
+    """Lanes of an OpenDRIVE text, whose vectorLane elements are user data of roads."""
+    road = f"userData struct<vectorLane:struct<{VECTOR_LANE.replace(' struct', ':struct').replace(' string', ':string').replace(' double', ':double')}>>"
+    rows = text_elements(spark, text, "road", road).select("userData.vectorLane.*")
+    return opendrive_lanes(rows)
+
+
+def escape(value: Column) -> Column:
+    """Text as the value of an XML attribute."""
+    out = F.coalesce(value.cast("string"), F.lit(""))
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
+
+
+def element(tag: str, attributes: list[tuple[str, Column]], body: Column | None = None) -> Column:
+    parts: list[Column] = [F.lit(f"<{tag}")]
+    for name, value in attributes:
+        parts += [F.lit(f' {name}="'), escape(value), F.lit('"')]
+    return F.concat(*parts, F.lit("/>")) if body is None else F.concat(*parts, F.lit(">"), body, F.lit(f"</{tag}>"))
+
+
+def _polyline(tag: str, line: Column) -> Column:
+    return element(tag, [], F.array_join(F.transform(line, lambda q, i: element("point", [("s", i), ("lon", q["lon"]), ("lat", q["lat"])])), ""))
+
+
+def export_opendrive(lanes: DataFrame, boundaries: DataFrame | None = None) -> DataFrame:
+    """(id, value): one road element for each lane, with the boundaries that ``boundaries`` has; length is the number of segments."""
+    rows = lanes
+    inner = _polyline("centerline", F.col("centerline"))
+    if boundaries is not None:
+        drawn = element("boundary", [("id", F.col("id")), ("boundaryType", F.col("boundary_type")), ("color", F.col("color"))], _polyline("geometry", F.col("geometry")))
+        for side in ("left", "right"):
+            rows = rows.join(boundaries.select(F.col("id").alias(f"{side}_boundary"), drawn.alias(f"_{side}")), f"{side}_boundary", "left")
+        inner = F.concat(inner, F.coalesce("_left", F.lit("")), F.coalesce("_right", F.lit("")))
+    c = F.col
+    lane = element(
+        "vectorLane",
+        [("id", c("id")), ("speedLimit", c("speed_limit")), ("turnType", c("turn_type")), ("leftBoundary", c("left_boundary")), ("rightBoundary", c("right_boundary")), ("predecessors", F.array_join("predecessor_ids", ",")), ("successors", F.array_join("successor_ids", ","))],
+        inner,
+    )
+    length = F.greatest(F.size("centerline") - 1, F.lit(0)).cast("double")
+    return rows.select("id", element("road", [("id", c("id")), ("name", c("id")), ("length", length)], element("userData", [], lane)).alias("value"))
+
+
+def document(rows: DataFrame, root: str, attributes: str = "") -> DataFrame:
+    """One row ``value``: the elements (id, value) in the order of their ids inside a root. Meant for maps that fit a text."""
+    parts = rows.agg(F.array_sort(F.collect_list(F.struct("id", "value"))).alias("e"))
+    return parts.select(F.concat(F.lit(f"<{root}{attributes}>"), F.array_join(F.transform("e", lambda x: x["value"]), ""), F.lit(f"</{root}>")).alias("value"))
+
+
+# Lanelet2 ---------------------------------------------------------------------------------------
+
+
+def lanelets(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lanes, boundaries) of Lanelet2 elements.
+
+    A lanelet without a centre line gets the mean of its boundaries, vertex by vertex, as
+    far as the shorter one goes. Boundaries are the ways that lanelets name as left or
+    right, each once.
+    """
+    spots = nodes.select(F.col("_id").alias("ref"), F.struct(F.col("_lon").alias("lon"), F.col("_lat").alias("lat")).alias("p"))
+    refs = ways.select(F.col("_id").alias("way"), F.posexplode("nd").alias("at", "nd")).select("way", "at", F.col("nd._ref").alias("ref"))
+    drawn = refs.join(spots, "ref").groupBy("way").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("v")).select("way", F.transform("v", lambda x: x["p"]).cast(LINE).alias("line"))
+    empty = F.array().cast(LINE)
+    lined = ways.select(F.col("_id").alias("way"), tag_map().alias("way_tags")).join(drawn, "way", "left").withColumn("line", F.coalesce("line", empty))
+    tagged = relations.withColumn("tags", tag_map()).where("tags['type'] = 'lanelet'")
+    role = lambda name: F.try_element_at(F.transform(F.filter("member", lambda m: m["_role"] == name), lambda m: m["_ref"]), F.lit(-1))
+    rows = tagged.select(F.coalesce("_id", F.lit("lanelet")).alias("rid"), "tags", *[role(n).alias(f"{n}_way") for n in ("left", "right", "centerline")])
+    for n in ("left", "right", "centerline"):
+        rows = rows.join(lined.select(F.col("way").alias(f"{n}_way"), F.col("line").alias(f"{n}_line")), f"{n}_way", "left")
+    n = F.least(F.size("left_line"), F.size("right_line"))
+    middle = F.zip_with(F.slice("left_line", 1, n), F.slice("right_line", 1, n), lambda a, b: F.struct(((a["lon"] + b["lon"]) / 2).alias("lon"), ((a["lat"] + b["lat"]) / 2).alias("lat")))
+    both = F.col("left_line").isNotNull() & F.col("right_line").isNotNull()
+    tag = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("tags", F.lit(x)), F.lit("")) for x in names])
+    named = lambda s: F.when(F.col(f"{s}_line").isNotNull(), F.concat(F.lit("boundary_"), f"{s}_way"))
+    lanes = rows.select(
+        F.concat(F.lit("lanelet_"), "rid").alias("id"), F.when(F.size("centerline_line") > 0, F.col("centerline_line")).when(both, middle).otherwise(empty).cast(LINE).alias("centerline"),
+        named("left").alias("left_boundary"), named("right").alias("right_boundary"), F.coalesce(tag("speed_limit", "maxspeed").try_cast("double"), F.lit(40.0)).alias("speed_limit"),
+        F.coalesce(tag("turn_direction", "subtype"), F.lit("through")).alias("turn_type"), _ids(tag("predecessor")).alias("predecessor_ids"), _ids(tag("successor")).alias("successor_ids"), F.col("tags").alias("metadata"),
+    )
+    used = rows.select(F.explode(F.array("left_way", "right_way")).alias("way")).where("way is not null").distinct()
+    way_tag = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("way_tags", F.lit(x)), F.lit("")) for x in names], F.lit("unknown"))
+    bounds = lined.join(used, "way").select(F.concat(F.lit("boundary_"), "way").alias("id"), F.col("line").alias("geometry"), way_tag("subtype", "type").alias("boundary_type"), way_tag("color").alias("color"))
+    return lanes, bounds
+
+
+def read_lanelet2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return lanelets(elements(spark, path, "node", L2_NODE), elements(spark, path, "way", L2_WAY), elements(spark, path, "relation", L2_RELATION))
+
+
+def import_lanelet2(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    return lanelets(text_elements(spark, text, "node", L2_NODE), text_elements(spark, text, "way", L2_WAY), text_elements(spark, text, "relation", L2_RELATION))
+
+
+def export_lanelet2(lanes: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """One row ``value``: Lanelet2 XML with new negative ids; original ids are kept in a tag, so a map read back has other lane ids."""
+    c = F.col
+    lines = boundaries.select(F.lit(0).alias("k"), c("id").alias("name"), c("geometry").alias("line"), F.map_from_arrays(F.array(F.lit("type"), F.lit("subtype"), F.lit("color")), F.array(F.lit("line_thin"), "boundary_type", "color")).alias("tags"))
+    lines = lines.unionByName(lanes.select(F.lit(1).alias("k"), F.concat("id", F.lit("_centerline")).alias("name"), c("centerline").alias("line"), F.create_map(F.lit("type"), F.lit("centerline")).alias("tags")))
+    order = Window.orderBy("k", "name")
+    before = F.coalesce(F.sum(F.size("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ways = lines.withColumns({"way": -F.row_number().over(order), "first": before})
+    ref = lambda i: -(c("first") + i + 1)
+    nodes = F.array_join(F.transform("line", lambda q, i: element("node", [("id", ref(i)), ("lon", q["lon"]), ("lat", q["lat"])])), "")
+    nds = F.array_join(F.transform("line", lambda q, i: element("nd", [("ref", ref(i))])), "")
+    tags = F.array_join(F.transform(F.map_entries("tags"), lambda t: element("tag", [("k", t["key"]), ("v", t["value"])])), "")
+    own = element("tag", [("k", F.lit("source_id")), ("v", c("name"))])
+    drawn = ways.select((c("way") * -1).alias("n"), F.lit(0).alias("g"), F.concat(nodes, element("way", [("id", c("way"))], F.concat(nds, own, tags))).alias("value"))
+    number = ways.select("k", "name", "way")
+    side = lambda s: number.where("k = 0").select(c("name").alias(f"{s}_boundary"), c("way").alias(f"_{s}"))
+    rel = lanes.join(side("left"), "left_boundary", "left").join(side("right"), "right_boundary", "left").join(number.where("k = 1").select(F.regexp_replace("name", "_centerline$", "").alias("id"), c("way").alias("_centerline")), "id")
+    member = lambda s: F.when(c(f"_{s}").isNotNull(), element("member", [("type", F.lit("way")), ("ref", c(f"_{s}")), ("role", F.lit(s))])).otherwise("")
+    tag = lambda k, v: element("tag", [("k", F.lit(k)), ("v", v)])
+    some = lambda k, ids: F.when(F.size(ids) > 0, tag(k, F.array_join(ids, ","))).otherwise("")
+    body = F.concat(member("left"), member("right"), member("centerline"), tag("type", F.lit("lanelet")), tag("source_id", c("id")), tag("speed_limit", c("speed_limit")), tag("turn_direction", c("turn_type")), some("predecessor", c("predecessor_ids")), some("successor", c("successor_ids")))
+    n = F.row_number().over(Window.orderBy("id"))
+    relations = rel.withColumn("n", n).select("n", F.lit(1).alias("g"), element("relation", [("id", -c("n"))], body).alias("value"))
+    return document(drawn.unionByName(relations).select(F.struct("g", "n").alias("id"), "value"), "osm", ' version="0.6" generator="roadloom"')
+
+
+def empty_lanes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LANES)
+
+
+def empty_boundaries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], LANE_BOUNDARIES)
