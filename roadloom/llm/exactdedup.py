@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows with the same id and text one stays for each row."""
     kept = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
 
 
 EXACT_SQL = r"""

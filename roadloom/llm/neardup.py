@@ -178,7 +178,8 @@ def near_classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
     found = components(candidates)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = found.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"))
-    wanted = texts.join(members, "doc_id").select("component", "blocks", F.col("doc_id").alias("rep"), "text")
+    # members grow with the corpus, so the plan is one that holds at every size
+    wanted = texts.join(members.hint("merge"), "doc_id").select("component", "blocks", F.col("doc_id").alias("rep"), "text")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     sets = shingle_sets(wanted).withColumn("block", block)
     tiles = sets.select("component", "rep", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -196,4 +197,4 @@ def near_classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
 def drop_near_copies(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each class, with all its columns."""
     kept = near_classes(docs, threshold=threshold, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
