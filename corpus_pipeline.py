@@ -7,8 +7,8 @@ of ``roadloom.llm`` with their production parameters on every row.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,12 +58,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokencount.default_path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality_filter),
-    ("exact dedup", exact_dedup),
-    ("MinHash near-dedup", near_dedup),
-    ("suffix-array dedup", passage_dedup),
-    ("best-fit packing", pack),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tidy(stage: Stage) -> Stage:
+    """``stage`` after what earlier stages have left in the shared folder is gone, unless its input still reads it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        textkit.release(spark, docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _tidy(quality_filter)),
+    ("exact dedup", _tidy(exact_dedup)),
+    ("MinHash near-dedup", _tidy(near_dedup)),
+    ("suffix-array dedup", _tidy(passage_dedup)),
+    ("best-fit packing", _tidy(pack)),
 ]
 
 #: The classifier, the signatures and the packing have no SQL form; tests hold them against brute force.
@@ -76,9 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{textkit.shared_dir(spark)}-{uuid.uuid4().hex[:8]}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = textkit.written(docs)
     return docs
 
 

@@ -16,12 +16,12 @@ from .textkit import byte_runs, prefix_hash, span_hash, written, written_in_buck
 #: Bytes of a passage.
 LENGTH = 50
 #: Bytes of the grams whose smallest hash in a passage decides where its suffixes are sorted.
-GRAM = 20
+GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Text for each bucket in which suffixes are sorted.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 _BITS = np.uint64((1 << 48) - 1)
 _STEP = 1 << 20
 
@@ -253,9 +253,13 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         """For each block, which of its minimisers in this bucket another text has too."""
         values = [np.cumsum(_values(p), dtype=np.uint64) for p in table["payload"].to_pylist()]
         several = [np.unpackbits(np.frombuffer(e, np.uint8), count=len(v)).astype(bool) for e, v in zip(table["extra"].to_pylist(), values, strict=True)]
-        every = np.sort(np.concatenate([*values, *[v[s] for v, s in zip(values, several, strict=True)]]))  # twice within a block
-        wanted = np.unique(every[1:][every[1:] == every[:-1]])
-        masks = [np.packbits(np.isin(v, wanted)).tobytes() for v in values]
+        every, wanted = np.concatenate(values), np.concatenate(several)
+        order = np.argsort(every)
+        same = every[order[1:]] == every[order[:-1]]  # a block has a minimiser once, so neighbours are of two blocks
+        wanted[order[1:][same]] = True
+        wanted[order[:-1][same]] = True
+        edges = np.cumsum([0, *map(len, values)])
+        masks = [np.packbits(wanted[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
         return pa.Table.from_arrays([table["block"], table["bucket"], pa.array(masks, pa.binary())], names=["block", "bucket", "payload"])
 
     masks = written(parts.where("kind = 1").select("block", "bucket", "payload", "extra").groupBy("bucket").applyInArrow(shared, "block long, bucket int, payload binary"))
@@ -348,7 +352,9 @@ def _whole(data: np.ndarray, kept: np.ndarray) -> np.ndarray:
 def smallest_ids(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each string (LENGTH bytes) of each stretch: the smallest of the ids ``least`` of the stretches that hold it.
 
-    Stretch i has ``size[i]`` strings, so ``size[i] + LENGTH - 1`` bytes of ``data``.
+    Stretch i has ``size[i]`` strings, so ``size[i] + LENGTH - 1`` bytes of ``data``. All
+    strings of a stretch have one minimiser. If no other stretch has it, its strings are
+    nowhere else; the suffixes of all others are sorted.
     """
     long = size + LENGTH - 1
     begin = np.concatenate([[0], np.cumsum(long)])[:-1]
@@ -361,32 +367,51 @@ def smallest_ids(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.nd
         first = inverse = np.zeros(0, np.int64)
     best = np.full(len(first), (1 << 63) - 1, np.int64)
     np.minimum.at(best, inverse, least)
-    own, strings = long[first], size[first]
+    begin, strings = begin[first], size[first]
+    result = np.repeat(best, strings)
+    starts_at = np.cumsum(strings) - strings
+    many = np.zeros(len(first), bool)
+    if total:
+        minimiser = np.full(len(first), _BITS, np.uint64)
+        h = prefix_hash(data)
+        for k in range(WINDOW):
+            np.minimum(minimiser, span_hash(h, begin + k, begin + k + GRAM) & _BITS, out=minimiser)
+        _, which, number = np.unique(minimiser, return_inverse=True, return_counts=True)
+        many = number[which] > 1
+    if many.any():
+        at = np.repeat(starts_at[many], strings[many]) + _inner(strings[many])
+        result[at] = _sorted_least(data, begin[many], strings[many], best[many])
+    where = np.repeat(starts_at[inverse], size) + _inner(size)  # back to all stretches
+    return result[where] if len(where) else result
+
+
+def _inner(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes`` in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _sorted_least(data: np.ndarray, begin: np.ndarray, strings: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The smallest ``best`` of the distinct stretches that hold each string, by sorting all suffixes of them."""
+    own = strings + LENGTH - 1
     to = np.concatenate([[0], np.cumsum(own + 1)])
     s = np.zeros(int(to[-1]), np.int64)
-    inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    s[np.repeat(to[:-1], own) + inner] = data[np.repeat(begin[first], own) + inner].astype(np.int64) + 2
-    s[to[1:] - 1] = 1
-    starts_at = np.cumsum(strings) - strings
-    inner = np.arange(int(strings.sum())) - np.repeat(starts_at, strings)
-    place = np.repeat(to[:-1], strings) + inner
+    inner = _inner(own)
+    s[np.repeat(to[:-1], own) + inner] = data[np.repeat(begin, own) + inner].astype(np.int64) + 2
+    s[to[1:] - 1] = 1  # between stretches; strings never reach it
+    place = np.repeat(to[:-1], strings) + _inner(strings)
     index = np.full(len(s), -1, np.int64)  # of the string that starts here
     index[place] = np.arange(len(place))
     order = difference_cover(s)
     order = order[index[order] >= 0]
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = True
-        view = s.astype(np.uint8) if s.max() < 256 else s
-        for k in range(LENGTH):  # neighbours by their first bytes
-            x = view[order + k]
-            same[1:] &= x[1:] == x[:-1]
-    result = np.zeros(len(place), np.int64)
-    if len(order):
-        head = np.flatnonzero(~same)
-        owner = np.repeat(np.arange(len(first)), strings)
-        lowest = np.minimum.reduceat(best[owner[index[order]]], head)
-        result[index[order]] = np.repeat(lowest, np.diff(np.append(head, len(order))))
-    # back to all stretches
-    where = np.repeat(starts_at[inverse], size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
-    return result[where] if len(where) else result
+    same = np.ones(len(order), bool)
+    same[:1] = False
+    view = s.astype(np.uint16)
+    for k in range(LENGTH):  # neighbours by their first bytes
+        x = view[order + k]
+        same[1:] &= x[1:] == x[:-1]
+    head = np.flatnonzero(~same)
+    owner = np.repeat(np.arange(len(begin)), strings)
+    lowest = np.minimum.reduceat(best[owner[index[order]]], head)
+    result = np.empty(len(place), np.int64)
+    result[index[order]] = np.repeat(lowest, np.diff(np.append(head, len(order))))
+    return result

@@ -99,6 +99,37 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low, begin, end, np.searchsorted(begin, starts)
 
 
+#: Bytes of an Arrow batch. Spark's own limit is rows, and a row may be a very long document.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches between the JVM and Python workers to ``ARROW_BYTES``, a setting of the session, where they may be larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+#: Folders written by ``written`` and ``written_in_buckets``, with their application.
+_scratch: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession, needed: DataFrame) -> None:
+    """Deletes the folders that operators of this application have written, but for those that ``needed`` reads.
+
+    For jobs of several steps that store each step's result: what a step has left behind
+    is of no use then, and would add up.
+    """
+    app, files = spark.sparkContext.applicationId, needed.inputFiles()
+    jvm = spark.sparkContext._jvm
+    for entry in [e for e in _scratch if e[0] == app]:
+        if not any(entry[1].rsplit("/", 1)[1] in f for f in files):
+            path = jvm.org.apache.hadoop.fs.Path(entry[1])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _scratch.remove(entry)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset, as in local tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
@@ -108,12 +139,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.gettempdir()
-    return f"{str(top).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{str(top).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _scratch.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -126,6 +160,7 @@ def written_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
     shuffle this side after all.
     """
     spark = df.sparkSession
+    small_batches(spark)
     name = f"stage_{uuid.uuid4().hex}"
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(buckets, key).saveAsTable(name)
