@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import written_in_buckets
+from .textkit import trim, written_in_buckets
 
 #: Text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -127,6 +127,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
                 held += size + 1
         if ids:
             yield flush()
+        trim()
 
     import pyarrow.compute  # noqa: F401
 
@@ -185,6 +186,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             if with_ids:
                 all_ids.append([x for i in own for x in exact[i]])
                 decoded.append(text)
+        trim()
         columns = [places["ids"].combine_chunks().flatten(), pa.array(tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
         return pa.Table.from_arrays([*columns, *[pa.array(all_ids, pa.list_(pa.int64())), pa.array(decoded, pa.binary())] * with_ids], names=names)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import BANDS, band_keys, signatures, weighted_shingles
-from .textkit import byte_runs, mix64, written
+from .textkit import byte_runs, mix64, trim, written
 
 #: Documents of a verification block; a tile compares two blocks.
 BLOCK_DOCS = 1024
@@ -30,7 +30,7 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in byte_runs(pc.binary_length(batch.column(1)).to_pylist(), 1 << 22):
+            for a, b in byte_runs(pc.binary_length(batch.column(1)).to_pylist(), 1 << 21):
                 value, times, starts = weighted_shingles(batch.column(1).slice(a, b - a).to_pylist())
                 has = np.diff(starts) > 0
                 keys = np.zeros((b - a, 2), np.uint64)
@@ -47,6 +47,7 @@ def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                     [batch.column(0).slice(a, b - a), *[pc.if_else(none, None, pa.array(keys[:, k].view(np.int64))) for k in (0, 1)], pa.ListArray.from_arrays(offsets, pa.array(bands[has].view(np.int64).ravel()))],
                     names=["doc_id", "k1", "k2", "bands"],
                 )
+        trim()
 
     return rows.mapInArrow(sign, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, bands array<long>")
 
@@ -61,6 +62,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 value, _, starts = weighted_shingles(part.columns[-1].to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))], names=[*names, "shingles"])
+        trim()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(cut, f"{schema}, shingles array<long>")

@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_runs, written
+from .textkit import byte_runs, trim, written
 
 #: Pieces that one packing task holds on average. A task leaves about one unfilled bin.
 GROUP_PIECES = 8192
 #: Words whose ids a worker remembers; beyond it the memory starts anew, results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _LOADED: dict[str, tuple] = {}
 #: Texts of these characters only are unchanged by NFC and lower-case one character to one.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
@@ -112,6 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
                     [batch.column(0).take(pa.array(owner, pa.int64())), n, pc.multiply(n.cast(pa.int64()), capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        trim()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

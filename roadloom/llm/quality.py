@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import WORD_BYTE, byte_runs, joined, span_hash, prefix_hash, words_of, written
+from .textkit import WORD_BYTE, byte_runs, joined, span_hash, prefix_hash, trim, words_of, written
 
 #: Random Fourier features; the normal equations have as many rows and columns, plus one.
 FEATURES = 192
@@ -132,6 +132,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 stats = statistics(batch.column(1).slice(a, b - a).to_pylist())
                 offsets = pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(stats.ravel()))], names=["doc_id", "stats"])
+        trim()
 
     return rows.mapInArrow(measure, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, stats array<double>")
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_runs, prefix_hash, span_hash, written, written_in_buckets
+from .textkit import byte_runs, prefix_hash, span_hash, trim, written, written_in_buckets
 
 #: Bytes of a passage.
 LENGTH = 50
@@ -246,6 +246,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 held += size + 1
         if ids:
             yield flush()
+        trim()
 
     parts = written_in_buckets(rows.mapInArrow(blocks, "kind int, block long, bucket int, payload binary, extra binary, ids array<long>"), "block", buckets)
 
@@ -278,6 +279,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 doc, start, stop = runs.doc[own].tolist(), runs.start[own].tolist(), (runs.start[own] + runs.size[own] + LENGTH - 1).tolist()
                 out.append((row["block"], b, _zip(b"".join([raw[d][x:y] for d, x, y in zip(doc, start, stop, strict=True)])), _planes(runs.size[own].astype(np.uint64)), _planes(least[at].view(np.uint64))))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        trim()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "payload", "sizes", "least"])
 
     found = texts.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(stretches, "block long, bucket int, payload binary, sizes binary, least binary")
@@ -291,6 +293,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         answer = smallest_ids(data, size, least)
         edges = np.cumsum([0, *[int(x.sum()) for x in sizes]])
         out = [_planes(answer[a:b].view(np.uint64)) for a, b in zip(edges, edges[1:], strict=False)]
+        trim()
         return pa.Table.from_arrays([table["block"], table["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
     answers = found.groupBy("bucket").applyInArrow(sort, "block long, bucket int, payload binary")
@@ -330,6 +333,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 if with_spans:
                     row_out += [change.reshape(-1, 2).tolist(), data[_whole(data, ~gone)].tobytes().decode("utf-8", "replace")]
                 out.append(row_out)
+        trim()
         kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.list_(pa.int64())), pa.string()] * with_spans
         columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "text"] * with_spans])

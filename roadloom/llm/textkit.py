@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once in a Python worker; numpy temporaries are a small multiple of it.
@@ -58,6 +61,13 @@ class Powers:
         return self.up, self.down
 
 
+def trim() -> None:
+    """Gives freed memory back to the system. Workers are reused, so what one operator's peak leaves behind would count for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _POWERS = Powers(0x9E3779B97F4A7C15 | 1)
 
 
