@@ -29,7 +29,7 @@ def point(lon: Column, lat: Column) -> Column:
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Great-circle distance."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return F.lit(2 * RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * RADIUS_M) * F.asin(F.when(h > 1.0, F.lit(1.0)).otherwise(F.sqrt(h)))  # null stays null, which least() would lose
 
 
 def distance(a: Column, b: Column) -> Column:

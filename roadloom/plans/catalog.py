@@ -48,7 +48,7 @@ R = num(g.RADIUS_M)
 
 
 def hav(x1: str, y1: str, x2: str, y2: str) -> str:
-    return f"(2 * {R} * asin(least({num(1)}, sqrt(power(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * power(sin(radians({x2} - {x1}) / 2), 2)))))"
+    return f"(2 * {R} * asin(sqrt(power(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * power(sin(radians({x2} - {x1}) / 2), 2))))"
 
 
 def bear(x1: str, y1: str, x2: str, y2: str) -> str:

@@ -49,7 +49,7 @@ points AS (
   FROM (SELECT CAST(user_id AS BIGINT) AS trajectory_id, CAST(event_id AS BIGINT) AS event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS point_index FROM {table("events")}) e),
 fences AS (
   SELECT concat('f_', CAST(n_nationkey AS VARCHAR(20))) AS id, n_name AS name, n_nationkey AS k, n_nationkey % 2 = 0 AS box, n_nationkey % 3 = 0 AS hole,
-         {num(116.02)} + (n_nationkey % 5) * {num(0.05)} AS cx, {num(39.0041)} + (n_nationkey {div} 5) * {num(0.008)} AS cy, {num(0.0131)} AS w, {num(0.0033)} AS h
+         {num(116.02)} + (n_nationkey % 5) * {num(0.05)} AS cx, {num(39.0041)} + (n_nationkey {div} 5) * {num(0.008)} AS cy, {num(0.01310037)} AS w, {num(0.00330037)} AS h
   FROM {table("nation")}),
 pois AS (
   SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name, {num(116)} + ((c_custkey * 37) % 2500) * {num(0.0001)} AS lon, {num(39)} + ((c_custkey * 91) % 400) * {num(0.0001)} AS lat
