@@ -40,17 +40,12 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     No document is dropped; one that consists of such passages is left with an empty text.
     A text that stays as it was, null included, is not changed.
     """
-    left = suffixdedup.repeated_bytes(docs, with_spans=True).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    rows = docs.join(left, F.col("doc_id") == F.col("_id"), "left")
-    changed = F.col("_id").isNotNull()
-    return rows.select(
-        *[
-            F.when(changed, F.col("_text")).otherwise(F.col("text")).alias("text") if c == "text"
-            else F.when(changed, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
-            else docs[c]
-            for c in docs.columns
-        ]
-    )
+    found = suffixdedup.repeated_bytes(docs, with_spans=True).where("n_removed > 0")
+    left = found.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"]).hint("merge")
+    rows = docs.join(left, docs["doc_id"] == left["_id"], "left")  # columns are named through their tables, so that docs may have any others
+    changed = left["_id"].isNotNull()
+    new = {"text": left["_text"], "n_chars": F.char_length(left["_text"]).cast("long")}
+    return rows.select(*[F.when(changed, new[c]).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+    if s.max() >= 1 << 31:  # products of values and ranks must fit 64 bits
+        s = np.unique(s, return_inverse=True)[1] + 1
     t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with an empty suffix where no triple of the first kind would end the string
     sample = np.concatenate([one, two])
