@@ -1,12 +1,18 @@
 """Road graph: arcs, degrees, components, shortest paths in batches, turn-aware routes.
 
-Paths are found by relaxation: all sources advance together, one join of the improved
-states with the arcs and one minimum per state a round, until nothing improves. Nothing is
-collected; a round's states are written to the shared folder, so the plan stays small.
+A network of up to BROADCAST_ARCS arcs is counted first and then sent to every task, which
+searches from its share of the sources. Beyond that, paths are found by relaxation: all
+sources advance together, one join of the improved states with the arcs and one minimum per
+state a round, until nothing improves; a round's states are written to the shared folder,
+so the plan stays small.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +20,10 @@ from ..functions import geodesy as g
 from .lineage import materialised
 
 
+#: Arcs that a task may hold; some 100 bytes each.
+BROADCAST_ARCS = 500_000
+
+
 def arcs(roads: DataFrame) -> DataFrame:
     """Directed edges of ``roads``: one along each road, one back unless it is one-way, with reversed geometry; heading from first to last vertex."""
     ends = lambda line: (F.element_at(line, 1), F.element_at(line, -1))
@@ -97,6 +107,8 @@ def shortest_paths(arc_rows: DataFrame, sources: DataFrame, mode: str = "shortes
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
     steps = arc_rows.groupBy("from_node", "to_node").agg(F.min(F.struct(weight.alias("w"), "edge_id", "length", "travel_time")).alias("arc")).where("from_node <> to_node")
     steps = materialised(steps.select(F.col("from_node").alias("node"), "to_node", "arc.*"))
+    if steps.count() <= BROADCAST_ARCS:
+        return _searched(steps, sources, max_cost, paths)
     empty = F.array().cast("array<string>")
     state = lambda cost, length, seconds, edges: F.struct(cost.alias("cost"), length.alias("distance"), seconds.alias("travel_time"), *([edges.alias("edges")] if paths else []))
     seeds = sources.select(F.col("source"), F.col("source").alias("node"), state(F.lit(0.0), F.lit(0.0), F.lit(0.0), empty).alias("v")).distinct()
@@ -111,6 +123,44 @@ def shortest_paths(arc_rows: DataFrame, sources: DataFrame, mode: str = "shortes
     return _relax(seeds, ["source", "node"], advance, max_rounds).select("source", "node", "v.*")
 
 
+def _searched(steps: DataFrame, sources: DataFrame, max_cost: float | None, paths: bool) -> DataFrame:
+    """``shortest_paths`` on a network that fits every task: a search from each source on its own."""
+    ways: dict[str, list[tuple]] = {}
+    for r in steps.select("node", "to_node", "w", "edge_id", "length", "travel_time").toPandas().itertuples(index=False):  # counted by the caller
+        ways.setdefault(r.node, []).append((r.to_node, r.w, r.edge_id, r.length, r.travel_time))
+    sent = steps.sparkSession.sparkContext.broadcast(ways)
+    names = ["source", "node", "cost", "distance", "travel_time", *["edges"] * paths]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source in batch["source"]:
+                best = {source: (0.0, 0.0, 0.0, None, None)}
+                done, queue = [], [(0.0, source)]
+                closed = set()
+                while queue:
+                    cost, node = heapq.heappop(queue)
+                    if node in closed:
+                        continue
+                    closed.add(node)
+                    done.append(node)
+                    _, length, seconds, _, _ = best[node]
+                    for to, w, edge, more, longer in sent.value.get(node, ()):
+                        total = cost + w
+                        if (to not in best or total < best[to][0]) and (max_cost is None or total <= max_cost):
+                            best[to] = (total, length + more, seconds + longer, node, edge)
+                            heapq.heappush(queue, (total, to))
+                out = pd.DataFrame([(source, n, *best[n][:3]) for n in done], columns=names[:5])
+                if paths:
+                    edges: dict[str, list[str]] = {}
+                    for n in done:  # nearer nodes come first
+                        edges[n] = [] if best[n][3] is None else [*edges[best[n][3]], best[n][4]]
+                    out["edges"] = [edges[n] for n in done]
+                yield out
+
+    schema = "source string, node string, cost double, distance double, travel_time double" + ", edges array<string>" * paths
+    return sources.select(F.col("source").cast("string").alias("source")).distinct().mapInPandas(search, schema)
+
+
 def routes(arc_rows: DataFrame, pairs: DataFrame, mode: str = "shortest_distance") -> DataFrame:
     """For each pair (source, target): found, distance, estimated_time, road_sequence, node_sequence, geometry.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
@@ -397,6 +397,7 @@ def graph_arcs(m: TestMap) -> DataFrame:
     return graph.arcs(m.roads).select("edge_id", "from_node", "to_node", F.round("length", 3).alias("length"), F.round("travel_time", 3).alias("travel_time"))
 
 
+_PRIMARY = "primary_ AS (SELECT * FROM roads WHERE road_class = 'primary')"
 _DEGREE = "degrees_ AS (SELECT n.id AS node_id, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS degree FROM nodes n LEFT JOIN (SELECT from_node AS id, 1 AS n FROM roads UNION ALL SELECT to_node, 1 FROM roads) e USING (id) GROUP BY n.id)"
 
 
@@ -405,14 +406,16 @@ def node_degree(m: TestMap) -> DataFrame:
     return graph.node_degree(m.nodes, m.roads)
 
 
-@query(with_map("SELECT node_id FROM degrees_ WHERE degree = 0", _DEGREE))
+@query(with_map("SELECT node_id FROM degrees_ WHERE degree = 0", _PRIMARY, _DEGREE.replace("FROM roads", "FROM primary_")))
 def isolated_nodes(m: TestMap) -> DataFrame:
-    return topology.isolated_nodes(m.nodes, m.roads)
+    """Nodes that no primary road reaches."""
+    return topology.isolated_nodes(m.nodes, m.roads.where("road_class = 'primary'"))
 
 
-@query(with_map("SELECT DISTINCT r.id AS road_id FROM roads r JOIN degrees_ d ON d.node_id IN (r.from_node, r.to_node) WHERE d.degree <= 1", _DEGREE))
+@query(with_map("SELECT DISTINCT r.id AS road_id FROM primary_ r JOIN degrees_ d ON d.node_id IN (r.from_node, r.to_node) WHERE d.degree <= 1", _PRIMARY, _DEGREE.replace("FROM roads", "FROM primary_")))
 def dangling_edges(m: TestMap) -> DataFrame:
-    return topology.dangling_edges(m.nodes, m.roads)
+    """Dead ends of the primary roads."""
+    return topology.dangling_edges(m.nodes, m.roads.where("road_class = 'primary'"))
 
 
 _EVEN = "links AS (SELECT from_node AS a, to_node AS b FROM roads WHERE id LIKE 'v%' UNION ALL SELECT to_node, from_node FROM roads WHERE id LIKE 'v%')"
@@ -504,15 +507,17 @@ def illegal_crossings(m: TestMap) -> DataFrame:
 
 
 _TRACE = """
-trace AS (
-  SELECT trajectory_id, CAST(point_index AS BIGINT) AS seg, lon AS x1, lat AS y1, lead(lon) OVER t AS x2, lead(lat) OVER t AS y2 FROM points WINDOW t AS (PARTITION BY trajectory_id ORDER BY point_index)),
+shuffled AS (SELECT trajectory_id, lon, lat, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY point_index % 7, point_index) - 1 AS BIGINT) AS seg FROM points),
+trace AS (SELECT trajectory_id, seg, lon AS x1, lat AS y1, lead(lon) OVER t AS x2, lead(lat) OVER t AS y2 FROM shuffled WINDOW t AS (PARTITION BY trajectory_id ORDER BY seg)),
 cut AS (SELECT * FROM trace WHERE x2 IS NOT NULL)"""
 
 
 @query(with_map(f"SELECT concat('t_', CAST(a.trajectory_id AS VARCHAR)) AS road_id, a.seg AS seg_a, b.seg AS seg_b FROM cut a JOIN cut b ON a.trajectory_id = b.trajectory_id AND b.seg >= a.seg + 2 WHERE {cross_of('a', 'b')}", _TRACE))
 def self_intersections(m: TestMap) -> DataFrame:
-    """Where the line through a trajectory's points meets itself."""
-    rows = trajectory.lines(m.points).select(F.concat(F.lit("t_"), F.col("trajectory_id").cast("string")).alias("id"), F.col("trajectory_id").alias("pos"), F.lit("a").alias("from_node"), F.lit("b").alias("to_node"), F.col("line").alias("geometry"))
+    """Where a line meets itself that runs through a trajectory's points seven times, each time with every seventh."""
+    order = Window.partitionBy("trajectory_id").orderBy(F.col("point_index") % 7, "point_index")
+    points = m.points.withColumn("point_index", F.row_number().over(order) - 1)
+    rows = trajectory.lines(points).select(F.concat(F.lit("t_"), F.col("trajectory_id").cast("string")).alias("id"), F.col("trajectory_id").alias("pos"), F.lit("a").alias("from_node"), F.lit("b").alias("to_node"), F.col("line").alias("geometry"))
     return topology.self_intersections(rows).select("road_id", F.col("seg_a").cast("long").alias("seg_a"), F.col("seg_b").cast("long").alias("seg_b"))
 
 

@@ -12,6 +12,13 @@ from roadloom.operators import graph
 PLACES = {f"n{i}": (116 + 0.01 * (i % 4), 39 + 0.013 * (i // 4)) for i in range(12)} | {"lost": (117.0, 39.0)}
 
 
+@pytest.fixture(params=["broadcast", "relaxed"], autouse=True)
+def way(request, monkeypatch):
+    """Both ways to find paths."""
+    if request.param == "relaxed":
+        monkeypatch.setattr(graph, "BROADCAST_ARCS", 0)
+
+
 @pytest.fixture(scope="module")
 def town(spark):
     rows = []
