@@ -97,41 +97,53 @@ def write_str(df: DataFrame, path: str, files: int = 64) -> None:
     df.repartitionByRange(files, (F.col("min_lon") + F.col("max_lon")) / 2).sortWithinPartitions((F.col("min_lat") + F.col("max_lat")) / 2).write.mode("overwrite").parquet(path)
 
 
-def _ranked(pairs: DataFrame, keys: list[str], k: int, order: list) -> DataFrame:
-    return pairs.withColumn("cand_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("cand_rank") <= k)
+def _parts(roads: DataFrame) -> DataFrame:
+    """(road_id, x1, y1, x2, y2, box): the segments of each road; a road of one vertex is a segment without length."""
+    first = F.element_at("geometry", 1)
+    alone = F.array(F.struct(first["lon"].alias("x1"), first["lat"].alias("y1"), first["lon"].alias("x2"), first["lat"].alias("y2")))
+    cut = F.when(F.size("geometry") == 1, alone).otherwise(p.segments(F.col("geometry")))
+    rows = roads.select("road_id", F.explode(cut).alias("s")).select("road_id", "s.*")
+    box = (F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    return rows.withColumns(dict(zip(BOX, box, strict=True)))
 
 
-def _foot(df: DataFrame) -> DataFrame:
-    return df.withColumn("_f", g.polyline_projection(F.col("lon"), F.col("lat"), F.col("geometry"))).select("*", "_f.distance", "_f.segment_index", "_f.plon", "_f.plat").drop("_f")
+def _nearest(points: DataFrame, parts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, road_id, cand_rank, _d) of the nearest ``k`` roads among the segments in each point's cell.
+
+    Distances are plain arithmetic on joined rows. One shuffle by the keys serves the
+    minimum of each road and the ranking.
+    """
+    foot = g.segment_projection(F.col("lon"), F.col("lat"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    pairs = points.join(parts, ["cx", "cy"]).select(*keys, "road_id", foot["distance"].alias("_d"))
+    best = pairs.repartition(*keys).groupBy(*keys, "road_id").agg(F.min("_d").alias("_d"))
+    order = Window.partitionBy(*keys).orderBy(F.round("_d", 6), "road_id")
+    return best.withColumn("cand_rank", F.row_number().over(order)).where(F.col("cand_rank") <= k)
 
 
 def nearest_roads(points: DataFrame, roads: DataFrame, keys: list[str], k: int = 5, size: float = CELL) -> DataFrame:
     """For each point (keys, lon, lat) its ``k`` nearest roads, exactly: keys, lon, lat, road columns, distance, segment_index, plon, plat, cand_rank.
 
-    Ties, to a micrometre, go to the smaller road_id. Rings of cells are searched outward: a ring's answer
-    for a point is final once its k-th distance is no more than the ring is wide, and only
-    the other points go on to the next, four times wider ring. Points and roads meet on
-    cells; neither side is broadcast by hand. A point far from everything ends in a ring
-    that covers all roads.
+    Ties, to a micrometre, go to the smaller road_id. Rings of cells are searched outward:
+    a ring's answer for a point is final once its k-th distance is no more than the ring is
+    wide, and only the other points go on to the next, four times wider ring. Points and
+    segments of roads meet on cells; neither side is broadcast by hand. A point far from
+    everything ends in a ring that covers all roads. Geometry is looked at again only for
+    the roads that were chosen.
     """
-    roads = roads.select(F.col("id").alias("road_id"), *[c for c in roads.columns if c not in ("id", "lon", "lat", *keys)])
-    roads = roads if "min_lon" in roads.columns else with_bbox(roads)
-    order = [F.round("distance", 6), "road_id"]
-    x1, y1, x2, y2 = bounds(roads).unionByName(bounds(points)).agg(F.min("min_lon"), F.min("min_lat"), F.max("max_lon"), F.max("max_lat")).first()
-    left = points.select(*keys, "lon", "lat").where("lon is not null and lat is not null")
-    if x1 is None:
-        return _ranked(_foot(left.join(roads.limit(0))), keys, k, order)
-    span = max(x2 - x1, y2 - y1, size)
-    squeeze = max(0.1, math.cos(math.radians(max(abs(y1), abs(y2)))))
+    roads = roads.select(F.col("id").alias("road_id"), *[c for c in roads.columns if c not in ("id", "lon", "lat", *BOX, *keys)])
+    parts = _parts(roads)
+    x1, y1, x2, y2 = bounds(parts).unionByName(bounds(points)).agg(F.min("min_lon"), F.min("min_lat"), F.max("max_lon"), F.max("max_lat")).first()
+    left = here = points.select(*keys, "lon", "lat").where("lon is not null and lat is not null")
     rings, width = [], size
+    span = 0.0 if x1 is None else max(x2 - x1, y2 - y1, size)
+    squeeze = 1.0 if x1 is None else max(0.1, math.cos(math.radians(max(abs(y1), abs(y2)))))
     while True:
         final = width > 2 * span
         x, y = cells(F.col("lon"), F.col("lat"), width)
-        near = covered(roads, width, width).drop(*BOX)
-        found = _ranked(_foot(left.withColumns({"cx": x, "cy": y}).join(near, ["cx", "cy"])).drop("cx", "cy"), keys, k, order)
-        safe = F.lit(math.radians(width * squeeze) * g.RADIUS_M * 0.999)
-        found = materialised(found.withColumn("_sure", F.lit(final) | (F.max(F.when(F.col("cand_rank") == k, F.col("distance"))).over(Window.partitionBy(*keys)) <= safe)))
-        sure = found.where("_sure").drop("_sure")
+        found = _nearest(left.withColumns({"cx": x, "cy": y}), covered(parts, width, width).drop(*BOX), keys, k)
+        safe = math.radians(width * squeeze) * g.RADIUS_M * 0.999
+        last = F.max(F.when(F.col("cand_rank") == k, F.col("_d"))).over(Window.partitionBy(*keys))
+        sure = materialised(found if final else found.withColumn("_last", last).where(F.col("_last") <= safe).drop("_last"))
         rings.append(sure)
         if final:
             break
@@ -142,7 +154,9 @@ def nearest_roads(points: DataFrame, roads: DataFrame, keys: list[str], k: int =
     out = rings[0]
     for ring in rings[1:]:
         out = out.unionByName(ring)
-    return out
+    f = g.polyline_projection(F.col("lon"), F.col("lat"), F.col("geometry"))
+    rows = out.drop("_d").join(here, keys).join(roads, "road_id").withColumn("_f", f)
+    return rows.select(*keys, "lon", "lat", *[c for c in roads.columns], "_f.distance", "_f.segment_index", "_f.plon", "_f.plat", "cand_rank")
 
 
 def nearby_roads(points: DataFrame, roads: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
