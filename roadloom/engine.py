@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geodesy as g
+from .functions.types import GEOFENCES
 from .operators import graph, matching, measures, spatial, topology, trajectory
 from .sources import geojson, osm
 from .sources.store import MapStore
@@ -78,6 +79,10 @@ class MapEngine:
         self.store.replace(road_nodes=nodes, road_edges=roads)
         return self.current()
 
+    def reset(self) -> None:
+        """Empties all layers."""
+        self.store.clear()
+
     def current(self) -> DataFrame:
         """One row: rows of each layer and the box of the roads, null without roads."""
         n = lambda df, name, key="id": df.agg(F.count_distinct(key).alias(name))
@@ -103,6 +108,15 @@ class MapEngine:
         rows = [(trajectory_id, i, float(c[0]), float(c[1])) for i, c in enumerate(coordinates)]
         return self.spark.createDataFrame(rows, "trajectory_id string, point_index int, lon double, lat double")
 
+    def fence_rows(self, payload: list[dict]) -> DataFrame:
+        """Fences from request objects with id, name and coordinates, or a geometry that has them."""
+        rows = []
+        for n, item in enumerate(payload):
+            rings = item.get("coordinates") or (item.get("geometry") or {}).get("coordinates") or []
+            fence_id = str(item.get("id") or f"request_fence_{n}")
+            rows.append((fence_id, str(item.get("name") or fence_id), [[(float(c[0]), float(c[1])) for c in ring] for ring in rings], n))
+        return self.spark.createDataFrame(rows, GEOFENCES)
+
     # Queries -------------------------------------------------------------------------------
 
     def nearby(self, lon: float, lat: float, k: int = 5) -> DataFrame:

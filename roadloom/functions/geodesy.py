@@ -62,6 +62,11 @@ def segment_projection(lon: Column, lat: Column, x1: Column, y1: Column, x2: Col
     return F.struct(F.sqrt(qx * qx + qy * qy).alias("distance"), index.cast("long").alias("segment_index"), t.alias("t"), plon.alias("plon"), plat.alias("plat"))
 
 
+def near_segment(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column, tolerance_m: float = 0.25) -> Column:
+    """Whether a point lies within a tolerance of a segment."""
+    return segment_projection(lon, lat, x1, y1, x2, y2)["distance"] <= tolerance_m
+
+
 def polyline_projection(lon: Column, lat: Column, line: Column) -> Column:
     """The nearest foot of a point on a polyline, the first of equal ones; of one vertex the vertex, of none null."""
     feet = F.transform(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` where it is set; a temporary folder in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if re.match("local($|\\[)", spark.sparkContext.master) is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.gettempdir()
     return str(top).rstrip("/")

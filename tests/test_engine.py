@@ -43,6 +43,20 @@ def test_geofence_events(engine):
     assert {(r["point_index"], r["event"]) for r in engine.geofence_check().collect()} == {(2, "enter"), (3, "exit")}
 
 
+def test_fences_of_a_request(engine):
+    fences = engine.fence_rows([{"id": "x", "geometry": {"coordinates": FENCE}}, {"coordinates": [[(0, 0), (1, 0), (1, 1), (0, 0)]]}])
+    assert [tuple(r)[:2] for r in fences.select("id", "name").collect()] == [("x", "x"), ("request_fence_1", "request_fence_1")]
+    assert {r["fence_id"] for r in engine.geofence_check(fences=fences).collect()} == {"x"}
+
+
+def test_reset(spark, tmp_path):
+    made = MapEngine(spark, str(tmp_path))
+    made.load_payloads(*payloads()[:1])
+    assert made.current().first()["roads"] == 13 and made.current().first()["pois"] == 0
+    made.reset()
+    assert made.current().first()["roads"] == 0 and made.current().first()["min_lon"] is None
+
+
 @pytest.mark.parametrize("algorithm", ["nearest", "candidate_cost", "hmm"])
 def test_matching(engine, algorithm):
     rows = engine.match(engine.trajectory(), algorithm, 3).collect()

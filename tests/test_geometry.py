@@ -109,6 +109,11 @@ def test_distances(spark):
     assert one(spark, g.polyline_projection(*lits(0, 0), F.array().cast(LINE))) is None
 
 
+def test_points_near_a_segment(spark):
+    assert one(spark, g.near_segment(*lits(116.4, 39.900001, 116.39, 39.9, 116.41, 39.9)))
+    assert not one(spark, g.near_segment(*lits(116.4, 39.90001, 116.39, 39.9, 116.41, 39.9)))
+
+
 def test_angles(spark):
     assert one(spark, g.bearing(*lits(0, 0, 0, 1))) == 0
     assert one(spark, g.bearing(*lits(0, 0, 1, 0))) == pytest.approx(90)
