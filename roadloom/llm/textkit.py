@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -146,7 +147,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not top:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local["):
+        if re.match("local($|\\[)", spark.sparkContext.master) is None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.gettempdir()
     path = f"{str(top).rstrip('/')}/stage-{uuid.uuid4().hex}"
