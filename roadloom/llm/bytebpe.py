@@ -7,17 +7,20 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import trim, written_in_buckets
+from .textkit import block_numbers, table_buckets, trim, written_in_buckets
 
 #: Text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Text for each bucket of the table of blocks.
+TABLE_BYTES = 16 << 20
 #: Text for each bucket of distinct words.
 BUCKET_BYTES = 8 << 20
 _LOADED: dict[tuple, object] = {}
@@ -39,7 +42,8 @@ def _encoding(path: str, pattern: str):
         table = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             table[rank] = token
-        _LOADED[path, pattern] = regex.compile(pattern), tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table
+        decimals = [b"%d" % i for i in range(len(table))]
+        _LOADED[path, pattern] = regex.compile(pattern), tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), table, decimals
     return _LOADED[path, pattern]
 
 
@@ -71,9 +75,11 @@ def _block_rows(block: int, ids: list, texts: list[str], words_in, buckets: int)
     count: Counter[str] = Counter()
     for w in found:
         count.update(w)
-    words = sorted(count, key=lambda w: (-count[w], w))  # the many rare ones stand in alphabetical order, which compresses
+    items = sorted(count.items())
+    items.sort(key=itemgetter(1), reverse=True)
+    words = [w for w, _ in items]  # frequent ones first; the many rare ones stand in alphabetical order, which compresses
     place = dict(zip(words, range(len(words)), strict=True)).__getitem__
-    sequence = np.fromiter((place(w) for f in found for w in f), np.uint32, sum(map(len, found)))
+    sequence = np.fromiter(map(place, chain.from_iterable(found)), np.uint32, sum(map(len, found)))
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.uint32)
     yield 0, block, -1, _squeeze(np.array([len(f) for f in found], np.uint32), sequence, bucket), ids
@@ -100,13 +106,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    table_size = table_buckets(docs.sparkSession, -(-total // TABLE_BYTES))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pattern_of, _, _ = _encoding(ranks_path, pattern)
-        block, held, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        pattern_of, *_ = _encoding(ranks_path, pattern)
+        numbers = block_numbers(TaskContext.get().partitionId(), table_size)
+        block, held, ids, texts = next(numbers), 0, [], []
         arrow = None
 
         def flush():
@@ -121,7 +129,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             for i, size in enumerate(pa.compute.binary_length(batch.column(1)).to_pylist()):
                 if held and held + size > BLOCK_BYTES:
                     yield flush()
-                    block, held, ids, texts = block + 1, 0, [], []
+                    block, held, ids, texts = next(numbers), 0, [], []
                 ids.append(batch.column(0)[i].as_py())
                 texts.append(batch.column(1)[i].as_py())
                 held += size + 1
@@ -131,11 +139,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 
     import pyarrow.compute  # noqa: F401
 
-    parts = written_in_buckets(rows.mapInArrow(blocks, f"{_T1}, ids array<{id_type}>"), "block", buckets)
+    parts = written_in_buckets(rows.mapInArrow(blocks, f"{_T1}, ids array<{id_type}>"), "block", table_size)
 
     def encode(table: pa.Table) -> pa.Table:
         """The ids of each distinct word of a bucket, once; then of the words of each block, in their order."""
-        _, coder, _ = _encoding(ranks_path, pattern)
+        _, coder, *_ = _encoding(ranks_path, pattern)
         known: dict[bytes, list[int]] = {}
         out = []
         for payload in table["payload"].to_pylist():
@@ -155,7 +163,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     coded = parts.where("kind = 1").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(encode, "block long, bucket int, payload binary")
 
     def assemble(places: pa.Table, coded: pa.Table) -> pa.Table:
-        _, _, table = _encoding(ranks_path, pattern)
+        _, _, table, decimals = _encoding(ranks_path, pattern)
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * with_ids]
         counts, sequence, bucket = map(_numbers, _expand(places["payload"][0].as_py()))
         n_words = len(bucket)
@@ -171,7 +179,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             for i, n in zip(to.tolist(), lengths.tolist(), strict=True):
                 own = ids[at : at + n]
                 at += n
-                decimal[i] = b" ".join([b"%d" % x for x in own])
+                decimal[i] = b" ".join([decimals[x] for x in own])
                 plain[i] = b"".join([table[x] for x in own])
                 if with_ids:
                     exact[i] = own

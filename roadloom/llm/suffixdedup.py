@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_runs, prefix_hash, span_hash, trim, written, written_in_buckets
+from .textkit import block_numbers, byte_runs, prefix_hash, span_hash, table_buckets, trim, written, written_in_buckets
 
 #: Bytes of a passage.
 LENGTH = 50
@@ -20,6 +20,8 @@ GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 #: Text of one block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Text for each bucket of the table of blocks.
+TABLE_BYTES = 16 << 20
 #: Text for each bucket in which suffixes are sorted.
 BUCKET_BYTES = 2 << 20
 _BITS = np.uint64((1 << 48) - 1)
@@ -221,11 +223,13 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    table_size = table_buckets(docs.sparkSession, -(-total // TABLE_BYTES))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        numbers = block_numbers(TaskContext.get().partitionId(), table_size)
+        block, held, ids, texts = next(numbers), 0, [], []
 
         def flush() -> pa.RecordBatch:
             value, several = _distinct_values(Runs(texts))
@@ -242,7 +246,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for i, size in enumerate(pc.binary_length(texts_of).to_pylist()):
                 if held and held + size > BLOCK_BYTES:
                     yield flush()
-                    block, held, ids, texts = block + 1, 0, [], []
+                    block, held, ids, texts = next(numbers), 0, [], []
                 ids.append(batch.column(0)[i].as_py())
                 texts.append(texts_of[i].as_py())
                 held += size + 1
@@ -250,7 +254,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield flush()
         trim()
 
-    parts = written_in_buckets(rows.mapInArrow(blocks, "kind int, block long, bucket int, payload binary, extra binary, ids array<long>"), "block", buckets)
+    parts = written_in_buckets(rows.mapInArrow(blocks, "kind int, block long, bucket int, payload binary, extra binary, ids array<long>"), "block", table_size)
 
     def shared(table: pa.Table) -> pa.Table:
         """For each block, which of its minimisers in this bucket another text has too."""

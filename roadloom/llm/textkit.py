@@ -164,16 +164,41 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """As ``written``, laid out by a hash of ``key``, so that grouping by it needs no shuffle of this side.
+def _mix(h: int, k: int) -> int:
+    k = k * 0xCC9E2D51 & 0xFFFFFFFF
+    k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+    h ^= k
+    return ((h << 13 | h >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
 
-    There are at least as many buckets as shuffle partitions; with fewer, Spark would
-    shuffle this side after all.
-    """
+
+def bucket_of(x: int, buckets: int) -> int:
+    """The bucket of a long: Spark's 32-bit Murmur3 with seed 42, modulo ``buckets``."""
+    h = _mix(_mix(42, x & 0xFFFFFFFF), x >> 32 & 0xFFFFFFFF) ^ 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
+def block_numbers(partition: int, buckets: int) -> Iterator[int]:
+    """Numbers for the blocks of a task, all of one bucket, so that the task writes one file of a table in buckets."""
+    x = partition << 32
+    while True:
+        if bucket_of(x, buckets) == partition % buckets:
+            yield x
+        x += 1
+
+
+def table_buckets(spark: SparkSession, wanted: int) -> int:
+    """Buckets of a table: as many as shuffle partitions at least; with fewer, Spark would shuffle the table after all."""
+    return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def written_in_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``written``, laid out by a hash of ``key`` into ``table_buckets``, so that grouping by it needs no shuffle of this side."""
     spark = df.sparkSession
     small_batches(spark)
     name = f"stage_{uuid.uuid4().hex}"
-    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(buckets, key).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import bytebpe, components, exactdedup, langid, licenses, neardup, packing, quality, shingles, suffixdedup, tokencount, topk
+from roadloom.llm import bytebpe, components, exactdedup, langid, licenses, neardup, packing, quality, shingles, suffixdedup, textkit, tokencount, topk
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -218,6 +218,15 @@ def test_signatures_estimate_probability_jaccard():
     assert np.mean(got[0] == got[1]) == pytest.approx(exact, abs=0.02)
 
 
+def test_block_numbers_share_a_bucket(spark):
+    from itertools import islice
+
+    for partition, buckets in ((0, 7), (5, 7), (9, 51), (1 << 20, 211)):
+        numbers = list(islice(textkit.block_numbers(partition, buckets), 4))
+        got = spark.createDataFrame([(x,) for x in numbers], "x long").select(F.pmod(F.hash("x"), F.lit(buckets)).alias("b")).collect()
+        assert {r["b"] for r in got} == {partition % buckets} and len(set(numbers)) == 4
+
+
 def test_components_of_a_star_and_a_chain(spark):
     edges = spark.createDataFrame([(1, i) for i in range(2, 50)] + [(i, i + 1) for i in range(100, 160)] + [(7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(edges).collect()}
