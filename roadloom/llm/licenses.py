@@ -173,9 +173,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     keywords = sorted({r.keyword for r in rule_list})
     table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.base).alias("base")) for r in rule_list])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gate = text.rlike("(?i)(?:" + "|".join(keywords) + ")")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), gate.alias("gate"))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("gate"), F.concat(F.lit(" "), F.translate(F.array_join("words", " "), _UPPER, _LOWER), F.lit(" "))).alias("line"))
+    # Words of the text lowered by the book are as many, and have every keyword that the text has with A-Z lowered.
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
+    exact = F.concat(F.lit(" "), F.translate(F.array_join(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), " "), _UPPER, _LOWER), F.lit(" "))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", F.array(*map(F.lit, keywords))), exact).alias("line"))
     present = F.when(F.col("line").isNotNull(), F.array_intersect(F.split("line", " "), F.array(*map(F.lit, keywords))))
     rows = rows.withColumn("present", present)
     tried = F.filter(table, lambda r: F.array_contains(F.col("present"), r["keyword"]))
