@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,19 +20,26 @@ from .textkit import byte_runs, trim, written
 #: Pieces that one packing task holds on average. A task leaves about one unfilled bin.
 GROUP_PIECES = 8192
 #: Words whose ids a worker remembers; beyond it the memory starts anew, results do not depend on it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _LOADED: dict[str, tuple] = {}
 #: Texts of these characters only are unchanged by NFC and lower-case one character to one.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+#: The normaliser and the pattern of pre-tokens for which texts of plain characters are cut here.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordEncoder:
     """Ids of texts under a word-end BPE of the tokenizers library, as little-endian 32-bit integers.
 
     The library encodes each pre-token on its own, so the ids of one may be remembered and
-    reused. Pre-tokens are found here only in texts made of plain Latin characters; any
-    other text goes to the library as a whole.
+    reused. Pre-tokens are found here only in texts made of plain Latin characters, and only
+    for a tokenizer with the normaliser and pattern above; any other text goes to the
+    library as a whole. New pre-tokens, already normal and cut, go to the same model without
+    these two steps.
     """
 
     def __init__(self, path: str):
@@ -39,7 +47,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = False
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        steps = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = steps[0].get("pattern", {}).get("Regex") if len(steps) == 2 else None
+        normal = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
+        self.cuts = pattern == _PATTERN and normal == _NORMAL and config["model"].get("end_of_word_suffix") == "</w>"
+        if self.cuts:
+            self.words = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}))
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -52,7 +67,7 @@ class WordEncoder:
     def learn(self, words: list[str]) -> None:
         known = self.known
         chunks = [words[a:b] for a, b in byte_runs(map(len, words), 1 << 14)]
-        for chunk, e in zip(chunks, self.library.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+        for chunk, e in zip(chunks, self.words.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(chunk) and (not len(stop) or stop[-1] == len(ids)):
@@ -67,7 +82,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         units = []
         for t in texts:
-            plain = _PLAIN.fullmatch(t) and not any(s in t for s in self.special)
+            plain = self.cuts and _PLAIN.fullmatch(t) and not any(s in t for s in self.special)
             units.append(_UNIT.findall(t.lower()) if plain else None)
         new = set().union(*(u for u in units if u)).difference(self.known)
         if new:
