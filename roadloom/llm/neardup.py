@@ -22,25 +22,27 @@ _CHUNK = 4096
 
 
 def signed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, bands): a 128-bit hash of the weighted shingles and the band keys of every row.
+    """(doc_id, k1, k2, bands): a 128-bit hash of the set of shingles and the band keys of every row.
 
-    Weights grow with the logarithm of the count. Without words k1, k2 and bands are null.
+    Every shingle weighs the same, however often it occurs, so registers agree with the
+    chance that is the Jaccard similarity by which links are verified. Without words k1, k2
+    and bands are null.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in byte_runs(pc.binary_length(batch.column(1)).to_pylist(), 1 << 21):
-                value, times, starts = weighted_shingles(batch.column(1).slice(a, b - a).to_pylist())
+                value, _, starts = weighted_shingles(batch.column(1).slice(a, b - a).to_pylist())
                 has = np.diff(starts) > 0
                 keys = np.zeros((b - a, 2), np.uint64)
                 if len(value):
-                    mixed = mix64(value ^ mix64(times.astype(np.uint64)))
+                    mixed = mix64(value)
                     keys[has, 0] = np.add.reduceat(mixed, starts[:-1][has])
                     keys[has, 1] = np.add.reduceat(mix64(mixed + np.uint64(99)), starts[:-1][has])
                 bands = np.zeros((b - a, BANDS), np.uint64)
                 if len(value):
-                    bands[has] = band_keys(signatures(value, 1 + np.log(times), np.concatenate([starts[:-1][has], starts[-1:]])))
+                    bands[has] = band_keys(signatures(value, np.ones(len(value)), np.concatenate([starts[:-1][has], starts[-1:]])))
                 none = pa.array(~has)
                 offsets = pa.array(np.where(np.append(has, True), np.concatenate([[0], np.cumsum(has * BANDS)]), 0).astype(np.int32), mask=np.append(~has, False))
                 yield pa.RecordBatch.from_arrays(
@@ -156,9 +158,9 @@ def near_classes(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_
 
     Two documents are linked if their sets of five-word shingles have a Jaccard similarity
     of at least ``threshold``; a class is what links connect, its id the smallest doc_id,
-    and that document is kept. ProbMinHash signatures of the weighted shingles are cut into
-    bands. Documents with equal weighted shingles become one representative first, by sums
-    per task before the shuffle. Bands connect representatives to the smallest one of a
+    and that document is kept. ProbMinHash signatures of the shingles, each of weight one, are
+    cut into bands. Documents with equal sets become one representative first, by sums per
+    task before the shuffle. Bands connect representatives to the smallest one of a
     bucket, never all pairs; what they connect is a component of candidates. Inside a
     component every pair is then compared exactly: members are dealt into blocks, a task
     takes a tile of two blocks, and returns a spanning forest of its links. So a group of

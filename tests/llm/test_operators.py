@@ -200,6 +200,17 @@ def test_near_dedup_loses_no_link(spark, docs, none, monkeypatch, block):
     assert neardup.near_classes(none).count() == 0
 
 
+@pytest.mark.parametrize("times", [5, 10, 50, 1000])
+def test_near_dedup_links_copies_that_repeat_a_line(spark, times):
+    rng, rows = random.Random(times), []
+    for i in range(0, 80, 2):
+        word = lambda k: f"w{i}x{k}"  # noqa: E731, B023
+        base, line = [word(k) for k in range(104)], [word(k) for k in range(200, 220)]
+        rng.shuffle(base)
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + line * times))]
+    assert {i: r["class_id"] for i, r in by_id(neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))).items()} == classes_of(rows) == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_dedup_of_null_ids_and_repeats(spark):
     text = prose(random.Random(2), 30)
     rows = neardup.near_classes(spark.createDataFrame([(None, text), (None, text), (5, text), (5, text), (4, text)], "doc_id long, text string")).collect()
