@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,30 +80,37 @@ def network_components(nodes: DataFrame, roads: DataFrame) -> DataFrame:
     return of.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("node")).alias("members")).orderBy(F.desc("size"), "component")
 
 
-def _relax(seeds: DataFrame, keys: list[str], advance, max_rounds: int, rounds_per_write: int = 3) -> DataFrame:
-    """The best state for each of ``keys``: ``advance`` turns improved states into new ones, ``v`` (a struct, cost first) decides."""
+def _relax(seeds: DataFrame, keys: list[str], advance, max_rounds: int | None, rounds_per_write: int = 3) -> DataFrame:
+    """The best state for each of ``keys``: ``advance`` turns improved states into new ones, ``v`` (a struct, cost first) decides.
+
+    Goes on until no state improves; if round ``max_rounds`` still improves one, that is a RuntimeError.
+    """
     best, new = seeds, seeds
-    for r in range(1, max_rounds + 1):
+    for r in count(1):
         offered = advance(new).groupBy(*keys).agg(F.min("v").alias("v"))
-        known = best.select(*keys, F.col("v.cost").alias("_cost"))
-        better = offered.join(known, keys, "left").where("_cost is null or v.cost < _cost - 1e-9 * greatest(1, abs(_cost))").drop("_cost")
-        if r % rounds_per_write:
+        known = best.select(*keys, F.col("v.cost").alias("_cost"), F.lit(True).alias("_known"))
+        better = offered.join(known, keys, "left").where("_known is null or v.cost < _cost - 1e-9 * greatest(1, abs(_cost))").drop("_cost", "_known")
+        last = r == max_rounds
+        if r % rounds_per_write and not last:
             best = best.join(better.select(*keys), keys, "left_anti").unionByName(better)
             new = better
             continue
         new = materialised(better)
         best = materialised(best.join(new.select(*keys), keys, "left_anti").unionByName(new))
         if new.isEmpty():
-            break
-    return best
+            return best
+        if last:
+            raise RuntimeError(f"states still improve in round {max_rounds}, the last that max_rounds allows")
 
 
-def shortest_paths(arc_rows: DataFrame, sources: DataFrame, mode: str = "shortest_distance", *, max_cost: float | None = None, max_rounds: int = 10_000, paths: bool = False) -> DataFrame:
+def shortest_paths(arc_rows: DataFrame, sources: DataFrame, mode: str = "shortest_distance", *, max_cost: float | None = None, max_rounds: int | None = None, paths: bool = False) -> DataFrame:
     """(source, node, cost, distance, travel_time, and edges with ``paths``) of every node that a source (column source) reaches.
 
     Cost is metres or, for ``shortest_time``, seconds. ``max_cost`` bounds the search by
     meaning, not by accident: farther nodes are not reported. With ``paths`` a state
     carries its edge ids, the longest of which has as many as rounds were needed.
+    Relaxation takes a round for each arc of the longest best path, however many; where
+    ``max_rounds`` is given and does not suffice, a RuntimeError is raised.
     """
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
     steps = arc_rows.groupBy("from_node", "to_node").agg(F.min(F.struct(weight.alias("w"), "edge_id", "length", "travel_time")).alias("arc")).where("from_node <> to_node")
@@ -205,13 +213,13 @@ def merged_legs(legs: DataFrame, by: str) -> DataFrame:
 
 
 def explained_routes(
-    arc_rows: DataFrame, pairs: DataFrame, mode: str = "shortest_distance", *, preferred: list[str] | None = None, turn_penalty_s: float = 8.0, max_rounds: int = 10_000
+    arc_rows: DataFrame, pairs: DataFrame, mode: str = "shortest_distance", *, preferred: list[str] | None = None, turn_penalty_s: float = 8.0, max_rounds: int | None = None
 ) -> DataFrame:
     """For each pair (source, target) the cheapest route when turns and roads of other classes cost extra.
 
     (found, cost, distance_m, travel_time_s, turn_cost_s, road_class_cost, steps); a state
     of the search is a node and the road it was reached by. Seconds of turns are added to
-    whatever the mode counts, metres included.
+    whatever the mode counts, metres included. ``max_rounds`` as in ``shortest_paths``.
     """
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
     steps = arc_rows.select(F.col("from_node").alias("node"), "to_node", F.col("edge_id").alias("next_edge"), F.col("heading").alias("next_heading"), "length", "travel_time", weight.alias("w"), g.class_preference_cost(F.col("road_class"), F.col("length"), preferred or []).alias("class_cost"))

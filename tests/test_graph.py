@@ -6,6 +6,7 @@ import heapq
 
 import pytest
 from maps import node_table, road_table
+from pyspark.sql import functions as F
 
 from roadloom.operators import graph
 
@@ -120,6 +121,32 @@ def test_explained_route_weighs_turns(spark, town):
     assert sum(s["turn_cost"] for s in got["steps"]) == pytest.approx(got["turn_cost_s"])
 
 
+def test_more_arcs_than_rounds_is_no_silent_cut(spark):
+    places = {f"c{i}": (116 + 0.01 * i, 39.0) for i in range(6)}
+    arcs = graph.arcs(road_table(spark, [(f"r{i}", f"c{i}", f"c{i + 1}", [places[f"c{i}"], places[f"c{i + 1}"]]) for i in range(5)]))
+    source, pairs = spark.createDataFrame([("c0",)], "source string"), spark.createDataFrame([("c0", "c5")], "source string, target string")
+    want = dijkstra(arcs.collect(), "c0", "length")
+    costs = lambda **more: {r["node"]: r["cost"] for r in graph.shortest_paths(arcs, source, **more).collect()}
+    assert costs() == pytest.approx(want) and len(want) == 6
+    if graph.BROADCAST_ARCS:
+        assert costs(max_rounds=4) == pytest.approx(want)
+    else:
+        with pytest.raises(RuntimeError, match="max_rounds"):
+            costs(max_rounds=4)
+    assert graph.explained_routes(arcs, pairs).first()["found"]
+    with pytest.raises(RuntimeError, match="max_rounds"):
+        graph.explained_routes(arcs, pairs, max_rounds=4)
+
+
+def test_an_arc_of_unknown_length_ends_the_search(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ARCS", 0)
+    places = {f"c{i}": (116 + 0.01 * i, 39.0) for i in range(3)}
+    roads = road_table(spark, [(f"r{i}", f"c{i}", f"c{i + 1}", [places[f"c{i}"], places[f"c{i + 1}"]]) for i in range(2)])
+    arcs = graph.arcs(roads.withColumn("length", F.when(F.col("id") != "r1", F.col("length"))))
+    got = graph.shortest_paths(arcs, spark.createDataFrame([("c0",)], "source string"), max_rounds=30)
+    assert {r["node"] for r in got.collect()} == {"c0", "c1", "c2"}
+
+
 def test_components(spark, town):
     nodes, roads = town
     got = graph.network_components(nodes, roads.where("id in ('h0', 'h1', 'v8', 'v4', 'h8')")).collect()
