@@ -10,7 +10,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once in a Python worker; numpy temporaries are a small multiple of it.
 BATCH_BYTES = 1 << 20
@@ -164,6 +165,55 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that ``joined_by_key`` may deal out: none of the others has more than a ``HOT_KEYS``-th of all rows.
+HOT_KEYS = 1000
+
+
+def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` joined with ``keyed``, a table with one row for each key and, in column ``size``, how many of the ``total`` rows have it.
+
+    A key with more than a HOT_KEYS-th of all rows is dealt by ``spread`` (a deterministic
+    column of the rows, as different as can be within a key) into parts of about that size,
+    and its row of ``keyed`` is repeated for each part. At most HOT_KEYS keys can be so
+    frequent, so the list of them, which is broadcast, is bounded whatever the tables are.
+    ``keyed`` is read twice; it should be stored or cheap. Null keys match nothing.
+    """
+    most = max(1, total // HOT_KEYS)
+    parts = F.ceil(F.col(size) / F.lit(most)).cast("int")
+    hot = keyed.where(F.col(size) > most).select(*keys, parts.alias("_parts"))
+    dealt = keyed.withColumn("_part", F.explode(F.when(F.col(size) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+    named = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    return named.join(dealt.hint("merge"), [*keys, "_part"]).drop("_part")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that name a row by its id and text, nulls included; rows that share both share it."""
+    tagged = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(tagged(F.col(id_col)), F.lit("\n"), tagged(F.col(text_col))).cast("binary")))
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names`` with as many underscores in front as none of them needs to be among ``taken``, whatever the case."""
+    held = {c.lower() for c in taken}
+    mark = "_"
+    while any((mark + n).lower() in held for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row of each key, the first by ``order`` and then by a hash of all columns that have one.
+
+    Each task keeps one row of a key before the shuffle, so a key of any size is no burden.
+    """
+    from pyspark.sql import Window
+
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*hashed) if hashed else F.lit(0)))
+    (first,) = fresh(rows.columns, "first")
+    return rows.withColumn(first, n).where(F.col(first) == 1).drop(first)
+
+
 def _mix(h: int, k: int) -> int:
     k = k * 0xCC9E2D51 & 0xFFFFFFFF
     k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF

@@ -157,6 +157,22 @@ def test_exact_dedup(docs, none, spark):
     assert exactdedup.exact_groups(odd).where("doc_id is null").count() == 2
 
 
+def test_one_row_of_each_text_stays(spark, none):
+    rows = [(None, "abc", 1), (None, "q", 2), (3, "abc", 3), (5, "a bc", 4), (5, "zz", 5), (5, "zz", 6), (5, "zz", 6), (None, None, 7), (7, " ", 8), (6, "", 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _hash int").withColumns({"norm": F.lit("x"), "_first": F.lit(0)})
+    got = exactdedup.drop_copies(odd)
+    assert got.columns == odd.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("5", "a bc"), ("5", "zz"), ("7", " "), ("None", "q")]
+    assert exactdedup.drop_copies(none).count() == 0
+
+
+def test_members_of_a_very_large_group_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(textkit, "HOT_KEYS", 4)
+    rows = [(i, "one text") for i in range(40)] + [(100 + i, f"text {i}") for i in range(9)] + [(None, "one text")]
+    got = exactdedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in got) == sorted([(str(i), 0, 41, i == 0) for i in range(40)] + [(str(100 + i), 100 + i, 1, True) for i in range(9)] + [("None", 0, 41, False)])
+
+
 def classes_of(rows, threshold=0.8):
     """Classes of five-word shingles by comparing all pairs."""
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
