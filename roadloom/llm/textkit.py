@@ -169,18 +169,19 @@ def written(df: DataFrame) -> DataFrame:
 HOT_KEYS = 1000
 
 
-def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, spread: Column) -> DataFrame:
+def joined_by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int, spread: Column, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``keyed``, a table with one row for each key and, in column ``size``, how many of the ``total`` rows have it.
 
     A key with more than a HOT_KEYS-th of all rows is dealt by ``spread`` (a deterministic
     column of the rows, as different as can be within a key) into parts of about that size,
     and its row of ``keyed`` is repeated for each part. At most HOT_KEYS keys can be so
     frequent, so the list of them, which is broadcast, is bounded whatever the tables are.
-    ``keyed`` is read twice; it should be stored or cheap. Null keys match nothing.
+    ``keyed`` is read twice, unless ``sizes`` has its keys and sizes; it should be stored or
+    cheap. Null keys match nothing.
     """
     most = max(1, total // HOT_KEYS)
     parts = F.ceil(F.col(size) / F.lit(most)).cast("int")
-    hot = keyed.where(F.col(size) > most).select(*keys, parts.alias("_parts"))
+    hot = (keyed if sizes is None else sizes).where(F.col(size) > most).select(*keys, parts.alias("_parts"))
     dealt = keyed.withColumn("_part", F.explode(F.when(F.col(size) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
     named = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     return named.join(dealt.hint("merge"), [*keys, "_part"]).drop("_part")
