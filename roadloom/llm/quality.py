@@ -16,6 +16,8 @@ from .textkit import WORD_BYTE, byte_runs, joined, span_hash, prefix_hash, trim,
 
 #: Random Fourier features; the normal equations have as many rows and columns, plus one.
 FEATURES = 192
+#: Tasks whose sums are added at once.
+FAN = 32
 #: Bins of the raw score in which labels are summed before calibration.
 BINS = 2000
 STATISTICS = (
@@ -141,8 +143,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _summed(df: DataFrame, width: int, tasks: int = 8) -> np.ndarray:
-    """The sum of the ``v`` arrays of all rows, first in each task, then in a few tasks, then here."""
+def _summed(df: DataFrame, width: int) -> np.ndarray:
+    """The sum of the ``v`` arrays of all rows, a tree: in each task, then FAN tasks' sums at a time, until few are left to add here."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -151,21 +153,25 @@ def _summed(df: DataFrame, width: int, tasks: int = 8) -> np.ndarray:
                 total += v.values.to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
-    parts = df.repartition(tasks).mapInArrow(add, "v array<double>").collect()
+    tasks = df.rdd.getNumPartitions()
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        df = df.repartition(tasks).mapInArrow(add, "v array<double>")
+    parts = df.collect()  # FAN rows of fixed size at most
     return np.sum([np.array(p[0]) for p in parts], axis=0) if parts else np.zeros(width)
 
 
 def fit(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", ridge: float = 1e-3) -> QualityModel:
     """A model from the rows of ``stats`` that have a label 0 or 1 in ``labels``.
 
-    All labelled rows count. Each task sums its part of the normal equations, a matrix of
-    fixed size; the sums of the tasks are summed again in a few tasks, and only those reach
-    the driver. Scaling and calibration use sums of fixed size too. Rows with a null id or
+    All labelled rows count; their statistics are joined with the labels and written once.
+    Each task sums its part of the normal equations, a matrix of fixed size; the sums of
+    tasks are added in a tree, and a few of them reach the driver. Scaling and calibration use sums of fixed size too. Rows with a null id or
     label are not used; a document with several labels counts once for each. Without any
     label the score is 0.5.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y"))
-    rows = stats.join(known, "doc_id").select("stats", "y")
+    rows = written(stats.join(known, "doc_id").select("stats", "y"))
     d = len(STATISTICS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
