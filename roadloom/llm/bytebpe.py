@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import SPLIT, asked, first_buckets
 from .textkit import block_numbers, table_buckets, trim, written_in_buckets
 
 #: Text of one block; a longer text is a block of its own.
@@ -24,7 +25,7 @@ TABLE_BYTES = 16 << 20
 #: Text for each bucket of distinct words.
 BUCKET_BYTES = 8 << 20
 _LOADED: dict[tuple, object] = {}
-_T1 = "kind int, block long, bucket int, payload binary"
+_T1 = "kind int, block long, bucket long, payload binary"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -86,26 +87,70 @@ def _block_rows(block: int, ids: list, texts: list[str], words_in, buckets: int)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
-        own = [raw[i] for i in order[edges[b] : edges[b + 1]].tolist()]
-        yield 1, block, b, _squeeze(np.array([len(w) for w in own], np.uint32), b"".join(own), level=9), None
+        yield 1, block, b, _words([raw[i] for i in order[edges[b] : edges[b + 1]].tolist()]), None
+
+
+def _words(words: list[bytes]) -> bytes:
+    return _squeeze(np.array([len(w) for w in words], np.uint32), b"".join(words), level=9)
+
+
+def _read_words(payload: bytes) -> list[bytes]:
+    sizes, raw = _expand(payload)
+    ends = [0, *np.cumsum(_numbers(sizes), dtype=np.int64).tolist()]
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _codes(words: list[bytes], of: dict[bytes, list[int]]) -> bytes:
+    """Ids of words in their order: how many each has, and all of them."""
+    ids = list(map(of.__getitem__, words))
+    return _squeeze(np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids))))
+
+
+def _read_codes(payload: bytes) -> Iterator[list[int]]:
+    lengths, ids = map(_numbers, _expand(payload))
+    ids, at = ids.tolist(), 0
+    for n in lengths.tolist():
+        yield ids[at : at + n]
+        at += n
+
+
+def _distinct(table: pa.Table, level: int) -> dict[int, list[bytes]]:
+    """The distinct words of all rows, in order, by the bucket of the next level."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(set().union(*map(_read_words, table["payload"].to_pylist()))):
+        out.setdefault(zlib.crc32(w[::-1] + bytes([level])) % SPLIT, []).append(w)  # from the other end, so that parts do not follow buckets
+    return out
+
+
+def merge_words(table: pa.Table, level: int) -> list[tuple[int, bytes, bytes]]:
+    return [(part, _words(words), b"") for part, words in _distinct(table, level).items()]
+
+
+def spread_codes(table: pa.Table, answers: list[tuple[int, bytes]], level: int) -> list[bytes]:
+    of: dict[bytes, list[int]] = {}
+    words = _distinct(table, level)
+    for part, payload in answers:
+        of.update(zip(words[part], _read_codes(payload), strict=True))
+    return [_codes(_read_words(p), of) for p in table["payload"].to_pylist()]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; with ``with_ids`` also ids (array) and decoded (binary).
 
     Each match of ``pattern`` is a word. Texts stay where they are read: a block of them
-    becomes the places of its words, and its distinct words are dealt by a hash. The task
-    of a hash bucket encodes each distinct word of the whole corpus once; the ids go back
-    to the blocks, where they are put in order by position, and the token-byte table turns
-    them into bytes again. A very frequent word is one entry for each block, however often
-    it occurs. The blocks are written once, laid out by block, so that only distinct words
+    becomes the places of its words, and its distinct words are dealt by a hash and merged
+    with those of other blocks (see ``exchange.asked``). The task of a hash bucket encodes
+    each distinct word of the whole corpus once; the ids go back to the blocks, where they
+    are put in order by position, and the token-byte table turns them into bytes again. A
+    very frequent word is one entry for each block, however often it occurs, and one for
+    each FAN blocks behind the first merge, so no task hears of it from every block. The blocks are written once, laid out by block, so that only distinct words
     and their ids are shuffled. Null texts count as empty (no tokens); null ids and repeated rows stay as
     they are; an empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = first_buckets(total, BLOCK_BYTES, BUCKET_BYTES)
     table_size = table_buckets(docs.sparkSession, -(-total // TABLE_BYTES))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -120,7 +165,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         def flush():
             out = list(_block_rows(block, ids, texts, pattern_of.findall, buckets))
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.binary()), pa.array([r[4] for r in out], pa.list_(arrow))],
+                [pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary()), pa.array([r[4] for r in out], pa.list_(arrow))],
                 names=["kind", "block", "bucket", "payload", "ids"],
             )
 
@@ -141,26 +186,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
 
     parts = written_in_buckets(rows.mapInArrow(blocks, f"{_T1}, ids array<{id_type}>"), "block", table_size)
 
-    def encode(table: pa.Table) -> pa.Table:
-        """The ids of each distinct word of a bucket, once; then of the words of each block, in their order."""
+    def encode(table: pa.Table) -> list[bytes]:
+        """The ids of each distinct word of a bucket, once; then of the words of each row, in their order."""
         _, coder, *_ = _encoding(ranks_path, pattern)
-        known: dict[bytes, list[int]] = {}
-        out = []
-        for payload in table["payload"].to_pylist():
-            sizes, raw = _expand(payload)
-            ends = [0, *np.cumsum(_numbers(sizes), dtype=np.int64).tolist()]
-            ids: list[int] = []
-            lengths = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                w = raw[a:b]
-                if (got := known.get(w)) is None:
-                    got = known[w] = coder._encode_single_piece(w)
-                ids += got
-                lengths.append(len(got))
-            out.append(_squeeze(np.array(lengths, np.uint32), np.array(ids, np.uint32)))
-        return pa.Table.from_arrays([table["block"], table["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
-
-    coded = parts.where("kind = 1").select("block", "bucket", "payload").groupBy("bucket").applyInArrow(encode, "block long, bucket int, payload binary")
+        rows = [_read_words(p) for p in table["payload"].to_pylist()]
+        known = {w: coder._encode_single_piece(w) for w in set().union(*rows)}
+        return [_codes(r, known) for r in rows]
+
+    asks = parts.where("kind = 1").select("block", "bucket", "payload", F.lit(None).cast("binary").alias("extra"))
+    coded = asked(asks, parts.where("kind = 0").count(), merge_words, encode, spread_codes)
 
     def assemble(places: pa.Table, coded: pa.Table) -> pa.Table:
         _, _, table, decimals = _encoding(ranks_path, pattern)
@@ -170,15 +204,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         number, decimal, plain = np.zeros(n_words, np.int64), [b""] * n_words, [b""] * n_words
         exact = [()] * n_words
         order = np.argsort(bucket, kind="stable")
-        edge = {b: i for b, i in zip(*np.unique(bucket[order], return_index=True), strict=True)}
+        edge = {b: (i, i + n) for b, i, n in zip(*map(np.ndarray.tolist, np.unique(bucket[order], return_index=True, return_counts=True)), strict=True)}
         for b, payload in zip(coded["bucket"].to_pylist(), coded["payload"].to_pylist(), strict=True):
-            lengths, ids = map(_numbers, _expand(payload))
-            to = order[edge[b] : edge[b] + len(lengths)]
-            number[to] = lengths
-            ids, at = ids.tolist(), 0
-            for i, n in zip(to.tolist(), lengths.tolist(), strict=True):
-                own = ids[at : at + n]
-                at += n
+            for i, own in zip(order[slice(*edge[b])].tolist(), _read_codes(payload), strict=True):
+                number[i] = len(own)
                 decimal[i] = b" ".join([decimals[x] for x in own])
                 plain[i] = b"".join([table[x] for x in own])
                 if with_ids:
