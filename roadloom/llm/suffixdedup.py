@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import block_numbers, byte_runs, prefix_hash, span_hash, table_buckets, trim, written, written_in_buckets
+from .exchange import ASK, SPLIT, asked, first_buckets
+from .textkit import block_numbers, byte_runs, fresh, mix64, prefix_hash, row_key, span_hash, table_buckets, trim, written, written_in_buckets
 
 #: Bytes of a passage.
 LENGTH = 50
@@ -24,7 +25,10 @@ BLOCK_BYTES = 4 << 20
 TABLE_BYTES = 16 << 20
 #: Text for each bucket in which suffixes are sorted.
 BUCKET_BYTES = 2 << 20
+#: Stretches around one minimiser, over all blocks; with more of them its strings are dealt one by one.
+HEAVY = 4096
 _BITS = np.uint64((1 << 48) - 1)
+_NEVER = np.int64((1 << 63) - 1)
 _STEP = 1 << 20
 
 
@@ -155,56 +159,285 @@ def _dealt(value: np.ndarray, buckets: int) -> np.ndarray:
     return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _by_bucket(value: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, where its values are) for each bucket that has some, in the order of the values."""
-    bucket = _dealt(value, buckets)
+def _part(value: np.ndarray, level: int) -> np.ndarray:
+    """The bucket of the next level within SPLIT."""
+    return (mix64(value + np.uint64(0x51ED27 + level)) >> np.uint64(40)).astype(np.int64) % SPLIT
+
+
+def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, where it is) for each bucket that is there, in the order of buckets."""
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        yield b, order[edges[b] : edges[b + 1]]
+    found, first = np.unique(bucket[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else ()
+
+
+def _inner(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes`` in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def distinct_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each distinct span of bytes, in the order of their hashes, and which of these each span is.
+
+    Spans of one hash are compared byte by byte; should two differ, hashes are not used.
+    """
+    _, first, inverse = np.unique(span_hash(prefix_hash(data), begin, begin + size), return_index=True, return_inverse=True)
+    own = np.flatnonzero(first[inverse] != np.arange(len(begin)))
+    for a, b in byte_runs(size[own].tolist(), _STEP):
+        x = own[a:b]
+        y = first[inverse[x]]
+        inner = _inner(size[x])
+        if np.any(size[x] != size[y]) or np.any(data[np.repeat(begin[x], size[x]) + inner] != data[np.repeat(begin[y], size[x]) + inner]):
+            seen: dict[bytes, int] = {}
+            inverse = np.array([seen.setdefault(data[i : i + n].tobytes(), len(seen)) for i, n in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
+            return np.unique(inverse, return_index=True)[1], inverse
+    return first, inverse
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
+    """The bytes of spans, one after the other."""
+    return data[np.repeat(begin, size) + _inner(size)].tobytes()
 
 
-def _distinct_values(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """The minimisers of a block, sorted, and whether each is in more than one text."""
-    order = np.lexsort((runs.doc, runs.value))
+# Which minimisers more than one text has -----------------------------------------------------------
+
+
+def _distinct_values(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimisers of a block, sorted, whether each is in more than one text, and how many different stretches are around it."""
+    order = np.lexsort((runs.text, runs.doc, runs.value))
     value, doc = runs.value[order], runs.doc[order]
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    if not len(value):
+        return value, np.zeros(0, bool), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     last = np.append(first[1:], len(value)) - 1
-    return value[first], doc[first] != doc[last] if len(first) else np.zeros(0, bool)
+    order = np.lexsort((runs.text, runs.value))
+    text = runs.text[order]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])])
+    return value[first], doc[first] != doc[last], np.add.reduceat(new.astype(np.int64), first)
+
+
+def _send_values(value: np.ndarray, several: np.ndarray, stretches: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted values, and for each how many stretches, with a bit for several texts."""
+    return _planes(np.diff(value, prepend=np.uint64(0))), _planes(stretches.astype(np.uint64) * np.uint64(2) + several.astype(np.uint64))
+
+
+def _read_values(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [np.cumsum(_values(p), dtype=np.uint64) for p in table["payload"].to_pylist()], [_values(e) for e in table["extra"].to_pylist()]
+
+
+def _merged_values(values: list[np.ndarray], notes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of several rows: each, whether more than one text has it, and its stretches in all of them."""
+    every, note = np.concatenate(values), np.concatenate(notes)
+    order = np.argsort(every, kind="stable")
+    every, note = every[order], note[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    rows = np.diff(np.append(first, len(every)))
+    several = (np.maximum.reduceat(note & np.uint64(1), first) > 0) | (rows > 1) if len(first) else np.zeros(0, bool)  # a row has a value once
+    return every[first], several, np.add.reduceat(note >> np.uint64(1), first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+
+
+def merge_values(table: pa.Table, level: int) -> list[tuple[int, bytes, bytes]]:
+    merged = _merged_values(*_read_values(table))
+    return [(part, *_send_values(*[x[at] for x in merged])) for part, at in _groups(_part(merged[0], level))]
+
+
+def _masks(values: list[np.ndarray], every: np.ndarray, code: np.ndarray) -> list[bytes]:
+    return [_zip(code[np.searchsorted(every, v)].tobytes()) for v in values]
+
+
+def answer_values(table: pa.Table) -> list[bytes]:
+    """For each value 0, or 1 if more than one text has it, or 2 if there are also more than HEAVY stretches around it."""
+    values, notes = _read_values(table)
+    every, several, stretches = _merged_values(values, notes)
+    return _masks(values, every, (several.astype(np.uint8) + (several & (stretches > HEAVY))).astype(np.uint8))
+
+
+def spread_masks(table: pa.Table, answers: list[tuple[int, bytes]], level: int) -> list[bytes]:
+    values, notes = _read_values(table)
+    every, _, _ = _merged_values(values, notes)
+    code, given = np.zeros(len(every), np.uint8), dict(answers)
+    for part, at in _groups(_part(every, level)):
+        code[at] = np.frombuffer(_unzip(given[part]), np.uint8)
+    return _masks(values, every, code)
+
+
+# Stretches and strings with the smallest id that has them ------------------------------------------
+
+
+def _send_spans(data: bytes, size: np.ndarray, least: np.ndarray) -> tuple[bytes, bytes]:
+    """Spans of bytes one after the other; their sizes and smallest ids."""
+    sizes = _planes(size.astype(np.uint64))
+    return _zip(data), len(sizes).to_bytes(8, "little") + sizes + _planes(least.view(np.uint64))
+
+
+def _read_spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Bytes, sizes and smallest ids of the spans of all rows, and how many spans each row has."""
+    data, sizes, least = [], [], []
+    for payload, extra in zip(table["payload"].to_pylist(), table["extra"].to_pylist(), strict=True):
+        n = int.from_bytes(extra[:8], "little")
+        data.append(_unzip(payload))
+        sizes.append(_values(extra[8 : 8 + n]).astype(np.int64))
+        least.append(_values(extra[8 + n :]).view(np.int64))
+    return np.frombuffer(b"".join(data), np.uint8), np.concatenate(sizes), np.concatenate(least), list(map(len, sizes))
+
+
+def _distinct(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins, sizes and smallest ids of the distinct spans, and which of them each span is."""
+    begin = np.cumsum(size) - size
+    first, inverse = distinct_spans(data, begin, size)
+    best = np.full(len(first), _NEVER, np.int64)
+    np.minimum.at(best, inverse, least)
+    return begin[first], size[first], best, inverse
+
+
+def _minimisers(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The smallest hash of the grams of the string at each of ``begin``; all strings of a stretch have the same."""
+    h, out = prefix_hash(data), np.full(len(begin), _BITS, np.uint64)
+    for k in range(WINDOW):
+        np.minimum(out, span_hash(h, begin + k, begin + k + GRAM) & _BITS, out=out)
+    return out
+
+
+def _own_hashes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return span_hash(prefix_hash(data), begin, begin + LENGTH)
+
+
+def _merged_spans(key: Callable[[np.ndarray, np.ndarray], np.ndarray], table: pa.Table, level: int) -> list[tuple[int, bytes, bytes]]:
+    """Distinct spans by a hash of ``key``, so that strings which may be equal stay together."""
+    data, size, least, _ = _read_spans(table)
+    begin, size, best, _ = _distinct(data, size, least)
+    return [(part, *_send_spans(_cut(data, begin[at], size[at]), size[at], best[at])) for part, at in _groups(_part(key(data, begin), level))]
+
+
+def _answers(result: np.ndarray, strings: np.ndarray, rows: list[int]) -> list[bytes]:
+    """The smallest ids of all strings, cut by the rows whose spans they are in."""
+    ends = np.cumsum([0, *rows])
+    at = np.concatenate([[0], np.cumsum(strings)])[ends]
+    return [_planes(result[a:b].view(np.uint64)) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _spread_spans(key: Callable[[np.ndarray, np.ndarray], np.ndarray], table: pa.Table, answers: list[tuple[int, bytes]], level: int) -> list[bytes]:
+    data, size, least, rows = _read_spans(table)
+    begin, own, _, inverse = _distinct(data, size, least)
+    strings = own - LENGTH + 1
+    at, result, given = np.cumsum(strings) - strings, np.zeros(int(strings.sum()), np.int64), dict(answers)
+    for part, which in _groups(_part(key(data, begin), level)):
+        result[np.repeat(at[which], strings[which]) + _inner(strings[which])] = _values(given[part]).view(np.int64)
+    each = size - LENGTH + 1
+    return _answers(result[np.repeat(at[inverse], each) + _inner(each)], each, rows)
+
+
+def merge_stretches(table: pa.Table, level: int) -> list[tuple[int, bytes, bytes]]:
+    return _merged_spans(_minimisers, table, level)
+
+
+def answer_stretches(table: pa.Table) -> list[bytes]:
+    """The smallest id of each string of each stretch."""
+    data, size, least, rows = _read_spans(table)
+    out = _answers(smallest_ids(data, size, least), size - LENGTH + 1, rows)
+    trim()
+    return out
+
+
+def spread_stretches(table: pa.Table, answers: list[tuple[int, bytes]], level: int) -> list[bytes]:
+    return _spread_spans(_minimisers, table, answers, level)
+
+
+def merge_strings(table: pa.Table, level: int) -> list[tuple[int, bytes, bytes]]:
+    return _merged_spans(_own_hashes, table, level)
+
+
+def answer_strings(table: pa.Table) -> list[bytes]:
+    """The smallest id of each string, which is a span of its own."""
+    data, size, least, rows = _read_spans(table)
+    _, _, best, inverse = _distinct(data, size, least)
+    return _answers(best[inverse], np.ones(len(size), np.int64), rows)
+
+
+def spread_strings(table: pa.Table, answers: list[tuple[int, bytes]], level: int) -> list[bytes]:
+    return _spread_spans(_own_hashes, table, answers, level)
+
+
+# Blocks ----------------------------------------------------------------------------------------------
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, list[bytes]]:
     texts, sizes = _unzip(row["payload"]), _values(row["extra"])
     ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]).tolist()
-    return np.array([(1 << 63) - 1 if i is None else i for i in row["ids"]], np.int64), [texts[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return np.array([_NEVER if i is None else i for i in row["ids"]], np.int64), [texts[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
 
+def _shared_rows(row: dict, masks: dict[int, bytes], buckets: int) -> list[tuple]:
+    """What a block asks about its passages: (kind, block, bucket, payload, extra).
 
-def _shared_runs(row: dict, masks: dict[int, bytes], buckets: int) -> tuple[Runs, np.ndarray, list[bytes]]:
-    """The runs of a block whose minimiser is in more than one text of the corpus."""
+    Kind 2: its distinct stretches around minimisers that more than one text has, with the
+    smallest id of each; kind 3: its distinct strings where a minimiser has very many
+    stretches; kind 4: which text and place each run of passages has, and where its
+    strings stand among the answers to the other two.
+    """
     ids, texts = _unpack(row)
     runs = Runs(texts)
-    value, _ = _distinct_values(runs)
-    wanted = np.zeros(len(value), bool)
-    for b, at in _by_bucket(value, buckets):
-        if b in masks:
-            wanted[at] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(at)).astype(bool)
-    runs.keep(wanted[np.searchsorted(value, runs.value)] if len(value) else np.zeros(0, bool))
-    return runs, ids, texts
-
-
-def _strings(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-    """One run for each distinct stretch of bytes, ordered by its hash; the stretch of each run."""
-    _, first, inverse = np.unique(runs.text, return_index=True, return_inverse=True)
-    return first, inverse
+    value, inverse = np.unique(runs.value, return_inverse=True)
+    code = np.zeros(len(value), np.uint8)
+    for b, at in _groups(_dealt(value, buckets)):
+        code[at] = np.frombuffer(_unzip(masks[b]), np.uint8)
+    code = code[inverse]
+    runs.keep(code > 0)
+    heavy = code[code > 0] == 2
+    if not len(heavy):
+        return []
+    size = runs.size + LENGTH - 1
+    data = np.frombuffer(b"".join([texts[d][x : x + n] for d, x, n in zip(runs.doc.tolist(), runs.start.tolist(), size.tolist(), strict=True)]), np.uint8)
+    begin = np.cumsum(size) - size
+    least = ids[runs.doc]
+    out: list[tuple] = []
+    notes: list[np.ndarray] = []
+    for kind, which in ((2, np.flatnonzero(~heavy)), (3, np.flatnonzero(heavy))):
+        strings = runs.size[which]
+        if kind == 2:
+            at, long, low, key = begin[which], size[which], least[which], runs.value[which]
+        else:  # string by string
+            at = np.repeat(begin[which], strings) + _inner(strings)
+            long, low = np.full(len(at), LENGTH, np.int64), np.repeat(least[which], strings)
+        first, inverse = distinct_spans(data, at, long)
+        best = np.full(len(first), _NEVER, np.int64)
+        np.minimum.at(best, inverse, low)
+        key = key[first] if kind == 2 else _own_hashes(data, at[first])
+        place, used = np.zeros(len(first), np.int64), 0
+        for b, own in _groups(_dealt(key, buckets)):
+            out.append((kind, row["block"], b, *_send_spans(_cut(data, at[first[own]], long[first[own]]), long[first[own]], best[own])))
+            n = long[first[own]] - LENGTH + 1
+            place[own] = used + np.cumsum(n) - n
+            used += int(n.sum())
+        notes += [runs.doc[which], runs.start[which], strings, place[inverse]]
+    sizes = b"".join(len(x).to_bytes(8, "little") for x in notes)
+    out.append((4, row["block"], -1, _planes(np.concatenate(notes).astype(np.uint64)), sizes))
+    return out
+
+
+def _least_of_runs(notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of a block, in the order of texts: text, start, number of strings, and the smallest id of each string."""
+    rows = sorted(zip(notes["kind"].to_pylist(), notes["bucket"].to_pylist(), notes["payload"].to_pylist(), notes["extra"].to_pylist(), strict=True))
+    answers = [np.concatenate([np.zeros(0, np.int64), *[_values(r[2]).view(np.int64) for r in rows if r[0] == kind]]) for kind in (2, 3)]
+    own = next((r for r in rows if r[0] == 4), None)
+    if own is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum([int.from_bytes(own[3][i : i + 8], "little") for i in range(0, len(own[3]), 8)])
+    doc, start, size, place, doc2, start2, size2, place2 = np.split(_values(own[2]).view(np.int64), ends[:-1])
+    light = answers[0][np.repeat(place, size) + _inner(size)]
+    doc, start, size = np.concatenate([doc, doc2]), np.concatenate([start, start2]), np.concatenate([size, size2])
+    least, at = np.concatenate([light, answers[1][place2]]), np.cumsum(size) - size
+    order = np.argsort(doc, kind="stable")
+    return doc[order], start[order], size[order], least[np.repeat(at[order], size[order]) + _inner(size[order])]
 
 
 def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``with_spans`` also spans and text.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``with_spans`` also key, spans and text.
 
     A byte is removed if a string of LENGTH bytes that covers it also starts in a document
     with a smaller id; strings do not cross documents and are judged on the input.
-    ``spans`` are the removed [start, stop) in bytes; ``text`` is what is left without
-    breaking a character: one that is removed in part is kept whole.
+    ``key`` is ``row_key``; ``spans`` are the removed [start, stop) in bytes; ``text`` is
+    what is left without breaking a character: one that is removed in part is kept whole.
 
     The texts, in blocks, are written to the shared folder once. Each string is dealt by
     its minimiser, the smallest hash of the grams in it, so equal strings meet in one
@@ -213,141 +446,121 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     stretches of bytes around its minimisers, each with the smallest id that a block has it
     under, however many copies there are. It sorts all suffixes of them with the
     difference-cover method, compares neighbours by their first LENGTH bytes, and answers
-    with the smallest id for each string. Blocks mark their texts by these answers.
-    Nothing is collected, and no group of copies meets as such.
+    with the smallest id for each string. Around a minimiser with more than HEAVY
+    stretches, such as a common phrase in many contexts, strings are dealt one by one by
+    their own hash instead, so that its contexts spread over all buckets. Where hashes are
+    equal bytes are compared. Blocks mark their texts by these answers. Nothing is
+    collected, and no group of copies meets as such: what many blocks have is merged on the
+    way (see ``exchange.asked``).
 
     Null texts count as empty. A null id counts as larger than any other. Rows that share
     an id do not remove each other's bytes; repeated rows stay. An empty table gives an
     empty result; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key") if with_spans else F.lit(None).cast("binary").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = first_buckets(total, BLOCK_BYTES, BUCKET_BYTES)
     table_size = table_buckets(docs.sparkSession, -(-total // TABLE_BYTES))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         numbers = block_numbers(TaskContext.get().partitionId(), table_size)
-        block, held, ids, texts = next(numbers), 0, [], []
+        block, held, ids, keys, texts = next(numbers), 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            value, several = _distinct_values(Runs(texts))
-            out = [(0, block, -1, _zip(b"".join(texts)), _planes(np.array([len(t) for t in texts], np.uint64)), ids)]
-            for b, at in _by_bucket(value, buckets):
-                out.append((1, block, b, _planes(np.diff(value[at], prepend=np.uint64(0))), np.packbits(several[at]).tobytes(), None))
+            value, several, stretches = _distinct_values(Runs(texts))
+            out = [(0, block, -1, _zip(b"".join(texts)), _planes(np.array([len(t) for t in texts], np.uint64)), ids, keys if with_spans else None)]
+            for b, at in _groups(_dealt(value, buckets)):
+                out.append((1, block, b, *_send_values(value[at], several[at], stretches[at]), None, None))
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)],
-                names=["kind", "block", "bucket", "payload", "extra", "ids"],
+                [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())), strict=True)],
+                names=["kind", "block", "bucket", "payload", "extra", "ids", "keys"],
             )
 
         for batch in batches:
-            texts_of = batch.column(1).cast(pa.binary())
+            texts_of = batch.column(2).cast(pa.binary())
             for i, size in enumerate(pc.binary_length(texts_of).to_pylist()):
                 if held and held + size > BLOCK_BYTES:
                     yield flush()
-                    block, held, ids, texts = next(numbers), 0, [], []
+                    block, held, ids, keys, texts = next(numbers), 0, [], [], []
                 ids.append(batch.column(0)[i].as_py())
+                keys.append(batch.column(1)[i].as_py())
                 texts.append(texts_of[i].as_py())
                 held += size + 1
         if ids:
             yield flush()
         trim()
 
-    parts = written_in_buckets(rows.mapInArrow(blocks, "kind int, block long, bucket int, payload binary, extra binary, ids array<long>"), "block", table_size)
-
-    def shared(table: pa.Table) -> pa.Table:
-        """For each block, which of its minimisers in this bucket another text has too."""
-        values = [np.cumsum(_values(p), dtype=np.uint64) for p in table["payload"].to_pylist()]
-        several = [np.unpackbits(np.frombuffer(e, np.uint8), count=len(v)).astype(bool) for e, v in zip(table["extra"].to_pylist(), values, strict=True)]
-        every, wanted = np.concatenate(values), np.concatenate(several)
-        order = np.argsort(every)
-        same = every[order[1:]] == every[order[:-1]]  # a block has a minimiser once, so neighbours are of two blocks
-        wanted[order[1:][same]] = True
-        wanted[order[:-1][same]] = True
-        edges = np.cumsum([0, *map(len, values)])
-        masks = [np.packbits(wanted[a:b]).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pa.Table.from_arrays([table["block"], table["bucket"], pa.array(masks, pa.binary())], names=["block", "bucket", "payload"])
-
-    masks = written(parts.where("kind = 1").select("block", "bucket", "payload", "extra").groupBy("bucket").applyInArrow(shared, "block long, bucket int, payload binary"))
-    texts = parts.where("kind = 0").select("block", "payload", "extra", "ids")
+    parts = written_in_buckets(rows.mapInArrow(blocks, f"kind int, {ASK}, ids array<long>, keys array<binary>"), "block", table_size)
+    texts = parts.where("kind = 0").select("block", "payload", "extra", "ids", "keys")
+    n_blocks = texts.count()
+    masks = asked(parts.where("kind = 1").select("block", "bucket", "payload", "extra"), n_blocks, merge_values, answer_values, spread_masks)
 
     def stretches(texts: pa.Table, masks: pa.Table) -> pa.Table:
-        """The distinct stretches of a block by bucket: their bytes, sizes and smallest ids."""
-        out = []
-        for row in texts.to_pylist():
-            runs, ids, raw = _shared_runs(row, dict(zip(masks["bucket"].to_pylist(), masks["payload"].to_pylist(), strict=True)), buckets)
-            first, inverse = _strings(runs)
-            least = np.full(len(first), (1 << 63) - 1, np.int64)
-            np.minimum.at(least, inverse, ids[runs.doc])
-            for b, at in _by_bucket(runs.value[first], buckets):
-                own = first[at]
-                doc, start, stop = runs.doc[own].tolist(), runs.start[own].tolist(), (runs.start[own] + runs.size[own] + LENGTH - 1).tolist()
-                out.append((row["block"], b, _zip(b"".join([raw[d][x:y] for d, x, y in zip(doc, start, stop, strict=True)])), _planes(runs.size[own].astype(np.uint64)), _planes(least[at].view(np.uint64))))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        of = dict(zip(masks["bucket"].to_pylist(), masks["payload"].to_pylist(), strict=True))
+        out = [r for row in texts.to_pylist() for r in _shared_rows(row, of, buckets)]
         trim()
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "payload", "sizes", "least"])
-
-    found = texts.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(stretches, "block long, bucket int, payload binary, sizes binary, least binary")
-
-    def sort(table: pa.Table) -> pa.Table:
-        """The smallest id for each string of a bucket, in the order in which each block sent them."""
-        sizes = [_values(x).astype(np.int64) for x in table["sizes"].to_pylist()]
-        data = np.frombuffer(b"".join(map(_unzip, table["payload"].to_pylist())), np.uint8)
-        size = np.concatenate(sizes)
-        least = np.concatenate([_values(x).view(np.int64) for x in table["least"].to_pylist()])
-        answer = smallest_ids(data, size, least)
-        edges = np.cumsum([0, *[int(x.sum()) for x in sizes]])
-        out = [_planes(answer[a:b].view(np.uint64)) for a, b in zip(edges, edges[1:], strict=False)]
-        trim()
-        return pa.Table.from_arrays([table["block"], table["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "block", "bucket", "payload", "extra"])
 
-    answers = found.groupBy("bucket").applyInArrow(sort, "block long, bucket int, payload binary")
-    notes = masks.select("block", "bucket", "payload", F.lit(0).alias("kind")).unionByName(answers.select("block", "bucket", "payload", F.lit(1).alias("kind")))
+    found = written(texts.drop("keys").groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(stretches, f"kind int, {ASK}"))
+    notes = found.where("kind = 4")
+    for kind, how in ((2, (merge_stretches, answer_stretches, spread_stretches)), (3, (merge_strings, answer_strings, spread_strings))):
+        answers = asked(found.where(F.col("kind") == kind).drop("kind"), n_blocks, *how)
+        notes = notes.unionByName(answers.select(F.lit(kind).alias("kind"), "block", "bucket", "payload", F.lit(None).cast("binary").alias("extra")))
 
     def mark(texts: pa.Table, notes: pa.Table) -> pa.Table:
         out = []
-        for row in texts.to_pylist():
-            of = [dict(), dict()]
-            for kind, b, payload in zip(notes["kind"].to_pylist(), notes["bucket"].to_pylist(), notes["payload"].to_pylist(), strict=True):
-                of[kind][b] = payload
-            runs, ids, raw = _shared_runs(row, of[0], buckets)
-            first, inverse = _strings(runs)
-            where, least = np.zeros(len(first), np.int64), [np.zeros(0, np.int64)]
-            at = 0
-            for b, own in _by_bucket(runs.value[first], buckets):
-                size = runs.size[first[own]]
-                where[own] = at + np.concatenate([[0], np.cumsum(size)[:-1]])
-                at += int(size.sum())
-                least.append(_values(of[1][b]).view(np.int64))
-            least = np.concatenate(least)
-            edges = np.searchsorted(runs.doc, np.arange(len(raw) + 1))
+        doc, start, size, least = _least_of_runs(notes)
+        at = np.cumsum(size) - size
+        for row in texts.to_pylist():  # one block
+            ids, raw = _unpack(row)
+            edges = np.searchsorted(doc, np.arange(len(raw) + 1))
             for d, text in enumerate(raw):
                 a, b = edges[d], edges[d + 1]
                 gone = np.zeros(len(text) + 1, np.int32)
                 if b > a:
-                    size = runs.size[a:b]
-                    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    hit = least[np.repeat(where[inverse[a:b]], size) + step] < ids[d]
-                    starts = (np.repeat(runs.start[a:b], size) + step)[hit]
-                    gone[starts] += 1
-                    gone[starts + LENGTH] -= 1
+                    strings = np.repeat(start[a:b], size[a:b]) + _inner(size[a:b])
+                    hit = strings[least[at[a] : at[a] + len(strings)] < ids[d]]
+                    np.add.at(gone, hit, 1)
+                    np.add.at(gone, hit + LENGTH, -1)
                 gone = np.cumsum(gone[:-1]) > 0
                 change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 data = np.frombuffer(text, np.uint8)
                 row_out = [row["ids"][d], len(text), int(gone.sum()), len(change) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest()]
                 if with_spans:
-                    row_out += [change.reshape(-1, 2).tolist(), data[_whole(data, ~gone)].tobytes().decode("utf-8", "replace")]
+                    row_out += [row["keys"][d], change.reshape(-1, 2).tolist(), data[_whole(data, ~gone)].tobytes().decode("utf-8", "replace")]
                 out.append(row_out)
         trim()
-        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.list_(pa.int64())), pa.string()] * with_spans
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary(), pa.list_(pa.list_(pa.int64())), pa.string()] * with_spans
         columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["spans", "text"] * with_spans])
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["key", "spans", "text"] * with_spans])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<array<long>>, text string" * with_spans
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", key binary, spans array<array<long>>, text string" * with_spans
     return texts.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(mark, schema)
 
 
+def drop_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, all rows and columns, without the passages that a document with a smaller id has too.
+
+    No row is dropped; one that consists of such passages is left with an empty text. Where
+    a text changes, ``chars_col``, if there is one, is counted anew; a text that stays as it
+    was, null included, is not touched, and neither is its count. What is left is joined on
+    ``row_key``, not on the id, so rows that share an id or have a null one keep their own
+    text; rows equal in id and text are treated alike. An empty table gives an empty
+    result; columns of any name may be there.
+    """
+    key, other, left = fresh(docs.columns, "key", "other", "left")
+    found = repeated_bytes(docs, id_col=id_col, text_col=text_col, with_spans=True).where("n_removed > 0")
+    texts = found.groupBy(F.col("key").alias(other)).agg(F.any_value("text").alias(left))  # a key has one text
+    rows = docs.withColumn(key, row_key(id_col, text_col)).join(texts.hint("merge"), F.col(key) == F.col(other), "left")
+    changed = F.col(other).isNotNull()
+    new = {text_col: F.col(left), chars_col: F.char_length(left)}
+    kinds = dict(docs.dtypes)
+    return rows.select(*[F.when(changed, new[c]).otherwise(F.col(f"`{c}`")).cast(kinds[c]).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 def _whole(data: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """``kept``, and all bytes of a character of which one is kept."""
     if not len(data):
@@ -362,42 +575,20 @@ def _whole(data: np.ndarray, kept: np.ndarray) -> np.ndarray:
 def smallest_ids(data: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each string (LENGTH bytes) of each stretch: the smallest of the ids ``least`` of the stretches that hold it.
 
-    Stretch i has ``size[i]`` strings, so ``size[i] + LENGTH - 1`` bytes of ``data``. All
-    strings of a stretch have one minimiser. If no other stretch has it, its strings are
-    nowhere else; the suffixes of all others are sorted.
+    Stretch i has ``size[i]`` bytes of ``data``. All strings of a stretch have one
+    minimiser. If no other stretch has it, its strings are nowhere else; the suffixes of
+    all others are sorted.
     """
-    long = size + LENGTH - 1
-    begin = np.concatenate([[0], np.cumsum(long)])[:-1]
-    total = int(long.sum())
-    # equal stretches once
-    if total:
-        hashes = span_hash(prefix_hash(data), begin, begin + long)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    else:
-        first = inverse = np.zeros(0, np.int64)
-    best = np.full(len(first), (1 << 63) - 1, np.int64)
-    np.minimum.at(best, inverse, least)
-    begin, strings = begin[first], size[first]
+    begin, own, best, inverse = _distinct(data, size, least)
+    strings = own - LENGTH + 1
+    at = np.cumsum(strings) - strings
     result = np.repeat(best, strings)
-    starts_at = np.cumsum(strings) - strings
-    many = np.zeros(len(first), bool)
-    if total:
-        minimiser = np.full(len(first), _BITS, np.uint64)
-        h = prefix_hash(data)
-        for k in range(WINDOW):
-            np.minimum(minimiser, span_hash(h, begin + k, begin + k + GRAM) & _BITS, out=minimiser)
-        _, which, number = np.unique(minimiser, return_inverse=True, return_counts=True)
-        many = number[which] > 1
+    _, which, number = np.unique(_minimisers(data, begin), return_inverse=True, return_counts=True)
+    many = number[which] > 1 if len(which) else np.zeros(0, bool)
     if many.any():
-        at = np.repeat(starts_at[many], strings[many]) + _inner(strings[many])
-        result[at] = _sorted_least(data, begin[many], strings[many], best[many])
-    where = np.repeat(starts_at[inverse], size) + _inner(size)  # back to all stretches
-    return result[where] if len(where) else result
-
-
-def _inner(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of ``sizes`` in turn."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        result[np.repeat(at[many], strings[many]) + _inner(strings[many])] = _sorted_least(data, begin[many], strings[many], best[many])
+    each = size - LENGTH + 1
+    return result[np.repeat(at[inverse], each) + _inner(each)]
 
 
 def _sorted_least(data: np.ndarray, begin: np.ndarray, strings: np.ndarray, best: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadloom.llm import bytebpe, components, exactdedup, langid, licenses, neardup, packing, quality, shingles, suffixdedup, textkit, tokencount, topk
+from roadloom.llm import bytebpe, components, exactdedup, exchange, langid, licenses, neardup, packing, quality, shingles, suffixdedup, textkit, tokencount, topk
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -385,6 +385,66 @@ def test_repeated_passages(spark, docs, none):
     assert suffixdedup.repeated_bytes(none).count() == 0
 
 
+def check_removed(df, rows):
+    got = by_id(suffixdedup.repeated_bytes(df))
+    for i, (raw, gone) in removed(rows).items():
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+
+
+@pytest.mark.parametrize(("heavy", "fan", "block"), [(20, 256, 4 << 20), (4096, 2, 600), (0, 3, 400), (30, 2, 300)])
+def test_repeated_passages_of_a_phrase_in_many_contexts(spark, monkeypatch, heavy, fan, block):
+    """One phrase everywhere, passages that many share in part, with strings dealt one by one and answers that go through several merges."""
+    monkeypatch.setattr(suffixdedup, "HEAVY", heavy)
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffixdedup, "BUCKET_BYTES", 4000)
+    rng = random.Random(11)
+    phrase, passage = "a phrase of twenty-four", prose(rng, 30)
+    rows = [(i, f"{prose(rng, 6)} {phrase} {prose(rng, 6)}") for i in range(120)]
+    rows += [(200 + i, f"{prose(rng, 3)} {passage[rng.randrange(20):rng.randrange(80, 140)]} {prose(rng, 3)}") for i in range(40)]
+    rows += [(300 + i, rows[rng.randrange(len(rows))][1]) for i in range(20)] + [(400, "x" * 300), (401, "x" * 120 + "y"), (402, "")]
+    rng.shuffle(rows)
+    check_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
+
+
+def test_contexts_of_one_phrase_spread_over_buckets(monkeypatch):
+    """3000 contexts of one phrase: no bucket gets more than a few times its share of strings."""
+    monkeypatch.setattr(suffixdedup, "HEAVY", 100)
+    rng = random.Random(4)
+    texts = [f"{rng.random()} {rng.random()} the very same phrase here {rng.random()} {rng.random()}".encode() for _ in range(3000)]
+    runs = suffixdedup.Runs(texts)
+    value, several, stretches = suffixdedup._distinct_values(runs)
+    assert stretches.max() > 1500
+    masks = {b: suffixdedup._zip((several[at].astype(np.uint8) * 2)) for b, at in suffixdedup._groups(suffixdedup._dealt(value, 16))}
+    sizes = suffixdedup._planes(np.array([len(t) for t in texts], np.uint64))
+    rows = suffixdedup._shared_rows({"ids": list(range(3000)), "payload": suffixdedup._zip(b"".join(texts)), "extra": sizes, "block": 0}, masks, 16)
+    held = [len(suffixdedup._unzip(r[3])) // 50 for r in rows if r[0] == 3]
+    assert len(held) == 16 and max(held) < 1.3 * sum(held) / 16 and not [r for r in rows if r[0] == 2]
+
+
+def test_equal_hashes_do_not_make_equal_spans(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "span_hash", lambda h, a, b: np.zeros(len(a), np.uint64))
+    data, begin, size = np.frombuffer(b"abcabdabc", np.uint8), np.array([0, 3, 6]), np.array([3, 3, 3])
+    first, inverse = suffixdedup.distinct_spans(data, begin, size)
+    assert first.tolist() == [0, 1] and inverse.tolist() == [0, 1, 0]
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_byte_bpe_through_several_merges(spark, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(bytebpe, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(bytebpe, "BUCKET_BYTES", 300)
+    import tiktoken
+
+    path = str(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytebpe.ranks_of(path), special_tokens={})
+    rows = corpus()
+    got = by_id(bytebpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, P.PATTERN, with_ids=True))
+    for i, t in rows:
+        assert got[i]["ids"] == library.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
+
+
 def test_repeats_within_and_across(spark):
     line = prose(random.Random(3), 25)
     rows = [(7, line), (3, "intro " + line), (9, line + line), (5, line[:49]), (1, "x" * 200), (2, "x" * 50), (4, "é" * 40 + line), (6, "é" * 40), (None, line), (3, line)]
@@ -406,19 +466,23 @@ def test_suffix_array():
     assert suffixdedup.difference_cover(big).tolist() == sorted(range(50), key=lambda i: big[i:].tolist())
 
 
-def test_topk(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 40)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+@pytest.mark.parametrize(("shard", "block", "fan"), [(40 * 48, 3 * 48, 2), (1 << 20, 1 << 20, 64)])
+def test_topk(spark, monkeypatch, shard, block, fan):
+    monkeypatch.setattr(topk, "SHARD_BYTES", shard)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
+    monkeypatch.setattr(topk, "FAN", fan)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(200)]
     rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (250, [float("nan")] * 6), (202, [float("inf")] * 6), (None, [1.0] * 6), (300, [1.0, 2.0])] + [(1000 + i, [3.0] * 6) for i in range(20)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit("clash"))
+    repeated = [(777, [4.0] * 6)] * 3 + [(778, [4.0] * 6)] * 9
+    df = spark.createDataFrame(rows + repeated, "vec_id long, embedding array<float>").withColumns({"q": F.lit("clash"), "dim": F.lit(1), "shard": F.lit("x")})
     got = {}
     for r in topk.exact_topk(df, F.col("vec_id") % 50 == 0, 5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     vectors = {i: np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     for q in [i for i in vectors if i % 50 == 0]:
-        best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:5]
+        copies = [(i, np.full(6, 1024)) for i, _ in repeated]
+        best = sorted((-int(vectors[q] @ v), i) for i, v in [*vectors.items(), *copies] if i != q and len(v) == len(vectors[q]))[:5]
         assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -560,6 +624,65 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {i for i in range(400) if i % 3}
 
 
+def plain_statistics(text):
+    """STATISTICS of one text from their description, with Python strings and loops."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    lower = [w.lower() for w in words]  # bytes: only A-Z change
+    lines = [x for x in raw.split(b"\n") if x]
+    share = lambda n, d: n / max(d, 1)
+    mean = share(sum(map(len, words)), len(words))
+    follow = [m.end() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    usual, space = b",.'-:;?\"()", b" \n\t\r"
+    mark = lambda c: not re.match(rb"[0-9A-Za-z\x80-\xff]", bytes([c])) and c not in space
+    capitals = [sum(65 <= c <= 90 for c in w) for w in words]
+    most = max(map(lower.count, lower), default=0)
+    return [
+        np.log1p(len(raw)), np.log1p(len(words)), np.log1p(len(lines)), mean, max(share(sum(len(w) ** 2 for w in words), len(words)) - mean**2, 0) ** 0.5,
+        share(sum(c >= 128 or bytes([c]).isalpha() for c in raw), len(raw)), share(sum(48 <= c <= 57 for c in raw), len(raw)), share(sum(c in space for c in raw), len(raw)), share(sum(65 <= c <= 90 for c in raw), len(raw)),
+        share(sum(c >= 128 for c in raw), len(raw)), share(sum(map(mark, raw)), len(raw)), share(sum(mark(c) and c not in usual for c in raw), len(raw)), share(raw.count(b"|"), len(raw)), share(raw.count(b"!"), len(raw)),
+        len(set(lower)) / max(len(words), 1) ** 0.5 / 10, share(most, len(words)), share(sum(a == b for a, b in zip(lower, lower[1:], strict=False)), len(words)), share(len(set(x.lower() for x in lines)), len(lines)),
+        share(sum(len(x) < 20 for x in lines), len(lines)), share(sum(n > 1 and n >= 0.6 * len(w) for n, w in zip(capitals, words, strict=True)), len(words)),
+        share(sum(e < len(raw) and mark(raw[e]) and raw[e] not in usual for e in follow), len(words)), share(sum(x.endswith(b".") for x in lines), len(lines)),
+    ]
+
+
+def test_statistics_equal_their_description():
+    texts = ["One two two.\nThree four\n\nTHREE FOUR", "", None, "é ß — 漢字", "A!! B!! C$ d%", "x | y | z\r\n\tend.", "word", "same same same\nsame", *[t for _, t in corpus()[:30] if t is None or len(t) < 5000]]
+    for t, row in zip(texts, quality.statistics(texts), strict=True):
+        assert row.tolist() == pytest.approx(plain_statistics(t), abs=1e-9), t
+
+
+def test_quality_fit_equals_direct_equations(spark, monkeypatch):
+    """Features, ridge and calibration against numpy on all rows at once, with sums in a tree."""
+    monkeypatch.setattr(quality, "FAN", 2)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 60)) + ("!!! $$$ | " * rng.randrange(4) if i % 3 == 0 else ".")) for i in range(150)]
+    y = {i: int(rng.random() < (0.2 if i % 3 == 0 else 0.9)) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = quality.fit(quality.text_statistics(docs), labels)
+    x, want = quality.statistics([t for _, t in rows]), np.array([y[i] for i, _ in rows], float)
+    scale = x.std(axis=0)
+    assert got.mean == pytest.approx(x.mean(axis=0)) and got.scale == pytest.approx(np.sqrt(np.maximum(scale**2, 1e-9)) + 1e-6, rel=1e-4)
+    z = np.clip((x - got.mean) / got.scale, -8, 8)
+    draw = np.random.default_rng(got.seed)
+    w, b = draw.normal(size=(z.shape[1], quality.FEATURES)) / got.width, draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    phi = np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(z @ w + b), np.ones((len(z), 1))])
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * got.width**2))
+    assert np.abs(phi[:, :-1] @ phi[:, :-1].T - kernel).mean() < 0.1
+    penalty = 1e-3 * len(rows) / quality.FEATURES * np.diag([*[1.0] * quality.FEATURES, 0.0]) + 1e-9 * np.eye(quality.FEATURES + 1)
+    weights = np.linalg.solve(phi.T @ phi + penalty, phi.T @ want)
+    raw = phi @ weights
+    assert phi @ got.weights == pytest.approx(raw, abs=1e-6)
+    bins = np.clip(np.searchsorted(np.linspace(-0.5, 1.5, quality.BINS + 1), raw) - 1, 0, quality.BINS - 1)
+    used = np.unique(bins)
+    level = np.array([want[bins == k].mean() for k in used])
+    size = np.array([(bins == k).sum() for k in used], float)
+    best = [max(min(np.average(level[a : c + 1], weights=size[a : c + 1]) for c in range(k, len(used))) for a in range(k + 1)) for k in range(0, len(used), 7)]
+    assert got.values[::7] == pytest.approx(best)
+
+
 def test_statistics_stand_alone():
     texts = ["One two two.\nThree", "", None, "é ß", "A!! B!!", "x | y | z"]
     together = quality.statistics(texts)
