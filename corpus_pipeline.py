@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), reads ``docs`` with the columns of ``documents`` and
 returns a DataFrame; all but the last return these columns again. Stages call the operators
-of ``roadloom.llm`` with their production parameters on every row.
+of ``roadloom.llm`` with their production parameters on every row. They decide about rows,
+not ids: null and repeated ids, null and empty texts, repeated rows, empty tables and extra
+columns of any name have defined results, stated by the operators.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadloom.llm import exactdedup, neardup, packing, quality, suffixdedup, textkit, tokencount
 
@@ -20,36 +21,30 @@ QUALITY_THRESHOLD = 0.3
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from all ``labels``, does not reject."""
+    """Documents that the quality classifier, learned from all ``labels``, does not reject.
+
+    Each row is judged by its own text, null as empty; see ``quality.keep``.
+    """
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=QUALITY_THRESHOLD)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each text, white space aside."""
+    """One row for each text, white space aside, whatever ids the rows have; see ``exactdedup.drop_copies``."""
     return exactdedup.drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One row of each class of near-duplicates, whatever ids the rows have; see ``neardup.drop_near_copies``."""
     return neardup.drop_near_copies(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document with a smaller id has too; ``n_chars`` is counted anew.
-
-    No document is dropped; one that consists of such passages is left with an empty text.
-    A text that stays as it was, null included, is not changed.
-    """
-    found = suffixdedup.repeated_bytes(docs, with_spans=True).where("n_removed > 0")
-    left = found.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"]).hint("merge")
-    rows = docs.join(left, docs["doc_id"] == left["_id"], "left")  # columns are named through their tables, so that docs may have any others
-    changed = left["_id"].isNotNull()
-    new = {"text": left["_text"], "n_chars": F.char_length(left["_text"]).cast("long")}
-    return rows.select(*[F.when(changed, new[c]).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns])
+    """Rows without the passages that a document with a smaller id has too; none is dropped; see ``suffixdedup.drop_passages``."""
+    return suffixdedup.drop_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all rows in sequences of at most 2048 tokens, each row by itself, null texts as empty ones; see ``packing.pack_documents``."""
     return packing.pack_documents(docs, tokencount.default_path("word_bpe_49k.json"))
 
 
