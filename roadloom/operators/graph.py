@@ -4,7 +4,8 @@ A network of up to BROADCAST_ARCS arcs is counted first and then sent to every t
 searches from its share of the sources. Beyond that, paths are found by relaxation: all
 sources advance together, one join of the improved states with the arcs and one minimum per
 state a round, until nothing improves; a round's states are written to the shared folder,
-so the plan stays small.
+so the plan stays small. Both ways follow one rule: least cost, then fewest roads, then the
+smallest last road and the smallest node before it.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ import heapq
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from .lineage import materialised
-
+from .skew import dealt_join
 
 #: Arcs that a task may hold; some 100 bytes each.
 BROADCAST_ARCS = 500_000
+#: Metres a second that no road allows; a lower bound of the time to a place, for searches that head for it.
+FASTEST_M_S = 33.33
 
 
 def arcs(roads: DataFrame) -> DataFrame:
@@ -50,14 +54,18 @@ def node_degree(nodes: DataFrame, roads: DataFrame) -> DataFrame:
     return ends.unionByName(nodes.select(F.col("id").alias("node_id"), F.lit(0).alias("n"))).groupBy("node_id").agg(F.sum("n").alias("degree"))
 
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large and one small star step over edges (a > b)."""
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges with m, the smallest neighbour b of their a; the edges of one node, however many, are dealt over tasks."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+    return dealt_join(edges, least, ["a"], "_n", total, F.col("b")).drop("_n")
+
+
+def _star(edges: DataFrame, total: int) -> DataFrame:
+    """One large and one small star step over ``total`` edges (a > b)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    wide = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = wide.groupBy("a").agg(F.min("b").alias("m"))
-    moved = wide.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    wide = _with_least(both, 2 * total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    wide = materialised(wide)
+    return _with_least(wide, wide.count()).select(F.greatest("b", F.when(F.col("b") == F.col("m"), F.col("a"))).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
             break
-        state, e = now, _star(e)
+        state, e = now, _star(e, now[0])
     every = nodes.select(F.col("id").alias("node")).unionByName(edges.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     return every.join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -80,16 +88,17 @@ def network_components(nodes: DataFrame, roads: DataFrame) -> DataFrame:
     return of.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list("node")).alias("members")).orderBy(F.desc("size"), "component")
 
 
-def _relax(seeds: DataFrame, keys: list[str], advance, max_rounds: int | None, rounds_per_write: int = 3) -> DataFrame:
+def _relax(seeds: DataFrame, keys: list[str], advance, max_rounds: int | None, rounds_per_write: int = 3, useful=None) -> DataFrame:
     """The best state for each of ``keys``: ``advance`` turns improved states into new ones, ``v`` (a struct, cost first) decides.
 
-    Goes on until no state improves; if round ``max_rounds`` still improves one, that is a RuntimeError.
+    Goes on until no state improves; if round ``max_rounds`` still improves one, that is a
+    RuntimeError. ``useful(new, best)`` leaves out improved states that need not go on.
     """
     best, new = seeds, seeds
     for r in count(1):
         offered = advance(new).groupBy(*keys).agg(F.min("v").alias("v"))
         known = best.select(*keys, F.col("v.cost").alias("_cost"), F.lit(True).alias("_known"))
-        better = offered.join(known, keys, "left").where("_known is null or v.cost < _cost - 1e-9 * greatest(1, abs(_cost))").drop("_cost", "_known")
+        better = offered.join(known, keys, "left").where("_known is null or v.cost < _cost").drop("_cost", "_known")
         last = r == max_rounds
         if r % rounds_per_write and not last:
             best = best.join(better.select(*keys), keys, "left_anti").unionByName(better)
@@ -101,81 +110,134 @@ def _relax(seeds: DataFrame, keys: list[str], advance, max_rounds: int | None, r
             return best
         if last:
             raise RuntimeError(f"states still improve in round {max_rounds}, the last that max_rounds allows")
+        if useful is not None:
+            new = useful(new, best)
 
 
-def shortest_paths(arc_rows: DataFrame, sources: DataFrame, mode: str = "shortest_distance", *, max_cost: float | None = None, max_rounds: int | None = None, paths: bool = False) -> DataFrame:
+def shortest_paths(
+    arc_rows: DataFrame, sources: DataFrame, mode: str = "shortest_distance", *, max_cost: float | None = None, max_rounds: int | None = None, paths: bool = False, targets: DataFrame | None = None, algorithm: str = "dijkstra"
+) -> DataFrame:
     """(source, node, cost, distance, travel_time, and edges with ``paths``) of every node that a source (column source) reaches.
 
-    Cost is metres or, for ``shortest_time``, seconds. ``max_cost`` bounds the search by
-    meaning, not by accident: farther nodes are not reported. With ``paths`` a state
-    carries its edge ids, the longest of which has as many as rounds were needed.
-    Relaxation takes a round for each arc of the longest best path, however many; where
-    ``max_rounds`` is given and does not suffice, a RuntimeError is raised.
+    Cost is metres or, for ``shortest_time``, seconds. Of ways of equal cost the one with
+    fewest roads is taken, then the one whose last road, and the node before it, is
+    smallest. ``max_cost`` bounds the search by meaning, not by accident: farther nodes are
+    not reported. With ``targets`` (source, target) only these pairs are reported, if there
+    is a way, and a search ends as soon as all targets of its source are settled;
+    ``sources`` is then not read. ``algorithm`` dijkstra or astar says in which order a
+    search looks at nodes; astar, for one target a source, prefers those nearer to it by a
+    bound that never exceeds the true rest, so both find the same costs. With ``paths`` a
+    state carries its edge ids. Relaxation takes a round for each arc of the longest best
+    path, however many; where ``max_rounds`` is given and does not suffice, a RuntimeError
+    is raised.
     """
+    if algorithm not in ("dijkstra", "astar"):
+        raise ValueError(f"unknown algorithm: {algorithm}")
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
-    steps = arc_rows.groupBy("from_node", "to_node").agg(F.min(F.struct(weight.alias("w"), "edge_id", "length", "travel_time")).alias("arc")).where("from_node <> to_node")
+    at = F.element_at("geometry", 1), F.element_at("geometry", -1)
+    steps = arc_rows.groupBy("from_node", "to_node").agg(F.min(F.struct(weight.alias("w"), "edge_id", "length", "travel_time", at[0].alias("a"), at[1].alias("b"))).alias("arc")).where("from_node <> to_node")
     steps = materialised(steps.select(F.col("from_node").alias("node"), "to_node", "arc.*"))
+    if targets is not None:
+        targets = targets.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).distinct()
+        sources = targets.select("source").distinct()
     if steps.count() <= BROADCAST_ARCS:
-        return _searched(steps, sources, max_cost, paths)
+        return _searched(steps, sources, max_cost, paths, targets, algorithm == "astar", mode)
+    steps = steps.drop("a", "b")
     empty = F.array().cast("array<string>")
-    state = lambda cost, length, seconds, edges: F.struct(cost.alias("cost"), length.alias("distance"), seconds.alias("travel_time"), *([edges.alias("edges")] if paths else []))
-    seeds = sources.select(F.col("source"), F.col("source").alias("node"), state(F.lit(0.0), F.lit(0.0), F.lit(0.0), empty).alias("v")).distinct()
+    parts = lambda cost, hops, edge, before, length, seconds, edges: F.struct(cost.alias("cost"), hops.alias("hops"), edge.alias("edge"), before.alias("before"), length.alias("distance"), seconds.alias("travel_time"), *([edges.alias("edges")] if paths else []))
+    zero, none = F.lit(0.0), F.lit(None).cast("string")
+    seeds = sources.select(F.col("source").cast("string").alias("source")).distinct().withColumns({"node": F.col("source"), "v": parts(zero, F.lit(0), none, none, zero, zero, empty)})
 
     def advance(new: DataFrame) -> DataFrame:
         grown = new.join(steps, "node").select(
             "source", F.col("to_node").alias("node"),
-            state(F.col("v.cost") + F.col("w"), F.col("v.distance") + F.col("length"), F.col("v.travel_time") + F.col("travel_time"), F.concat("v.edges", F.array("edge_id")) if paths else empty).alias("v"),
+            parts(F.col("v.cost") + F.col("w"), F.col("v.hops") + 1, F.col("edge_id"), F.col("node"), F.col("v.distance") + F.col("length"), F.col("v.travel_time") + F.col("travel_time"), F.concat("v.edges", F.array("edge_id")) if paths else empty).alias("v"),
         )
         return grown if max_cost is None else grown.where(F.col("v.cost") <= max_cost)
 
-    return _relax(seeds, ["source", "node"], advance, max_rounds).select("source", "node", "v.*")
+    def nearer_than_targets(new: DataFrame, best: DataFrame) -> DataFrame:
+        got = targets.join(best.select("source", F.col("node").alias("target"), F.col("v.cost").alias("_c")), ["source", "target"], "left")
+        farthest = got.groupBy("source").agg(F.max(F.coalesce("_c", F.lit(float("inf")))).alias("_farthest"))
+        return new.join(farthest, "source").where(F.col("v.cost") < F.col("_farthest")).drop("_farthest")
+
+    best = _relax(seeds, ["source", "node"], advance, max_rounds, useful=None if targets is None else nearer_than_targets)
+    out = best.select("source", "node", "v.cost", "v.distance", "v.travel_time", *["v.edges"] * paths)
+    return out if targets is None else out.join(targets.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
 
 
-def _searched(steps: DataFrame, sources: DataFrame, max_cost: float | None, paths: bool) -> DataFrame:
+def _searched(steps: DataFrame, sources: DataFrame, max_cost: float | None, paths: bool, targets: DataFrame | None, directed: bool, mode: str) -> DataFrame:
     """``shortest_paths`` on a network that fits every task: a search from each source on its own."""
     ways: dict[str, list[tuple]] = {}
-    for r in steps.select("node", "to_node", "w", "edge_id", "length", "travel_time").toPandas().itertuples(index=False):  # counted by the caller
+    places: dict[str, tuple[float, float]] = {}
+    least = np.inf
+    for r in steps.toPandas().itertuples(index=False):  # counted by the caller
         ways.setdefault(r.node, []).append((r.to_node, r.w, r.edge_id, r.length, r.travel_time))
-    sent = steps.sparkSession.sparkContext.broadcast(ways)
+        places[r.node], places[r.to_node] = tuple(r.a), tuple(r.b)
+        if directed and (straight := _straight(places[r.node], places[r.to_node])) > 0:
+            least = min(least, r.w / straight)
+    # what a metre costs at least, on any road; a little less, so that rounding does not matter
+    metre = 0.0 if not directed or not np.isfinite(least) else (1 - 1e-9) * min(least, 1 / FASTEST_M_S if mode == "shortest_time" else 1.0)
+    sent = steps.sparkSession.sparkContext.broadcast((ways, places))
     names = ["source", "node", "cost", "distance", "travel_time", *["edges"] * paths]
+    rows = sources.select(F.col("source").cast("string").alias("source")).distinct().withColumn("targets", F.lit(None).cast("array<string>"))
+    if targets is not None:
+        rows = targets.groupBy("source").agg(F.collect_list("target").alias("targets"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways, places = sent.value
         for batch in batches:
-            for source in batch["source"]:
-                best = {source: (0.0, 0.0, 0.0, None, None)}
-                done, queue = [], [(0.0, source)]
-                closed = set()
-                while queue:
-                    cost, node = heapq.heappop(queue)
-                    if node in closed:
+            for source, wanted in zip(batch["source"], batch["targets"], strict=True):
+                wanted = None if wanted is None else set(wanted)
+                goal = places.get(next(iter(wanted))) if metre and wanted is not None and len(wanted) == 1 else None
+                ahead = (lambda node, goal=goal: metre * _straight(places[node], goal)) if goal is not None else (lambda node: 0.0)
+                settled: dict[str, tuple] = {}
+                queue = [(0.0, 0.0, 0, "", "", source, 0.0, 0.0)]
+                open_targets = None if wanted is None else set(wanted)
+                while queue and open_targets != set():
+                    _, cost, hops, edge, before, node, length, seconds = heapq.heappop(queue)
+                    if node in settled:
                         continue
-                    closed.add(node)
-                    done.append(node)
-                    _, length, seconds, _, _ = best[node]
-                    for to, w, edge, more, longer in sent.value.get(node, ()):
+                    settled[node] = (cost, length, seconds, before, edge)
+                    if open_targets is not None:
+                        open_targets.discard(node)
+                    for to, w, by, more, longer in ways.get(node, ()):
                         total = cost + w
-                        if (to not in best or total < best[to][0]) and (max_cost is None or total <= max_cost):
-                            best[to] = (total, length + more, seconds + longer, node, edge)
-                            heapq.heappush(queue, (total, to))
-                out = pd.DataFrame([(source, n, *best[n][:3]) for n in done], columns=names[:5])
+                        if to not in settled and (max_cost is None or total <= max_cost):
+                            heapq.heappush(queue, (total + ahead(to), total, hops + 1, by, node, to, length + more, seconds + longer))
+                shown = [n for n in settled if wanted is None or n in wanted]
+                if not shown:
+                    continue
+                out = pd.DataFrame([(source, n, *settled[n][:3]) for n in shown], columns=names[:5])
                 if paths:
-                    edges: dict[str, list[str]] = {}
-                    for n in done:  # nearer nodes come first
-                        edges[n] = [] if best[n][3] is None else [*edges[best[n][3]], best[n][4]]
-                    out["edges"] = [edges[n] for n in done]
+                    out["edges"] = [_edges(settled, source, n) for n in shown]
                 yield out
 
     schema = "source string, node string, cost double, distance double, travel_time double" + ", edges array<string>" * paths
-    return sources.select(F.col("source").cast("string").alias("source")).distinct().mapInPandas(search, schema)
+    return rows.mapInPandas(search, schema)
 
 
-def routes(arc_rows: DataFrame, pairs: DataFrame, mode: str = "shortest_distance") -> DataFrame:
+def _edges(settled: dict[str, tuple], source: str, node: str) -> list[str]:
+    out = []
+    while node != source:
+        out.append(settled[node][4])
+        node = settled[node][3]
+    return out[::-1]
+
+
+def _straight(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Metres between two places (lon, lat)."""
+    x1, y1, x2, y2 = np.radians([*a, *b])
+    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+    return float(2 * g.RADIUS_M * np.arcsin(min(1.0, np.sqrt(h))))
+
+
+def routes(arc_rows: DataFrame, pairs: DataFrame, mode: str = "shortest_distance", algorithm: str = "dijkstra") -> DataFrame:
     """For each pair (source, target): found, distance, estimated_time, road_sequence, node_sequence, geometry.
 
     A pair of one node is found with nothing to travel. Later roads of the geometry drop
-    their first vertex.
+    their first vertex. ``algorithm`` as in ``shortest_paths``.
     """
-    best = shortest_paths(arc_rows, pairs.select("source").distinct(), mode, paths=True)
+    best = shortest_paths(arc_rows, pairs.select("source"), mode, paths=True, targets=pairs, algorithm=algorithm)
     got = pairs.select("source", "target").distinct().join(best.withColumnRenamed("node", "target"), ["source", "target"], "left")
     found = F.col("edges").isNotNull()
     out = got.select("source", "target", found.alias("found"), F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("travel_time", F.lit(0.0)).alias("estimated_time"), F.coalesce("edges", F.array().cast("array<string>")).alias("road_sequence"))
@@ -218,7 +280,8 @@ def explained_routes(
     """For each pair (source, target) the cheapest route when turns and roads of other classes cost extra.
 
     (found, cost, distance_m, travel_time_s, turn_cost_s, road_class_cost, steps); a state
-    of the search is a node and the road it was reached by. Seconds of turns are added to
+    of the search is a node and the road it was reached by; states that cost as much as the
+    farthest target of their source, once all are reached, are not followed. Seconds of turns are added to
     whatever the mode counts, metres included. ``max_rounds`` as in ``shortest_paths``.
     """
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
@@ -243,6 +306,11 @@ def explained_routes(
             ).alias("v"),
         )
 
-    best = _relax(seeds, ["source", "node", "edge"], advance, max_rounds).groupBy("source", F.col("node").alias("target")).agg(F.min("v").alias("v"))
+    def nearer_than_targets(new: DataFrame, best: DataFrame) -> DataFrame:
+        reached = best.groupBy("source", F.col("node").alias("target")).agg(F.min("v.cost").alias("_c"))
+        farthest = pairs.select("source", "target").distinct().join(reached, ["source", "target"], "left").groupBy("source").agg(F.max(F.coalesce("_c", F.lit(float("inf")))).alias("_farthest"))
+        return new.join(farthest, "source").where(F.col("v.cost") < F.col("_farthest")).drop("_farthest")
+
+    best = _relax(seeds, ["source", "node", "edge"], advance, max_rounds, useful=nearer_than_targets).groupBy("source", F.col("node").alias("target")).agg(F.min("v").alias("v"))
     got = pairs.select("source", "target").distinct().join(best, ["source", "target"], "left")
     return got.select("source", "target", F.col("v").isNotNull().alias("found"), *[F.col(f"v.{c}") for c in ("cost", "distance_m", "travel_time_s", "turn_cost_s", "road_class_cost", "steps")])

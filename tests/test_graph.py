@@ -147,6 +147,70 @@ def test_an_arc_of_unknown_length_ends_the_search(spark, monkeypatch):
     assert {r["node"] for r in got.collect()} == {"c0", "c1", "c2"}
 
 
+def test_ties_go_the_same_way_whatever_the_size(spark):
+    """Four equal ways over a square grid: fewest roads, then the smallest last road and node before it."""
+    places = {f"p{i}{j}": (0.01 * i, 0.0) for i in range(4) for j in range(4)}
+    rows = []
+    for i in range(4):
+        for j in range(4):
+            for a, b in ((i + 1, j), (i, j + 1)):
+                if a < 4 and b < 4:
+                    rows.append((f"e{9 - len(rows) % 10}{len(rows)}", f"p{i}{j}", f"p{a}{b}", [places[f"p{i}{j}"], places[f"p{a}{b}"]]))
+    roads = road_table(spark, rows).withColumns({"length": F.lit(1.0), "oneway": F.lit(True)})
+    pairs = spark.createDataFrame([("p00", "p33"), ("p00", "p22"), ("p11", "p33"), ("p00", "p30"), ("p33", "p00")], "source string, target string")
+    arcs = graph.arcs(roads)
+    got = {(r["source"], r["target"]): r["road_sequence"] for r in graph.routes(arcs, pairs).collect()}
+    into = {}
+    for e, a, b, _ in rows:
+        into.setdefault(b, []).append((e, a))
+
+    def smallest(source, node):  # every way from p00 to a node has as many roads
+        reach = {source}
+        for _ in range(6):
+            reach |= {b for _, a, b, _ in rows if a in reach}
+        if node not in reach:
+            return []
+        out = []
+        while node != source:
+            e, node = min((e, a) for e, a in into[node] if a in reach)
+            out.append(e)
+        return out[::-1]
+
+    assert got == {(s, t): smallest(s, t) for s, t in got}
+    goal = {(r["source"], r["target"]): r["road_sequence"] for r in graph.routes(arcs, pairs, algorithm="astar").collect()}
+    assert {k: len(v) for k, v in goal.items()} == {k: len(v) for k, v in got.items()}
+
+
+@pytest.mark.parametrize("mode", ["shortest_distance", "shortest_time"])
+def test_goal_directed_search_finds_the_same_costs(spark, town, mode):
+    nodes, roads = town
+    short = roads.withColumn("length", F.when(F.col("id").startswith("d"), F.col("length") / 3).otherwise(F.col("length")))  # shorter than the straight line
+    arcs = graph.arcs(short)
+    pairs = nodes.select(F.col("id").alias("source")).crossJoin(nodes.select(F.col("id").alias("target")))
+    cost = "distance" if mode == "shortest_distance" else "estimated_time"
+    found = [{(r["source"], r["target"]): (r["found"], r[cost]) for r in graph.routes(arcs, pairs, mode, a).collect()} for a in ("dijkstra", "astar")]
+    assert found[0].keys() == found[1].keys() and all(found[0][k] == pytest.approx(found[1][k]) for k in found[0])
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        graph.routes(arcs, pairs, mode, "x")
+
+
+def test_rows_are_the_pairs_asked_for(spark, town):
+    arcs = graph.arcs(town[1])
+    targets = spark.createDataFrame([("n0", "n5"), ("n0", "n10"), ("n3", "n3"), ("n7", "lost")], "source string, target string")
+    got = {(r["source"], r["node"]): r["cost"] for r in graph.shortest_paths(arcs, None, targets=targets).collect()}
+    rows = arcs.collect()
+    assert got == pytest.approx({("n0", "n5"): dijkstra(rows, "n0", "length")["n5"], ("n0", "n10"): dijkstra(rows, "n0", "length")["n10"], ("n3", "n3"): 0.0})
+
+
+def test_stars_are_dealt_out(spark, monkeypatch):
+    from roadloom.operators import skew
+
+    monkeypatch.setattr(skew, "PARTS", 3)
+    edges = spark.createDataFrame([("hub", f"s{i:03d}") for i in range(200)] + [(f"s{i:03d}", f"s{i + 1:03d}") for i in range(0, 200, 7)] + [("x", "y")], "a string, b string")
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([("solo",)], "id string"), edges).collect()}
+    assert got == {"hub": "hub", "solo": "solo", "x": "x", "y": "x"} | {f"s{i:03d}": "hub" for i in range(200)} | ({"s200": "hub"} if "s200" in got else {})
+
+
 def test_components(spark, town):
     nodes, roads = town
     got = graph.network_components(nodes, roads.where("id in ('h0', 'h1', 'v8', 'v4', 'h8')")).collect()
