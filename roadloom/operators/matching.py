@@ -8,7 +8,6 @@ points times candidates at a time.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +24,8 @@ from .trajectory import headings
 GREEDY = (1.0, 30.0, 0.02, 25.0, 12.0)
 #: Metres that count where the network has no way, in the greedy cost.
 UNREACHABLE_M = 1_000_000.0
+#: Decimal places to which costs and scores are equal.
+TIE_DIGITS = 9
 
 
 def candidates(points: DataFrame, roads: DataFrame, k: int = 5) -> DataFrame:
@@ -66,7 +67,7 @@ def network_distances(roads: DataFrame, pairs: DataFrame, max_cost: float | None
     ends = roads.select(F.col("id").alias("road"), F.array("from_node", "to_node").alias("ends"))
     wanted = pairs.where("prev_road <> road").select("prev_road", "road").distinct()
     od = wanted.join(ends.select(F.col("road").alias("prev_road"), F.explode("ends").alias("source")), "prev_road").join(ends.select("road", F.explode("ends").alias("node")), "road")
-    found = shortest_paths(arcs(roads), od.select("source").distinct(), max_cost=max_cost).select("source", "node", "distance")
+    found = shortest_paths(arcs(roads), od.select("source"), max_cost=max_cost, targets=od.select("source", F.col("node").alias("target"))).select("source", "node", "distance")
     return od.join(found, ["source", "node"], "left").groupBy("prev_road", "road").agg(F.min("distance").alias("network_m"))
 
 
@@ -115,7 +116,7 @@ def match_candidate_cost(points: DataFrame, roads: DataFrame, k: int = 5, weight
         out, last = [], None
         for layer in _layers(group):
             rows = layer if last is None else layer[layer["prev_rank"] == last]
-            best = rows.loc[rows["total_cost"].idxmin()]
+            best = rows.loc[rows["total_cost"].round(TIE_DIGITS).idxmin()]
             last = int(best["cand_rank"])
             out.append((best["trajectory_id"], int(best["point_index"]), last, float(best["total_cost"])))
         return pd.DataFrame(out, columns=["trajectory_id", "point_index", "cand_rank", "total_cost"])
@@ -127,14 +128,14 @@ def match_candidate_cost(points: DataFrame, roads: DataFrame, k: int = 5, weight
 
 
 def viterbi(emission: list[np.ndarray], transition: list[np.ndarray]) -> list[int]:
-    """The most likely state of each layer; ``transition[t]`` scores (previous, current). Ties go to the first state."""
+    """The most likely state of each layer; ``transition[t]`` scores (previous, current). Ties, to TIE_DIGITS places, go to the first state."""
     score, parents = emission[0], []
     for e, t in zip(emission[1:], transition, strict=True):
         total = score[:, None] + t
-        parent = np.argmax(total, axis=0)
+        parent = np.argmax(np.round(total, TIE_DIGITS), axis=0)
         parents.append(parent)
         score = total[parent, np.arange(len(e))] + e
-    state = int(np.argmax(score))
+    state = int(np.argmax(np.round(score, TIE_DIGITS)))
     states = [state]
     for parent in reversed(parents):
         state = int(parent[state])
@@ -174,35 +175,66 @@ def match_hmm(points: DataFrame, roads: DataFrame, k: int = 5, sigma: float = 20
     return _picked(scored, chosen, ["emission_prob", "heading_cost", "road_class_prior"])
 
 
-def noisy_trace(name: str, route: list[list[tuple[float, float]]], samples: int = 4, noise_m: float = 8.0, drift_m: tuple[float, float] = (0.0, 0.0), seed: int = 7) -> list[tuple[str, int, float, float]]:
-    """Points (trajectory_id, point_index, lon, lat) along the chords of a route's lines, moved by a seeded normal offset in metres."""
-    rng, out = random.Random(seed), []
-    for line in route:
-        (x1, y1), (x2, y2) = line[0], line[-1]
-        for s in range(samples):
-            t = s / max(samples - 1, 1)
-            lon, lat = x1 + (x2 - x1) * t, y1 + (y2 - y1) * t
-            east, north = rng.gauss(drift_m[0], noise_m), rng.gauss(drift_m[1], noise_m)
-            out.append((name, len(out), lon + math.degrees(east / (g.RADIUS_M * max(math.cos(math.radians(lat)), 1e-12))), lat + math.degrees(north / g.RADIUS_M)))
-    return out
+def _uniform(seed: int, *what: Column | str | int) -> Column:
+    """A number between 0 and 1, both left out, that a seed and these columns decide."""
+    named = [F.lit(x) if isinstance(x, int) else x for x in what]
+    return (F.pmod(F.xxhash64(F.lit(seed), *named), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def _normal(seed: int, *what: Column | str | int) -> Column:
+    """A normal deviate from two such numbers, by the Box-Muller transform."""
+    return F.sqrt(-2.0 * F.log(_uniform(seed, *what, 1))) * F.cos(2.0 * math.pi * _uniform(seed, *what, 2))
 
 
-def parallel_road_trace(route: list[list[tuple[float, float]]], drift_m: float = 18.0) -> list[tuple[str, int, float, float]]:
-    return noisy_trace("parallel_roads", route, 5, 4.0, (0.0, drift_m), 11)
+def noisy_traces(routes: DataFrame, samples: int = 4, noise_m: float = 8.0, drift_m: tuple[float, float] = (0.0, 0.0), seed: int = 7) -> DataFrame:
+    """(trajectory_id, point_index, lon, lat): noisy drives along many routes (trajectory_id, leg, geometry) at once.
+
+    Each leg gives ``samples`` places at equal steps of the chord between its end vertices,
+    both included. A place is displaced by ``drift_m`` metres east and north and a normal
+    deviate of ``noise_m`` metres each way, which follows from the seed, the trajectory, the
+    leg and the step, so any part of the table can be made anew and comes out the same.
+    """
+    start, end = F.element_at("geometry", 1), F.element_at("geometry", -1)
+    places = routes.select("trajectory_id", "leg", start.alias("a"), end.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("step"))
+    share = F.col("step") / F.lit(max(samples - 1, 1))
+    along = places.select("trajectory_id", "leg", "step", *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share).alias(c) for c in ("lon", "lat")])
+    metres = [F.lit(float(drift_m[k])) + F.lit(float(noise_m)) * _normal(seed, "trajectory_id", "leg", "step", k) for k in (0, 1)]
+    lon, lat = g.from_local_xy(metres[0], metres[1], F.col("lon"), F.col("lat"))
+    index = F.row_number().over(Window.partitionBy("trajectory_id").orderBy("leg", "step")) - 1
+    return along.select("trajectory_id", index.cast("int").alias("point_index"), lon.alias("lon"), lat.alias("lat"))
+
+
+#: Samples a leg, noise, drift to the north or none, and seed of the two standard cases.
+TRACE_CASES = {"parallel_roads": (5, 4.0, 18.0, 11), "low_frequency_gps": (2, 10.0, 0.0, 17)}
+
+
+def trace_cases(routes: DataFrame, drift_m: float | None = None) -> DataFrame:
+    """``noisy_traces`` of every route for each of TRACE_CASES, the case in column ``case``; trajectories are named case:route."""
+    out = None
+    for name, (samples, noise, north, seed) in TRACE_CASES.items():
+        named = routes.withColumn("trajectory_id", F.concat(F.lit(f"{name}:"), F.col("trajectory_id").cast("string")))
+        part = noisy_traces(named, samples, noise, (0.0, north if drift_m is None or not north else drift_m), seed).withColumn("case", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def low_frequency_trace(route: list[list[tuple[float, float]]]) -> list[tuple[str, int, float, float]]:
-    return noisy_trace("low_frequency_gps", route, 2, 10.0, (0.0, 0.0), 17)
+def repeated(points: DataFrame, times: int) -> DataFrame:
+    """Every trajectory driven ``times`` times over as one, with point_index going on; for load tests."""
+    size = F.count(F.lit(1)).over(Window.partitionBy("trajectory_id"))
+    rows = points.withColumn("_size", size).withColumn("_lap", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    order = Window.partitionBy("trajectory_id").orderBy("_lap", "point_index")
+    return rows.withColumn("point_index", (F.row_number().over(order) - 1).cast(points.schema["point_index"].dataType)).drop("_size", "_lap").select(*points.columns)
 
 
 def trace_rows(spark: SparkSession, rows: list[tuple[str, int, float, float]]) -> DataFrame:
     return spark.createDataFrame(rows, "trajectory_id string, point_index int, lon double, lat double")
 
 
-def project_to_chord(points: DataFrame, start: tuple[float, float], end: tuple[float, float]) -> DataFrame:
-    """Points with plon and plat, their feet on the chord from the first to the last vertex of a route."""
-    foot = g.segment_projection(F.col("lon"), F.col("lat"), *[F.lit(float(x)) for x in (*start, *end)])
-    return points.withColumn("_f", foot).select(*points.columns, "_f.plon", "_f.plat")
+def project_to_chord(points: DataFrame, routes: DataFrame) -> DataFrame:
+    """``points`` with plon and plat, their feet on the chord from the first to the last vertex of the route (trajectory_id, leg, geometry) of their trajectory."""
+    ends = routes.groupBy("trajectory_id").agg(F.min_by(F.element_at("geometry", 1), "leg").alias("_a"), F.max_by(F.element_at("geometry", -1), "leg").alias("_b"))
+    foot = g.segment_projection(F.col("lon"), F.col("lat"), F.col("_a.lon"), F.col("_a.lat"), F.col("_b.lon"), F.col("_b.lat"))
+    return points.join(ends, "trajectory_id").withColumn("_f", foot).select(*points.columns, "_f.plon", "_f.plat")
 
 
 def evaluation(sequences: DataFrame, truth: DataFrame) -> DataFrame:

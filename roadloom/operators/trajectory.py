@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -62,18 +64,8 @@ def deviation_stats(points: DataFrame, references: DataFrame, threshold_m: float
 
 
 def hausdorff(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, hausdorff_m) of the vertices of trajectories named by ``pairs`` (a, b); 0 if one has no points.
-
-    One row for each pair of points of a pair of trajectories, of which each side keeps its
-    minimum before the maximum.
-    """
-    p = left.select(F.col("trajectory_id").alias("a"), F.col("point_index").alias("i"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
-    q = right.select(F.col("trajectory_id").alias("b"), F.col("point_index").alias("j"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    d = pairs.join(p, "a").join(q, "b").select("a", "b", "i", "j", g.haversine(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("d"))
-    there = d.groupBy("a", "b", "i").agg(F.min("d").alias("m")).select("a", "b", "m")
-    back = d.groupBy("a", "b", "j").agg(F.min("d").alias("m")).select("a", "b", "m")
-    far = there.unionByName(back).groupBy("a", "b").agg(F.max("m").alias("hausdorff_m"))
-    return pairs.join(far, ["a", "b"], "left").select("a", "b", F.coalesce("hausdorff_m", F.lit(0.0)).alias("hausdorff_m"))
+    """(a, b, hausdorff_m) of the vertices of trajectories named by ``pairs`` (a, b); 0 if one has no points."""
+    return _measured(left, right, pairs, {"hausdorff_m": hausdorff_distance})
 
 
 # The dynamic programs below work on one pair or trajectory in numpy.
@@ -86,38 +78,48 @@ def distance_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * g.RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic time warping: the least sum of distances of an alignment, neither normalised nor banded; of nothing 0."""
+def hausdorff_distance(a: np.ndarray, b: np.ndarray, block: int = 1024) -> float:
+    """The farthest that any vertex of either line is from the other line's nearest vertex; of nothing 0. Distances are held a block at a time."""
     if not len(a) or not len(b):
         return 0.0
-    d = distance_matrix(a, b)
-    before = np.concatenate([[0.0], np.full(len(b), np.inf)])
-    for row in d:
-        now = np.full(len(b) + 1, np.inf)
-        free = np.minimum(before[1:], before[:-1]).tolist()
-        left, out = np.inf, []
-        for cost, up in zip(row.tolist(), free, strict=True):
-            left = cost + min(up, left)
-            out.append(left)
-        now[1:] = out
-        before = now
-    return float(before[-1])
+    there, back = 0.0, np.full(len(b), np.inf)
+    for i in range(0, len(a), block):
+        d = distance_matrix(a[i : i + block], b)
+        there = max(there, float(d.min(axis=1).max()))
+        back = np.minimum(back, d.min(axis=0))
+    return max(there, float(back.max()))
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray, step) -> float:
+    """The last value of a dynamic program over all pairs of vertices, ``step(distance, best of the three before)``, a diagonal at a time.
+
+    Only two diagonals are held; a cell's three predecessors lie on the two before it.
+    """
+    n, m = len(a), len(b)
+    x, y = np.radians(a), np.radians(b)
+    old, now = np.full(n, np.inf), np.full(n, np.inf)  # by place on a
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        p, q = x[i], y[k - i]
+        h = np.sin((q[:, 1] - p[:, 1]) / 2) ** 2 + np.cos(p[:, 1]) * np.cos(q[:, 1]) * np.sin((q[:, 0] - p[:, 0]) / 2) ** 2
+        d = 2 * g.RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+        left, up = now[i], np.where(i > 0, now[i - 1], np.inf)  # (i, j - 1) and (i - 1, j)
+        across = np.where(i > 0, old[i - 1], np.inf)
+        best = np.minimum(np.minimum(left, up), across)
+        new = np.full(n, np.inf)
+        new[i] = step(d, best) if k else d
+        old, now = now, new
+    return float(now[n - 1])
+
+
+def dtw(a: np.ndarray, b: np.ndarray) -> float:
+    """Dynamic time warping: the least sum of distances of an alignment, neither normalised nor banded; of nothing 0."""
+    return _diagonals(a, b, np.add) if len(a) and len(b) else 0.0
 
 
 def frechet(a: np.ndarray, b: np.ndarray) -> float:
     """Discrete Frechet distance: the least longest leash of a walk along both; of nothing 0."""
-    if not len(a) or not len(b):
-        return 0.0
-    d = distance_matrix(a, b)
-    before = np.maximum.accumulate(d[0])
-    for row in d[1:]:
-        free = np.concatenate([[before[0]], np.minimum(before[1:], before[:-1])]).tolist()
-        left, out = np.inf, []
-        for cost, up in zip(row.tolist(), free, strict=True):
-            left = max(cost, min(up, left))
-            out.append(left)
-        before = np.array(out)
-    return float(before[-1])
+    return _diagonals(a, b, np.maximum) if len(a) and len(b) else 0.0
 
 
 def _feet(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -162,20 +164,31 @@ def simplified(points: DataFrame, tolerance_m: float = 5.0) -> DataFrame:
     return rows.groupBy("trajectory_id").applyInPandas(cut, rows.schema)
 
 
-def similarity(points: DataFrame, pairs: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """(a, b, dtw_m, frechet_m) for ``pairs`` (a, b) of trajectories; b from ``reference`` where given."""
-    p = lines(points).select(F.col("trajectory_id").alias("a"), F.col("line").alias("x"))
-    q = lines(points if reference is None else reference).select(F.col("trajectory_id").alias("b"), F.col("line").alias("y"))
+def _measured(left: DataFrame, right: DataFrame, pairs: DataFrame, measures: dict) -> DataFrame:
+    """``pairs`` (a, b) with measures of the two lines, computed in numpy; a pair is one row with both lines."""
+    p = lines(left).select(F.col("trajectory_id").alias("a"), F.col("line").alias("x"))
+    q = lines(right).select(F.col("trajectory_id").alias("b"), F.col("line").alias("y"))
     rows = pairs.select("a", "b").join(p, "a", "left").join(q, "b", "left")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def measure(batches):
+    def coordinates(column: pa.Array) -> list[np.ndarray]:
+        flat = column.flatten()  # of null and empty lists nothing
+        xy = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat")], axis=1) if len(flat) else np.zeros((0, 2))
+        sizes = [0 if n is None else n for n in pc.list_value_length(column).to_pylist()]
+        return np.split(xy, np.cumsum(sizes)[:-1]) if sizes else []
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = [np.array([(v["lon"], v["lat"]) for v in (line if line is not None else [])]).reshape(-1, 2) for line in batch["x"]]
-            ys = [np.array([(v["lon"], v["lat"]) for v in (line if line is not None else [])]).reshape(-1, 2) for line in batch["y"]]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dtw_m": [dtw(x, y) for x, y in zip(xs, ys, strict=True)], "frechet_m": [frechet(x, y) for x, y in zip(xs, ys, strict=True)]})
+            x, y = (coordinates(batch.column(batch.schema.get_field_index(c))) for c in "xy")
+            found = [pa.array([f(u, v) for u, v in zip(x, y, strict=True)], pa.float64()) for f in measures.values()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in "ab"], *found], names=["a", "b", *measures])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInPandas(measure, f"a {kinds['a']}, b {kinds['b']}, dtw_m double, frechet_m double")
+    return rows.mapInArrow(measure, f"a {kinds['a']}, b {kinds['b']}" + "".join(f", {n} double" for n in measures))
+
+
+def similarity(points: DataFrame, pairs: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """(a, b, dtw_m, frechet_m) for ``pairs`` (a, b) of trajectories; b from ``reference`` where given."""
+    return _measured(points, points if reference is None else reference, pairs, {"dtw_m": dtw, "frechet_m": frechet})
 
 
 def analyse(points: DataFrame, reference: DataFrame | None = None, *, simplify_tolerance_m: float = 5.0, deviation_threshold_m: float = 30.0) -> DataFrame:
@@ -195,7 +208,7 @@ def analyse(points: DataFrame, reference: DataFrame | None = None, *, simplify_t
     spikes = outliers(points).groupBy("trajectory_id").agg(far)
     kept = short.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("simplified_point_count"))
     away = deviation_stats(points, lines(other), deviation_threshold_m)
-    near = similarity(points, same, other).join(hausdorff(points, other, same), ["a", "b"]).drop("b").withColumnRenamed("a", "trajectory_id")
+    near = _measured(points, other, same, {"dtw_m": dtw, "frechet_m": frechet, "hausdorff_m": hausdorff_distance}).drop("b").withColumnRenamed("a", "trajectory_id")
     drawn = lines(short).withColumnRenamed("line", "simplified")
     rows = lengths(points)
     for part in (kept, spikes, away, near, drawn):

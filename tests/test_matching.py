@@ -81,12 +81,30 @@ def test_evaluation(spark):
     assert got["c"][:2] == (0.0, 0.0)
 
 
-def test_synthetic_traces_repeat():
-    route = [[(116.0, 39.0), (116.01, 39.0)]]
-    assert matching.parallel_road_trace(route) == matching.parallel_road_trace(route)
-    assert len(matching.low_frequency_trace(route)) == 2
-    quiet = matching.noisy_trace("q", route, 3, 0.0)
-    assert [r[2] for r in quiet] == pytest.approx([116.0, 116.005, 116.01])
+def test_synthetic_traces(spark):
+    line = lambda *c: [tuple(map(float, q)) for q in c]
+    rows = [("r", 0, line((116, 39), (116.005, 39.4), (116.01, 39))), ("r", 1, line((116.01, 39), (116.01, 39.02))), ("s", 0, line((117, 39), (117, 39.01)))]
+    routes = spark.createDataFrame(rows, "trajectory_id string, leg int, geometry array<struct<lon:double,lat:double>>")
+    quiet = {(r[0], r[1]): (r[2], r[3]) for r in matching.noisy_traces(routes, 3, 0.0).collect()}
+    assert [quiet["r", i] for i in range(6)] == [pytest.approx(q) for q in ((116, 39), (116.005, 39), (116.01, 39), (116.01, 39), (116.01, 39.01), (116.01, 39.02))]
+    many = spark.range(2000).select(F.col("id").cast("string").alias("trajectory_id"), F.lit(0).alias("leg"), F.expr("array(named_struct('lon', 116D, 'lat', 39D), named_struct('lon', 116D, 'lat', 39D))").alias("geometry"))
+    noisy = matching.noisy_traces(many, 2, 8.0, (0.0, 18.0)).toPandas()
+    east, north = np.radians(noisy["lon"] - 116) * 6_371_008.8 * np.cos(np.radians(39)), np.radians(noisy["lat"] - 39) * 6_371_008.8
+    assert (east.mean(), north.mean(), east.std(), north.std()) == pytest.approx((0, 18, 8, 8), abs=0.6) and abs(np.corrcoef(east, north)[0, 1]) < 0.1
+    again = matching.noisy_traces(many.repartition(7), 2, 8.0, (0.0, 18.0)).toPandas()
+    assert noisy.sort_values(["trajectory_id", "point_index"]).reset_index(drop=True).equals(again.sort_values(["trajectory_id", "point_index"]).reset_index(drop=True))
+    cases = matching.trace_cases(routes).groupBy("trajectory_id").count().collect()
+    assert {r[0]: r[1] for r in cases} == {"parallel_roads:r": 10, "parallel_roads:s": 5, "low_frequency_gps:r": 4, "low_frequency_gps:s": 2}
+
+
+def test_repeated_trips_and_projection(spark, town):
+    points, _ = town
+    longer = matching.repeated(points, 3)
+    got = longer.orderBy("point_index").collect()
+    assert [r["point_index"] for r in got] == list(range(18)) and [(r["lon"], r["lat"]) for r in got] == TRACE * 3
+    routes = spark.createDataFrame([("traj_001", 0, [(116.39, 39.9), (116.4, 39.9)]), ("traj_001", 1, [(116.4, 39.9), (116.41, 39.9)])], "trajectory_id string, leg int, geometry array<struct<lon:double,lat:double>>")
+    feet = matching.project_to_chord(points, routes).orderBy("point_index").collect()
+    assert [r["plat"] for r in feet] == pytest.approx([39.9] * 6) and feet[0]["plon"] == pytest.approx(116.391) and feet[4]["plon"] == pytest.approx(116.41)
 
 
 def test_trajectory_measures(spark, town):
@@ -106,6 +124,27 @@ def test_trajectory_measures(spark, town):
     assert trajectory.hausdorff(points, points, pairs).first()["hausdorff_m"] == 0
 
 
+def plain_dtw(a, b, add):
+    d = trajectory.distance_matrix(a, b)
+    best = np.full((len(a) + 1, len(b) + 1), np.inf)
+    best[0, 0] = 0 if add else -np.inf
+    for i in range(len(a)):
+        for j in range(len(b)):
+            before = min(best[i, j], best[i, j + 1], best[i + 1, j])
+            best[i + 1, j + 1] = d[i, j] + before if add else max(d[i, j], before)
+    return best[-1, -1]
+
+
+def test_similarity_equals_recursion(spark):
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (1, 7), (6, 1), (5, 9), (12, 4), (20, 20)):
+        a, b = (np.array([116.0, 39.0]) + rng.normal(0, 0.01, (k, 2)) for k in (n, m))
+        d = trajectory.distance_matrix(a, b)
+        assert trajectory.dtw(a, b) == pytest.approx(plain_dtw(a, b, True)) and trajectory.frechet(a, b) == pytest.approx(plain_dtw(a, b, False))
+        assert trajectory.hausdorff_distance(a, b, 3) == pytest.approx(max(d.min(axis=1).max(), d.min(axis=0).max()))
+    assert trajectory.dtw(a, a[:0]) == trajectory.frechet(a[:0], a) == trajectory.hausdorff_distance(a, a[:0]) == 0
+
+
 def test_hulls(spark):
     rng = np.random.default_rng(2)
     rows = [("k", float(x), float(y)) for x, y in rng.normal(size=(200, 2))]
