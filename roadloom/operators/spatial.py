@@ -14,12 +14,25 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..functions import planar as p
-from .lineage import materialised
+from .lineage import materialised, numbered
 
 Box = tuple[float, float, float, float]
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 #: Degrees of a grid cell.
 CELL = 0.01
+#: Segments that a crowded cell of the first ring should hold.
+CROWD = 64
+#: How many times wider than the first ring's cells the widest ring may be; segments of a part that points beyond it meet.
+FAR, FAR_PARTS = 4096, 50_000
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads."""
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
 def with_bbox(df: DataFrame, geometry: str = "geometry") -> DataFrame:
@@ -43,28 +56,59 @@ def roads_in_bbox(roads: DataFrame, box: Box) -> DataFrame:
     return roads.where(p.bbox_intersects(_box(), tuple(F.lit(float(x)) for x in box)))
 
 
-def cells(x: Column, y: Column, size: float = CELL) -> tuple[Column, Column]:
+def cells(x: Column, y: Column, size: float | Column = CELL) -> tuple[Column, Column]:
     return F.floor(x / size).cast("long"), F.floor(y / size).cast("long")
 
 
 def covered(df: DataFrame, size: float = CELL, margin: float = 0.0) -> DataFrame:
-    """``df`` once for each grid cell (cx, cy) that its box, widened by ``margin`` degrees, touches."""
+    """``df`` once for each grid cell (cx, cy) that its box, widened by ``margin`` degrees, touches. For boxes of few cells; see ``placed``."""
     x1, y1 = cells(F.col("min_lon") - margin, F.col("min_lat") - margin, size)
     x2, y2 = cells(F.col("max_lon") + margin, F.col("max_lat") + margin, size)
     return df.where(F.col("min_lon").isNotNull()).withColumn("cx", F.explode(F.sequence(x1, x2))).withColumn("cy", F.explode(F.sequence(y1, y2)))
 
 
-def bbox_join(left: DataFrame, right: DataFrame, size: float = CELL) -> DataFrame:
-    """Pairs of rows whose boxes meet, each once: columns l_* and r_*.
+def cell_level(size: float = CELL) -> Column:
+    """The grid on which a row's box touches three cells a side at most: 0 for cells of ``size``, each level four times wider."""
+    wide = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"), F.lit(0.0))
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(wide / (2 * size), F.lit(1e-9))))).cast("int")
+
+
+def placed(df: DataFrame, levels: list[int], size: float = CELL) -> DataFrame:
+    """``df`` with _own, its ``cell_level``, once for each cell (level, cx, cy) that its box touches on its own and every coarser one of ``levels``.
 
-    Both sides go to their cells; of the cells that a pair shares, only the one that holds
-    the lower left corner of the common box reports it, so no distinct is needed.
+    Whatever a box's extent is, that is a few cells a level, of which there are as many as
+    the tables' boxes have, some ten between a house and a continent.
     """
-    a = covered(left, size).select(*[F.col(c).alias(f"l_{c}") for c in left.columns], "cx", "cy")
-    b = covered(right, size).select(*[F.col(c).alias(f"r_{c}") for c in right.columns], "cx", "cy")
+    rows = df.where(F.col("min_lon").isNotNull()).withColumn("_own", cell_level(size))
+    rows = rows.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("_own"))))
+    width = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("level"))
+    x1, y1 = cells(F.col("min_lon"), F.col("min_lat"), width)
+    x2, y2 = cells(F.col("max_lon"), F.col("max_lat"), width)
+    return rows.withColumn("cx", F.explode(F.sequence(x1, x2))).withColumn("cy", F.explode(F.sequence(y1, y2)))
+
+
+def _levels(*tables: DataFrame, size: float) -> list[int]:
+    """The levels that the boxes of the tables have; a few numbers."""
+    rows = tables[0].select(*BOX)
+    for t in tables[1:]:
+        rows = rows.unionByName(t.select(*BOX))
+    return sorted(r["l"] for r in rows.where("min_lon is not null").select(cell_level(size).alias("l")).distinct().collect())
+
+
+def bbox_join(left: DataFrame, right: DataFrame, size: float = CELL, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes meet, and which agree in the columns ``by``, each once: columns l_* and r_*.
+
+    Both sides go to the cells of a grid as coarse as the larger box of a pair needs (see
+    ``placed``); of the cells that a pair shares there, only the one that holds the lower
+    left corner of the common box reports it, so no distinct is needed.
+    """
+    levels = _levels(left, right, size=size) or [0]
+    side = lambda df, s: placed(df, levels, size).select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns], F.col("_own").alias(f"_{s}"), "level", "cx", "cy", *[F.col(c).alias(f"_by_{c}") for c in by])
+    keys = ["level", "cx", "cy", *[f"_by_{c}" for c in by]]
     la, ra = tuple(F.col(f"l_{n}") for n in BOX), tuple(F.col(f"r_{n}") for n in BOX)
-    x, y = cells(F.greatest(la[0], ra[0]), F.greatest(la[1], ra[1]), size)
-    return a.join(b, ["cx", "cy"]).where(p.bbox_intersects(la, ra) & (F.col("cx") == x) & (F.col("cy") == y)).drop("cx", "cy")
+    x, y = cells(F.greatest(la[0], ra[0]), F.greatest(la[1], ra[1]), F.lit(float(size)) * F.pow(F.lit(4.0), F.col("level")))
+    met = side(left, "l").join(side(right, "r"), keys)
+    return met.where(p.bbox_intersects(la, ra) & (F.col("level") == F.greatest("_l", "_r")) & (F.col("cx") == x) & (F.col("cy") == y)).drop(*keys, "_l", "_r")
 
 
 def quadkey(lon: Column, lat: Column, depth: int = 12) -> Column:
@@ -75,26 +119,65 @@ def quadkey(lon: Column, lat: Column, depth: int = 12) -> Column:
     return F.concat(*bits)
 
 
-def str_tiles(df: DataFrame, leaf: int = 8) -> DataFrame:
-    """``df`` with tile_x and tile_y of a sort-tile-recursive layout: vertical slices of equal counts, cut again by latitude.
+def under_quadkey(points: DataFrame, prefix: str, key: str = "quadkey") -> DataFrame:
+    """The rows below a node of the quadtree: a range of the sorted key, so files written in its order are skipped by their statistics."""
+    return points.where((F.col(key) >= prefix) & (F.col(key) < prefix + "4"))
+
+
+def quadkeys_of_box(box: Box, depth: int = 12, most: int = 64) -> list[str]:
+    """Prefixes of the quadtree nodes that cover ``box``, of ``depth`` digits or as few as keep them below ``most``."""
+    for d in range(depth, 0, -1):
+        n = 1 << d
+        xs = range(max(0, math.floor((box[0] + 180) / 360 * n)), min(n - 1, math.floor((box[2] + 180) / 360 * n)) + 1)
+        ys = range(max(0, math.floor((box[1] + 90) / 180 * n)), min(n - 1, math.floor((box[3] + 90) / 180 * n)) + 1)
+        if len(xs) * len(ys) <= most:
+            return sorted("".join(str((x >> k & 1) + 2 * (y >> k & 1)) for k in range(d - 1, -1, -1)) for x in xs for y in ys)
+    return [""]
+
 
-    Slices are quantiles, so files written by tile have narrow box statistics. Quantiles
-    are approximate to a thousandth of the rows.
+def points_in_bbox_by_quadkey(points: DataFrame, box: Box, key: str = "quadkey") -> DataFrame:
+    """``points`` (lon, lat, and their ``quadkey``) inside a box: ranges of the key first, then the exact test."""
+    found = F.lit(False)
+    for prefix in quadkeys_of_box(box):
+        found = found | ((F.col(key) >= prefix) & (F.col(key) < prefix + "4"))
+    return points.where(found & p.bbox_contains_point(tuple(F.lit(float(x)) for x in box), F.col("lon"), F.col("lat")))
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place, from 0, in a total order of all of them."""
+    return numbered(rows.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)}).drop("pos"), [f"_o{i}" for i in range(len(order))]).withColumnRenamed("pos", name)
+
+
+def str_tiles(df: DataFrame, leaf: int = 8, key: str = "id") -> DataFrame:
+    """``df`` with tile_x and tile_y, its leaf in a sort-tile-recursive layout.
+
+    Rows are sorted by the middle of their boxes, west to east, and cut into
+    ceil(sqrt(n / leaf)) slices of equal numbers; each slice is sorted south to north by
+    itself and cut into leaves of ``leaf`` rows. Ties go by ``key``. Sorting is done in
+    ranges, so no task sees all rows.
     """
     n = df.count()
     slices = max(1, math.ceil(math.sqrt(n / leaf)))
+    each = max(1, math.ceil(n / slices))
     x, y = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
-    rows = df.withColumn("_x", x).withColumn("_y", y)
-    cuts = [k / slices for k in range(1, slices)]
-    by_x = rows.approxQuantile("_x", cuts, 0.001) if cuts else []
-    by_y = rows.approxQuantile("_y", cuts, 0.001) if cuts else []
-    tile = lambda c, at: F.size(F.filter(F.array(*map(F.lit, at)), lambda q: q < c)) if at else F.lit(0)
-    return rows.withColumn("tile_x", tile(F.col("_x"), by_x).cast("long")).withColumn("tile_y", tile(F.col("_y"), by_y).cast("long")).drop("_x", "_y")
+    kept = [c for c in df.columns if c != "pos"]
+    rows = df.withColumns({"_x": x, "_y": y, **({"_pos": F.col("pos")} if "pos" in df.columns else {})})
+    rows = ranked(rows, ["_x", key], "_east").withColumn("tile_x", F.floor(F.col("_east") / each).cast("long"))
+    rows = ranked(rows, ["tile_x", "_y", key], "_north")
+    tile_y = F.floor((F.col("_north") - F.col("tile_x") * each) / leaf).cast("long")
+    return rows.select(*kept, *([F.col("_pos").alias("pos")] if "pos" in df.columns else []), "tile_x", tile_y.alias("tile_y"))
+
 
+def write_str(df: DataFrame, path: str, leaf: int = 4096, key: str = "id") -> None:
+    """Writes rows with boxes in the order of ``str_tiles``, so that near rows share files and row groups and box filters skip the others."""
+    tiles = str_tiles(df, leaf, key)
+    tiles.repartitionByRange("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y").write.mode("overwrite").parquet(path)
 
-def write_str(df: DataFrame, path: str, files: int = 64) -> None:
-    """Writes rows with boxes so that near rows share files and row groups."""
-    df.repartitionByRange(files, (F.col("min_lon") + F.col("max_lon")) / 2).sortWithinPartitions((F.col("min_lat") + F.col("max_lat")) / 2).write.mode("overwrite").parquet(path)
+
+def tile_boxes(tiles: DataFrame) -> DataFrame:
+    """(tile_x, tile_y, n, box) of the leaves of ``str_tiles``."""
+    least, most = [F.min(c).alias(c) for c in BOX[:2]], [F.max(c).alias(c) for c in BOX[2:]]
+    return tiles.groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"), *least, *most)
 
 
 def _parts(roads: DataFrame) -> DataFrame:
@@ -108,49 +191,74 @@ def _parts(roads: DataFrame) -> DataFrame:
 
 
 def _nearest(points: DataFrame, parts: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(keys, road_id, cand_rank, _d) of the nearest ``k`` roads among the segments in each point's cell.
+    """(cx, cy, keys, road_id, cand_rank, _d) of the nearest ``k`` roads among the segments in each point's cell.
 
-    Distances are plain arithmetic on joined rows. One shuffle by the keys serves the
-    minimum of each road and the ranking.
+    Distances are plain arithmetic on joined rows. A point is in one cell, so the minimum of
+    each road and the ranking are grouped by cell and point and need no shuffle but the join's.
     """
     foot = g.segment_projection(F.col("lon"), F.col("lat"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
-    pairs = points.join(parts, ["cx", "cy"]).select(*keys, "road_id", foot["distance"].alias("_d"))
-    best = pairs.repartition(*keys).groupBy(*keys, "road_id").agg(F.min("_d").alias("_d"))
-    order = Window.partitionBy(*keys).orderBy(F.round("_d", 6), "road_id")
+    pairs = points.join(parts, ["cx", "cy"]).select("cx", "cy", *keys, "road_id", foot["distance"].alias("_d"))
+    best = pairs.groupBy("cx", "cy", *keys, "road_id").agg(F.min("_d").alias("_d"))
+    order = Window.partitionBy("cx", "cy", *keys).orderBy(F.round("_d", 6), "road_id")
     return best.withColumn("cand_rank", F.row_number().over(order)).where(F.col("cand_rank") <= k)
 
 
+def _pieces(parts: DataFrame, width: float) -> DataFrame:
+    """``parts`` once for each piece of at most four cells of ``width``, with the piece's box: what a segment covers grows with its length, not with its box."""
+    n = F.greatest(F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / (4 * width)), F.lit(1))
+    rows = parts.drop(*BOX).withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_n"))
+    ends = [(at("x1", "x2", i), at("y1", "y2", i)) for i in (F.col("_i"), F.col("_i") + 1)]
+    box = (F.least(ends[0][0], ends[1][0]), F.least(ends[0][1], ends[1][1]), F.greatest(ends[0][0], ends[1][0]), F.greatest(ends[0][1], ends[1][1]))
+    return rows.withColumns(dict(zip(BOX, box, strict=True))).drop("_n", "_i")
+
+
+def _start_width(parts: DataFrame, size: float) -> float:
+    """``size``, or as much less as makes a crowded cell (the ninth tenth of the segments' cells) hold some CROWD segments."""
+    x, y = cells((F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2, size)
+    held = parts.groupBy(x.alias("cx"), y.alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    crowd = held.agg(F.percentile_approx("n", 0.9)).first()[0] or 1
+    return size / 2 ** max(0, math.ceil(math.log2(crowd / CROWD) / 2)) if crowd > CROWD else size
+
+
 def nearest_roads(points: DataFrame, roads: DataFrame, keys: list[str], k: int = 5, size: float = CELL) -> DataFrame:
     """For each point (keys, lon, lat) its ``k`` nearest roads, exactly: keys, lon, lat, road columns, distance, segment_index, plon, plat, cand_rank.
 
-    Ties, to a micrometre, go to the smaller road_id. Rings of cells are searched outward:
-    a ring's answer for a point is final once its k-th distance is no more than the ring is
-    wide, and only the other points go on to the next, four times wider ring. Points and
-    segments of roads meet on cells; neither side is broadcast by hand. A point far from
-    everything ends in a ring that covers all roads. Geometry is looked at again only for
-    the roads that were chosen.
+    Ties, to a micrometre, go to the smaller road_id. Rings of cells are searched outward,
+    from cells as narrow as the roads are dense: a ring's answer for a point is final once
+    its k-th distance is no more than the ring is wide, and only the other points go on to
+    the next, four times wider ring. Points and segments of roads meet on cells; neither
+    side is broadcast by hand. Points that no ring within FAR cells of the first answers
+    are far from everything; they are compared with all segments, which are dealt into
+    parts of FAR_PARTS, each part's best ``k`` first. Geometry is looked at again only for the
+    roads that were chosen.
     """
     roads = roads.select(F.col("id").alias("road_id"), *[c for c in roads.columns if c not in ("id", "lon", "lat", *BOX, *keys)])
-    parts = _parts(roads)
+    parts = materialised(_parts(roads))
     x1, y1, x2, y2 = bounds(parts).unionByName(bounds(points)).agg(F.min("min_lon"), F.min("min_lat"), F.max("max_lon"), F.max("max_lat")).first()
     left = here = points.select(*keys, "lon", "lat").where("lon is not null and lat is not null")
-    rings, width = [], size
+    width = size if x1 is None else _start_width(parts, size)
     span = 0.0 if x1 is None else max(x2 - x1, y2 - y1, size)
-    squeeze = 1.0 if x1 is None else max(0.1, math.cos(math.radians(max(abs(y1), abs(y2)))))
-    while True:
-        final = width > 2 * span
+    narrow = 0.0 if x1 is None else max(0.0, math.cos(math.radians(min(90.0, max(abs(y1), abs(y2))))))  # the least a degree of longitude is, in degrees of latitude
+    rings, far = [], min(2 * span, width * FAR)
+    last = F.max(F.when(F.col("cand_rank") == k, F.col("_d"))).over(Window.partitionBy("cx", "cy", *keys))
+    while width <= far:
         x, y = cells(F.col("lon"), F.col("lat"), width)
-        found = _nearest(left.withColumns({"cx": x, "cy": y}), covered(parts, width, width).drop(*BOX), keys, k)
-        safe = math.radians(width * squeeze) * g.RADIUS_M * 0.999
-        last = F.max(F.when(F.col("cand_rank") == k, F.col("_d"))).over(Window.partitionBy(*keys))
-        sure = materialised(found if final else found.withColumn("_last", last).where(F.col("_last") <= safe).drop("_last"))
+        found = _nearest(left.withColumns({"cx": x, "cy": y}), covered(_pieces(parts, width), width, width).drop(*BOX), keys, k)
+        safe = math.radians(width * narrow) * g.RADIUS_M * 0.999
+        sure = materialised(found.withColumn("_last", last).where(F.col("_last") <= safe).drop("_last", "cx", "cy"))
         rings.append(sure)
-        if final:
-            break
         left = materialised(left.join(sure.where("cand_rank = 1").select(*keys), keys, "left_anti"))
         if left.isEmpty():
             break
         width *= 4
+    else:
+        n = max(1, -(-parts.count() // FAR_PARTS))
+        part = F.pmod(F.xxhash64("road_id", "x1", "y1", "x2", "y2"), F.lit(n))
+        dealt = _nearest(left.withColumns({"cx": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))), "cy": F.lit(0)}), parts.withColumns({"cx": part, "cy": F.lit(0)}).drop(*BOX), keys, k)
+        best = dealt.groupBy(*keys, "road_id").agg(F.min("_d").alias("_d"))  # a road may have segments in several parts
+        order = Window.partitionBy(*keys).orderBy(F.round("_d", 6), "road_id")
+        rings.append(best.withColumn("cand_rank", F.row_number().over(order)).where(F.col("cand_rank") <= k).select(*keys, "road_id", "_d", "cand_rank"))
     out = rings[0]
     for ring in rings[1:]:
         out = out.unionByName(ring)

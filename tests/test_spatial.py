@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from maps import FENCE, node_table, random_roads
+from maps import FENCE, node_table, random_roads, road_table
 from pyspark.sql import functions as F
 
 from roadloom.operators import measures, spatial
@@ -77,10 +77,60 @@ def test_quadkeys_nest(spark):
     assert keys["a"].startswith(keys["b"])
 
 
-def test_tiles_are_even(spark):
-    _, roads = random_roads(spark, 64)
-    tiles = spatial.str_tiles(roads.select("id", *spatial.BOX)).groupBy("tile_x").count().collect()
-    assert len(tiles) == 3 and all(18 <= r["count"] <= 26 for r in tiles)
+def test_tiles_equal_sorting(spark):
+    _, roads = random_roads(spark, 61)
+    got = {r["id"]: (r["tile_x"], r["tile_y"]) for r in spatial.str_tiles(roads.select("id", *spatial.BOX), 5).collect()}
+    rows = sorted(roads.select("id", *spatial.BOX).collect(), key=lambda r: ((r[1] + r[3]) / 2, r[0]))
+    slices = int(np.ceil(np.sqrt(61 / 5)))
+    each, want = int(np.ceil(61 / slices)), {}
+    for x in range(slices):
+        for n, r in enumerate(sorted(rows[x * each : (x + 1) * each], key=lambda r: ((r[2] + r[4]) / 2, r[0]))):
+            want[r[0]] = (x, n // 5)
+    assert got == want
+    assert spatial.tile_boxes(spatial.str_tiles(roads, 5)).agg(F.sum("n")).first()[0] == 61
+
+
+def test_boxes_of_very_different_size_meet(spark):
+    """A box as large as a continent is a few cells, and meets what it should, once."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        x, y = rng.uniform(-20, 20, 2)
+        w = 10.0 ** rng.uniform(-5, 1.5)
+        rows.append((f"b{i}", float(x), float(y), float(x + w), float(y + w * rng.uniform(0, 1))))
+    rows += [("all", -180.0, -90.0, 180.0, 90.0), ("dot", 0.0, 0.0, 0.0, 0.0), ("none", None, None, None, None)]
+    boxes = spark.createDataFrame(rows, "id string, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = spatial.bbox_join(boxes, boxes).select("l_id", "r_id").collect()
+    want = {(a[0], b[0]) for a in rows[:-1] for b in rows[:-1] if a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]}
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    levels = spatial._levels(boxes, size=spatial.CELL)
+    assert spatial.placed(boxes.where("id = 'all'"), levels).count() <= 9
+
+
+def test_nearest_of_long_segments_dense_towns_and_the_far_away(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FAR", 16)
+    monkeypatch.setattr(spatial, "FAR_PARTS", 7)
+    monkeypatch.setattr(spatial, "CROWD", 3)
+    rng = np.random.default_rng(3)
+    rows = [("ferry", "a", "b", [(116.0, 39.0), (118.0, 40.0)])] + [(f"t{i:03d}", f"a{i}", f"b{i}", [tuple(q) for q in np.array([116.5, 39.5]) + rng.uniform(0, 0.002, (2, 2))]) for i in range(80)]
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate([(116.501, 39.501), (116.2, 39.1), (0.0, 0.0), (117.9, 39.0), (116.5005, 39.5015)])]
+    got = {}
+    for r in spatial.nearest_roads(spark.createDataFrame(places, "place int, lon double, lat double"), road_table(spark, rows), ["place"], 4).collect():
+        got.setdefault(r["place"], []).append((r["cand_rank"], r["road_id"]))
+    for place, x, y in places:
+        best = sorted((round(_distance((x, y), line), 6), i) for i, _, _, line in rows)[:4]
+        assert [g[1] for g in sorted(got[place])] == [i for _, i in best]
+
+
+def test_quadkey_ranges_equal_the_box(spark):
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-3, 3, (500, 2)))], "id int, lon double, lat double").withColumn("quadkey", spatial.quadkey(F.col("lon"), F.col("lat"), 14))
+    box = (-1.0, -0.5, 0.7, 2.0)
+    want = {r["id"] for r in points.where("lon between -1 and 0.7 and lat between -0.5 and 2").collect()}
+    assert {r["id"] for r in spatial.points_in_bbox_by_quadkey(points, box).collect()} == want
+    key = points.first()["quadkey"]
+    assert {r["id"] for r in spatial.under_quadkey(points, key[:5]).collect()} == {r["id"] for r in points.collect() if r["quadkey"].startswith(key[:5])}
+    assert len(spatial.quadkeys_of_box((-180, -90, 180, 90))) <= 64
 
 
 def test_index_stats_and_percentiles(spark):
