@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from ..functions import planar as p
-from .graph import components, network_components, node_degree
-from .lineage import materialised
+from .graph import components, node_degree
+from .lineage import materialised, numbered
 from .spatial import BOX, bbox_join
 
 #: Degrees within which a crossing counts as the end of a segment when roads are split.
 SPLIT_EPS = 1e-9
+#: Degrees of the cells on which segments of one road meet.
+SELF_CELL = 0.001
 
 
 def node_id(lon: Column, lat: Column) -> Column:
@@ -56,8 +58,7 @@ def duplicate_edges(roads: DataFrame) -> DataFrame:
 def self_intersections(roads: DataFrame) -> DataFrame:
     """(road_id, seg_a, seg_b, lon, lat) where a road meets itself beyond neighbouring segments; a closed road's ends may meet. No place for an overlap."""
     s = road_segments(roads.where(F.size("geometry") > 3))
-    a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "lr")
-    pairs = a.join(b, (F.col("l_id") == F.col("r_id")) & (F.col("r_seg") >= F.col("l_seg") + 2))
+    pairs = bbox_join(s, s, SELF_CELL, by=("id",)).where(F.col("r_seg") >= F.col("l_seg") + 2)
     closed = (F.col("l_seg") == 0) & (F.col("r_seg") == F.col("l_n_seg") - 1) & p.same_point(F.col("l_x1"), F.col("l_y1"), F.col("r_x2"), F.col("r_y2"))
     return _met(pairs.where(~closed)).select(F.col("l_id").alias("road_id"), F.col("l_seg").alias("seg_a"), F.col("r_seg").alias("seg_b"), F.when(F.col("kind") == "point", F.col("x")).alias("lon"), F.when(F.col("kind") == "point", F.col("y")).alias("lat"))
 
@@ -115,7 +116,8 @@ def summary(nodes: DataFrame, roads: DataFrame) -> DataFrame:
         count("isolated_node").alias("isolated_nodes"), count("dangling_edge").alias("dangling_edges"), count("duplicate_edge").alias("duplicate_edges"), count("self_intersection").alias("self_intersections"),
         count("illegal_crossing").alias("illegal_crossings"), count("overlapping_roads").alias("overlapping_roads"), F.count(F.lit(1)).alias("issues"),
     )
-    parts = network_components(nodes, roads).agg(F.count(F.lit(1)).alias("components"))
+    of = components(nodes, roads.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")))
+    parts = of.agg(F.count_if(F.col("node") == F.col("component")).alias("components"))
     return counts.crossJoin(parts)  # one row each
 
 
@@ -124,7 +126,8 @@ def snap_nodes(nodes: DataFrame, tolerance_m: float = 1.0) -> DataFrame:
 
     In the order of ``pos`` a node joins the first leader within the tolerance or becomes
     one itself. Leaders only matter inside a connected component of near pairs, so pairs
-    are found on cells, components localise them, and each component replays the order.
+    are found on cells, components localise them, and each component replays the order,
+    each node against the leaders of the cells around it.
     """
     margin = tolerance_m / 100_000.0 + 1e-9
     size = max(margin * 4, 1e-5)
@@ -136,16 +139,8 @@ def snap_nodes(nodes: DataFrame, tolerance_m: float = 1.0) -> DataFrame:
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
-        leaders: list[tuple[str, float, float]] = []
-        reps = []
-        for node, lon, lat in zip(group["node"], group["lon"], group["lat"], strict=True):
-            xy = np.radians([[lon, lat]])
-            at = next((i for i, (_, x, y) in enumerate(leaders) if _distance(xy[0], np.radians([x, y])) <= tolerance_m), None)
-            if at is None:
-                leaders.append((node, lon, lat))
-                at = len(leaders) - 1
-            reps.append(leaders[at][0])
-        return pd.DataFrame({"id": group["node"], "rep_id": reps, "lon": group["lon"], "lat": group["lat"]})
+        reps, at = first_leaders(group["lon"].to_numpy(), group["lat"].to_numpy(), tolerance_m), group["node"].to_numpy()
+        return pd.DataFrame({"id": at, "rep_id": at[reps], "lon": group["lon"], "lat": group["lat"]})
 
     many = F.count(F.lit(1)).over(Window.partitionBy("component"))
     sized = rows.withColumn("_n", many)
@@ -155,8 +150,35 @@ def snap_nodes(nodes: DataFrame, tolerance_m: float = 1.0) -> DataFrame:
     return led.select("id", "rep_id").join(mean, "rep_id").select("id", "rep_id", "lon", "lat")
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> float:
-    h = np.sin((b[1] - a[1]) / 2) ** 2 + np.cos(a[1]) * np.cos(b[1]) * np.sin((b[0] - a[0]) / 2) ** 2
+def first_leaders(lon: np.ndarray, lat: np.ndarray, tolerance_m: float) -> np.ndarray:
+    """For each place, in order: the first earlier place that leads itself and is within the tolerance, or the place.
+
+    Leaders stand in cells of a tolerance's size, so a place is compared with those of nine
+    cells; of two in one cell one leads, but for its corners, so these are few.
+    """
+    x, y = np.radians(lon), np.radians(lat)
+    rows = np.floor(y * g.RADIUS_M / tolerance_m).astype(np.int64)
+    # a column is as wide as the tolerance where the row is widest, so at least as wide everywhere in the row
+    wide = lambda r: np.maximum(np.cos(np.minimum(np.abs(r), np.abs(r + 1)) * tolerance_m / g.RADIUS_M), 1e-9)
+    held: dict[tuple[int, int], list[int]] = {}
+    out = np.arange(len(lon))
+    for i in range(len(lon)):
+        best = i
+        for r in (rows[i] - 1, rows[i], rows[i] + 1):
+            column = int(np.floor(x[i] * g.RADIUS_M * float(wide(r)) / tolerance_m))
+            reach = 2 if abs(lat[i]) > 80 else 1  # rows of very different width
+            for c in range(column - reach - 1, column + reach + 2):
+                for k in held.get((int(r), c), ()):
+                    if k < best and _metres(x[i], y[i], x[k], y[k]) <= tolerance_m:
+                        best = k
+        out[i] = best
+        if best == i:
+            held.setdefault((int(rows[i]), int(np.floor(x[i] * g.RADIUS_M * float(wide(rows[i])) / tolerance_m))), []).append(i)
+    return out
+
+
+def _metres(x1: float, y1: float, x2: float, y2: float) -> float:
+    h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
     return float(2 * g.RADIUS_M * np.arcsin(min(1.0, np.sqrt(h))))
 
 
@@ -178,7 +200,9 @@ def split_roads(roads: DataFrame) -> DataFrame:
 
     Pieces are named after the road and numbered, have nodes named after their coordinates,
     and remember the road in their metadata. Crossings within SPLIT_EPS of the end of a
-    segment cut nothing, so roads that merely share a node stay whole.
+    segment cut nothing, so roads that merely share a node stay whole; cuts and vertices
+    within SPLIT_EPS of each other are one. ``pos`` numbers all roads anew, pieces in the
+    place of their road.
     """
     s = road_segments(roads)
     found = _met(bbox_join(s, s).where(F.col("l_pos") < F.col("r_pos"))).where((F.col("kind") == "point") & ~_at_end(SPLIT_EPS))
@@ -186,11 +210,9 @@ def split_roads(roads: DataFrame) -> DataFrame:
     cuts = cut("l").unionByName(cut("r")).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("seg", "t", "lon", "lat"))).alias("cuts"))
     hit = roads.join(cuts, "id")
     vertices = F.transform("geometry", lambda q, i: F.struct(i.alias("seg"), F.lit(0.0).alias("t"), q["lon"].alias("lon"), q["lat"].alias("lat")))
-    chain = F.array_sort(F.concat(vertices, "cuts"))
-    chain = F.filter(F.transform(chain, lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat"))), lambda q: q.isNotNull())
-    pieces = hit.withColumn("_chain", chain).select(*roads.columns, F.posexplode(p.segments(F.col("_chain"))).alias("_n", "_s"))
+    chain = F.transform(F.array_sort(F.concat(vertices, "cuts")), lambda q: F.struct(q["lon"].alias("lon"), q["lat"].alias("lat")))
+    pieces = hit.withColumn("_chain", _unified(chain)).select(*roads.columns, F.posexplode(p.segments(F.col("_chain"))).alias("_n", "_s"))
     a, b = (F.struct(F.col(f"_s.x{k}").alias("lon"), F.col(f"_s.y{k}").alias("lat")) for k in (1, 2))
-    pieces = pieces.where(~p.same_point(F.col("_s.x1"), F.col("_s.y1"), F.col("_s.x2"), F.col("_s.y2"), SPLIT_EPS))
     made = pieces.withColumns(
         {
             "metadata": F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "source_edge"), F.create_map(F.lit("source_edge"), F.col("id"))),
@@ -199,11 +221,22 @@ def split_roads(roads: DataFrame) -> DataFrame:
             "geometry": F.array(a, b),
             "length": g.haversine(F.col("_s.x1"), F.col("_s.y1"), F.col("_s.x2"), F.col("_s.y2")),
             "id": F.concat(F.col("id"), F.lit("_split_"), F.col("_n").cast("string")),
-            "pos": F.col("pos") * 1_000_000 + F.col("_n"),
         }
-    ).select(*roads.columns)
-    whole = roads.join(cuts.select("id"), "id", "left_anti").withColumn("pos", F.col("pos") * 1_000_000).select(*roads.columns)
-    return whole.unionByName(made)
+    ).select(*roads.columns, "_n")
+    whole = roads.join(cuts.select("id"), "id", "left_anti").select(*roads.columns).withColumn("_n", F.lit(0))
+    every = whole.unionByName(made).withColumnRenamed("pos", "_pos").withColumn("_id", F.col("id"))
+    return numbered(every, ["_pos", "_n", "_id"]).select(*roads.columns)
+
+
+def _unified(chain: Column) -> Column:
+    """A line without the points that lie within SPLIT_EPS of the last one that stays."""
+
+    def step(acc: Column, q: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        same = F.coalesce(p.same_point(last["lon"], last["lat"], q["lon"], q["lat"], SPLIT_EPS), F.lit(False))
+        return F.when(same, acc).otherwise(F.concat(acc, F.array(q)))
+
+    return F.aggregate(chain, F.slice(chain, 1, 0), step)
 
 
 def without_duplicates(roads: DataFrame) -> DataFrame:

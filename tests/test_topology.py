@@ -79,6 +79,25 @@ def test_snapping_follows_the_order(spark):
     assert got["n0"][1] == pytest.approx(step / 2)
 
 
+def test_first_leaders_equal_the_loop():
+    rng = np.random.default_rng(4)
+    for centre, tolerance in ((39.0, 5.0), (0.0, 1.0), (-78.0, 20.0), (86.0, 50.0)):
+        lon, lat = 116 + rng.normal(0, 0.0002 / np.cos(np.radians(centre)), 300), centre + rng.normal(0, 0.0002, 300)
+        x, y = np.radians(lon), np.radians(lat)
+        leaders, want = [], []
+        for i in range(300):
+            near = [k for k in leaders if topology._metres(x[i], y[i], x[k], y[k]) <= tolerance]
+            want.append(near[0] if near else i)
+            leaders += [] if near else [i]
+        assert topology.first_leaders(lon, lat, tolerance).tolist() == want
+
+
+def test_cuts_close_together_are_one(spark):
+    roads = road_table(spark, [("x", "a", "b", [(0, 0), (2, 0)]), ("y", "c", "d", [(1, -1), (1, 1)]), ("z", "e", "f", [(1 + 5e-10, -1), (1 + 5e-10, 1)])])
+    cut = topology.split_roads(roads.drop(*spatial.BOX)).orderBy("pos").collect()
+    assert [r["id"] for r in cut] == ["x_split_0", "x_split_1", "y_split_0", "y_split_1", "z_split_0", "z_split_1"] and [r["pos"] for r in cut] == list(range(6))
+
+
 def test_splitting_keeps_length(spark):
     _, roads = random_roads(spark, 40, seed=3, span=0.01)
     before = roads.agg(F.sum("length")).first()[0]
