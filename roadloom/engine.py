@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import geodesy as g
 from .functions.types import GEOFENCES
-from .operators import graph, matching, measures, spatial, topology, trajectory
+from .operators import graph, lineage, matching, measures, spatial, topology, trajectory
+from .plans import benchmarks, sample
 from .sources import geojson, osm
 from .sources.store import MapStore
 
@@ -20,11 +21,22 @@ class NotFound(LookupError):
     """What was asked for is not in the map, or has no route."""
 
 
+#: The experiments that a viewer offers and the layers that each shows.
+EXPERIMENTS = (
+    ("topology_repair", "Dirty Road Repair", ("roads", "fixed_roads", "illegal_crossings", "dangling_edges")),
+    ("spatial_index", "Spatial Index Benchmark", ("query_bbox", "candidate_roads")),
+    ("map_matching", "HMM Candidate/Viterbi", ("trajectories", "candidate_points", "matched_path")),
+    ("trajectory_analysis", "Trajectory Error Heatmap", ("trajectories", "deviation_points")),
+)
+
+
 class MapEngine:
-    """Queries over one stored map. ``root`` is a folder that all executors share."""
+    """Queries over one stored map. ``root`` is a folder that all executors share; without roads in it the sample map is loaded, unless ``empty``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, empty: bool = False):
         self.spark, self.store = spark, MapStore(spark, root)
+        if not empty and not self.store.has_roads():
+            self.load_sample()
 
     # Data ----------------------------------------------------------------------------------
 
@@ -56,13 +68,31 @@ class MapEngine:
         )
         return self.current()
 
-    def load_geojson(self, roads: str, trajectories: str | None = None, fences: str | None = None, pois: str | None = None) -> DataFrame:
-        """Replaces the map by GeoJSON files; layers without a file become empty."""
-        read = lambda path: None if path is None else geojson.read_features(self.spark, path)
-        return self._replace(read(roads), read(trajectories), read(fences), read(pois))
+    def load(self, source: str = "sample", **what) -> DataFrame:
+        """Replaces the map from a source by name: sample, geojson (paths, or texts as *_text), osm_file (path), osm_online (box or place)."""
+        if source == "sample":
+            return self.load_sample()
+        if source == "geojson" and what.get("roads_text") is not None:
+            return self.load_payloads(**{k.removesuffix("_text"): v for k, v in what.items() if k.endswith("_text")})
+        if source == "geojson" and what.get("roads"):
+            return self.load_geojson(**what)
+        if source == "osm_file" and what.get("path"):
+            return self.load_osm(what["path"])
+        if source == "osm_online":
+            return self.load_osm_online(**what)
+        raise ValueError(f"unknown source, or nothing to load from it: {source}")
+
+    def load_sample(self) -> DataFrame:
+        """Replaces the map by the sample map."""
+        return self.load_payloads(**sample.layers())
+
+    def load_geojson(self, roads: str | None = None, trajectories: str | None = None, fences: str | None = None, pois: str | None = None) -> DataFrame:
+        """Replaces the map by GeoJSON files; a layer without a file is the sample map's."""
+        texts, paths = sample.layers(), {"roads": roads, "trajectories": trajectories, "fences": fences, "pois": pois}
+        return self._replace(*[geojson.read_features(self.spark, path) if path else geojson.payload_features(self.spark, texts[name]) for name, path in paths.items()])
 
     def load_payloads(self, roads: str, trajectories: str | None = None, fences: str | None = None, pois: str | None = None) -> DataFrame:
-        """As ``load_geojson`` with JSON texts."""
+        """As ``load_geojson`` with JSON texts; layers without one become empty."""
         read = lambda text: None if text is None else geojson.payload_features(self.spark, text)
         return self._replace(read(roads), read(trajectories), read(fences), read(pois))
 
@@ -79,10 +109,22 @@ class MapEngine:
         self.store.replace(road_nodes=nodes, road_edges=roads)
         return self.current()
 
-    def reset(self) -> None:
+    def reset(self) -> DataFrame:
+        """Back to the sample map."""
+        return self.load_sample()
+
+    def clear(self) -> None:
         """Empties all layers."""
         self.store.clear()
 
+    def tidy(self, *needed: DataFrame) -> int:
+        """Deletes what queries have left in the shared folder, but for what ``needed`` still reads."""
+        return lineage.release(self.spark, *needed)
+
+    def health(self) -> DataFrame:
+        """One row: status ok and the numbers of ``current``."""
+        return self.current().select(F.lit("ok").alias("status"), "nodes", "roads", "trajectories", "geofences", "pois")
+
     def current(self) -> DataFrame:
         """One row: rows of each layer and the box of the roads, null without roads."""
         n = lambda df, name, key="id": df.agg(F.count_distinct(key).alias(name))
@@ -166,14 +208,14 @@ class MapEngine:
             arcs = graph.without(arcs, spatial.blocked_edges(self.roads, spatial.polygon_rows(self.spark, rings)))
         return arcs
 
-    def route(self, start: Coordinate, end: Coordinate, waypoints: list[Coordinate] | None = None, mode: str = "shortest_distance", avoid: list | None = None) -> DataFrame:
+    def route(self, start: Coordinate, end: Coordinate, waypoints: list[Coordinate] | None = None, mode: str = "shortest_distance", avoid: list | None = None, algorithm: str = "astar") -> DataFrame:
         """One row: the shortest way through all stops in their order, around the polygons ``avoid``.
 
-        Every algorithm gives the optimum, so there is no choice of one.
+        ``algorithm`` is dijkstra or astar; both find the least cost (see ``graph.shortest_paths``).
         """
         nodes = self._stops([start, *(waypoints or []), end])
         legs = self.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(nodes, nodes[1:], strict=False))], "leg int, source string, target string")
-        found = graph.routes(self._arcs(avoid), legs.select("source", "target"), mode)
+        found = graph.routes(self._arcs(avoid), legs.select("source", "target"), mode, algorithm)
         merged = graph.merged_legs(legs.join(found, ["source", "target"]).withColumn("route_id", F.lit("route_001")), "route_id")
         if not merged.first()["found"]:
             raise NotFound("no route")
@@ -211,26 +253,29 @@ class MapEngine:
             out = out.crossJoin(rows.withColumnRenamed("value", name))  # one row each
         return out.crossJoin(spatial.bounds(self.roads))
 
-    def benchmark_boxes(self, iterations: int = 20, seed: int = 7) -> DataFrame:
-        """Latencies of box queries on the stored layout, by nearest rank."""
-        box = tuple(spatial.bounds(self.roads).first())
-        cases = {f"window_{i}": (lambda w=w: spatial.roads_in_bbox(self.roads, w)) for i, w in enumerate(measures.random_windows(box, iterations, seed=seed))}
-        runs = measures.timed(self.spark, cases, 1).withColumn("index", F.lit("parquet_bbox"))
-        return measures.latency_report(runs, ["index"])
+    def write_layers(self, path: str) -> None:
+        """Each layer as files with one GeoJSON feature in a line, below ``path``; for maps of any size."""
+        parts = {"roads": geojson.road_features(self.roads), "trajectories": geojson.trajectory_features(self.points), "geofences": geojson.geofence_features(self.fences), "pois": geojson.poi_features(self.pois)}
+        for name, rows in parts.items():
+            geojson.write_features(rows, f"{path}/{name}")
+
+    def experiments(self) -> DataFrame:
+        """(id, name, layers) of the experiments that a viewer offers; the base layers are those of ``layers``."""
+        return self.spark.createDataFrame([(i, n, list(layers)) for i, n, layers in EXPERIMENTS], "id string, name string, layers array<string>")
+
+    def benchmark_index(self, box: spatial.Box | None = None, iterations: int = 20) -> DataFrame:
+        """Five layouts of the roads, built and asked for one box (that of all roads by default); see ``benchmarks.index_benchmark``."""
+        return benchmarks.index_benchmark(self.roads, [box or tuple(spatial.bounds(self.roads).first())], iterations)
+
+    def benchmark_boxes(self, windows: int = 20, seed: int = 7) -> DataFrame:
+        """The same layouts asked for random windows."""
+        return benchmarks.city_benchmark(self.roads, windows, seed)
 
     def benchmark_matching(self, route: list[str] | None = None, k: int = 5) -> DataFrame:
         """Precision and recall of both matchers on synthetic traces along ``route`` (road ids), or the first three roads."""
-        rows = self.roads.where(F.col("id").isin(route)) if route else self.roads.orderBy("pos").limit(3)
-        lines = {r["id"]: [(q["lon"], q["lat"]) for q in r["geometry"]] for r in rows.select("id", "geometry", "pos").orderBy("pos").collect()}  # a few roads
-        ids = route or list(lines)
-        path = [lines[i] for i in ids]
-        points = matching.trace_rows(self.spark, matching.parallel_road_trace(path) + matching.low_frequency_trace(path))
-        truth = points.select("trajectory_id").distinct().withColumn("roads", F.array(*map(F.lit, ids)))
-        out = None
-        for name, found in (("nearest", matching.matched_sequences(matching.match_nearest(points, self.roads, k))), ("hmm", matching.matched_sequences(matching.match_hmm(points, self.roads, k), 20.0))):
-            part = matching.evaluation(found, truth).withColumn("algorithm", F.lit(name))
-            out = part if out is None else out.unionByName(part)
-        return out
+        ids = route or [r["id"] for r in self.roads.orderBy("pos").limit(3).select("id").collect()]
+        legs = self.roads.where(F.col("id").isin(ids)).select(F.lit("route").alias("trajectory_id"), F.array_position(F.array(*map(F.lit, ids)), F.col("id")).alias("leg"), F.col("id").alias("road_id"), "geometry")
+        return benchmarks.matching_benchmark(legs, self.roads, k)
 
 
 #: Scalar SQL functions over coordinates, for sessions that want them by name.

@@ -8,6 +8,7 @@ import pytest
 from maps import FENCE, payloads
 
 from roadloom.engine import MapEngine, NotFound, register_sql_functions
+from roadloom.sources import geojson
 
 
 @pytest.fixture(scope="module")
@@ -49,12 +50,33 @@ def test_fences_of_a_request(engine):
     assert {r["fence_id"] for r in engine.geofence_check(fences=fences).collect()} == {"x"}
 
 
-def test_reset(spark, tmp_path):
+def test_sample_load_and_reset(spark, tmp_path):
     made = MapEngine(spark, str(tmp_path))
-    made.load_payloads(*payloads()[:1])
+    assert tuple(made.health().first()) == ("ok", 9, 13, 1, 1, 3)
+    assert {r["name"] for r in made.pois.collect()} == {"North Gate", "Delivery Station", "Parking Lot"} and made.points.where("ts_raw is not null").count() == 6
+    made.load("geojson", roads_text=payloads()[0])
     assert made.current().first()["roads"] == 13 and made.current().first()["pois"] == 0
-    made.reset()
+    path = tmp_path / "roads.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": json.loads(payloads()[0])["features"][:2]}))
+    assert tuple(made.load("geojson", roads=str(path)).first())[:5] == (3, 2, 1, 1, 3)  # the other layers are the sample's
+    made.clear()
     assert made.current().first()["roads"] == 0 and made.current().first()["min_lon"] is None
+    assert made.reset().first()["roads"] == 13 and made.load().first()["roads"] == 13
+    with pytest.raises(ValueError, match="unknown source"):
+        made.load("geojson")
+
+
+def test_repair_after_an_osm_load(spark, tmp_path):
+    from test_sources import OSM
+
+    (tmp_path / "map.osm").write_text(OSM)
+    made = MapEngine(spark, str(tmp_path / "map"), empty=True)
+    assert made.load("osm_file", path=str(tmp_path / "map.osm")).first()["roads"] == 3
+    assert [r["id"] for r in made.roads.orderBy("pos").collect()] == ["osm_way_900_0", "osm_way_900_1", "osm_way_17_0"]
+    done = made.repair(1.0, apply=True).first()
+    assert done["before_issues"] >= 0 and made.current().first()["roads"] == 3
+    assert [r["pos"] for r in made.roads.orderBy("pos").collect()] == [0, 1, 2]
+    assert made.tidy() > 0
 
 
 @pytest.mark.parametrize("algorithm", ["nearest", "candidate_cost", "hmm"])
@@ -70,6 +92,9 @@ def test_routes(engine):
     short = engine.route(near, far).first()
     assert short["distance"] == pytest.approx(3366.19, abs=0.01) and short["estimated_time"] == pytest.approx(378.48, abs=0.01)
     assert short["road_sequence"] == ["edge_diag_00_11", "edge_v_11_12", "edge_h_12_22"]
+    assert engine.route(near, far, algorithm="dijkstra").first() == short
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        engine.route(near, far, algorithm="x")
     fast = engine.route(near, far, mode="shortest_time").first()
     assert fast["estimated_time"] == pytest.approx(300.73, abs=0.01) and fast["distance"] == pytest.approx(3929.75, abs=0.01)
     around = engine.route(near, far, avoid=[FENCE]).first()
@@ -99,11 +124,37 @@ def test_export(engine):
 
 
 def test_measures(engine):
-    assert engine.benchmark_boxes(3).first()["n"] == 3
+    rows = {r["index"]: r for r in engine.benchmark_index(iterations=2).collect()}
+    assert set(rows) == {"brute_force", "grid", "quadtree", "rtree", "str_rtree"}
+    assert all(r["queries"] == 2 and r["result_count"] == 13 and r["build_ms"] > 0 and r["stored_bytes"] > 0 for r in rows.values())
+    rows = engine.benchmark_boxes(3).collect()
+    assert len({r["result_count"] for r in rows}) == 1 and rows[0]["roads"] == 13 and rows[0]["length_m"] == pytest.approx(13190.69, abs=0.01)
+    assert [r["id"] for r in engine.experiments().collect()] == ["topology_repair", "spatial_index", "map_matching", "trajectory_analysis"]
     rows = engine.benchmark_matching(["edge_h_01_11", "edge_h_11_21", "edge_v_21_22"]).collect()
     assert {r["algorithm"] for r in rows} == {"nearest", "hmm"} and all(0 <= r["precision"] <= 1 for r in rows)
 
 
+def test_layers_as_lines(engine, spark, tmp_path):
+    engine.write_layers(str(tmp_path))
+    again = geojson.roads(geojson.read_feature_lines(spark, f"{tmp_path}/roads"))[1]
+    assert sorted(map(tuple, again.select("id", "from_node", "to_node", "length").collect())) == sorted(map(tuple, engine.roads.select("id", "from_node", "to_node", "length").collect()))
+
+
+def test_a_layer_that_does_not_fit_a_text_is_an_error(engine, monkeypatch):
+    monkeypatch.setattr(geojson, "TEXT_BYTES", 100)
+    with pytest.raises(ValueError, match="too many"):
+        engine.export()
+
+
+def test_benchmarks(spark, engine):
+    from roadloom.plans import benchmarks
+
+    done = benchmarks.topology_benchmark(spark).first()
+    assert done["split_edges_added"] > 0 and done["duplicate_edges_removed"] >= 1 and done["after_illegal_crossings"] == 0 and done["elapsed_ms"] > 0
+    pairs = spark.createDataFrame([("node_00", "node_22")], "source string, target string")
+    assert {r["case"] for r in benchmarks.routing_latency(engine.roads, pairs, 1).collect()} == {f"{a}_{m}" for a in ("dijkstra", "astar") for m in ("shortest_distance", "shortest_time")}
+
+
 def test_missing_trajectory(engine):
     with pytest.raises(NotFound):
         engine.trajectory("nobody")
