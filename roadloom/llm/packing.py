@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .textkit import byte_runs, trim, written
 
-#: Pieces that one packing task holds on average. A task leaves about one unfilled bin.
+#: Pieces that are packed at once, on average. A group leaves about one unfilled bin.
 GROUP_PIECES = 8192
+#: Tasks that pack groups; beyond it a task packs several, one at a time.
+PACK_TASKS = 4096
 #: Words whose ids a worker remembers; beyond it the memory starts anew, results do not depend on it.
 CACHE_WORDS = 400_000
 _LOADED: dict[str, tuple] = {}
@@ -192,21 +194,39 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, *, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece"), group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` with sequence_id and offset; lengths lie between 1 and ``capacity``.
 
-    Pieces are dealt by a hash of ``key`` into groups of about ``group_pieces``, one task
-    packs one group by ``minimum_bin_slack``, and the group numbers its own sequences. The
-    number of groups grows with the table, so no task does; each group leaves about one
-    bin that is not full.
+    Pieces are dealt by a hash of ``key`` into groups of about ``group_pieces``, each packed
+    at once by ``minimum_bin_slack``; a group numbers its own sequences. Groups are dealt
+    evenly to tasks by their number and taken one after the other, so what a task holds
+    does not grow with the table; each group leaves about one bin that is not full.
     """
     groups = max(1, round(pieces.count() / group_pieces))
-    salted = pieces.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int"))
+    tasks = min(groups, PACK_TASKS)
+    group = F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int")
+    dealt = pieces.withColumn("_group", group).repartitionById(tasks, F.pmod("_group", F.lit(tasks))).sortWithinPartitions("_group")
 
-    def fill(table: pa.Table) -> pa.Table:
+    def filled(batches: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(batches).combine_chunks()
         bins, offsets = minimum_bin_slack(table["length"].to_numpy(), capacity)
         ids = bins + (int(table["_group"][0].as_py()) << 40)
         return table.drop_columns(["_group"]).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One group after the other; a partition's rows are in the order of their groups."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("_group")).to_numpy()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if held and x < y and held[-1].column(held[-1].schema.get_field_index("_group"))[0].as_py() != own[x]:
+                    yield from filled(held).to_batches()
+                    held = []
+                if x < y:
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield from filled(held).to_batches()
+
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return salted.groupBy("_group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
+    return dealt.mapInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

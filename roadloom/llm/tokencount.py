@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import byte_runs
+from .textkit import byte_runs, small_batches
 
 #: Longer texts are split at safe boundaries, so that one text does not hold a worker's batch.
 SPLIT_CHARS = 16_384
@@ -67,6 +67,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
     table gives an empty result; other columns are not read. Only lengths leave the
     Python workers. There is no shuffle.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
