@@ -8,6 +8,7 @@ needed.
 from __future__ import annotations
 
 import argparse
+import math
 import time
 from collections.abc import Callable
 
@@ -36,7 +37,7 @@ def layouts(roads: DataFrame) -> dict[str, tuple[Callable[[], DataFrame], Callab
     middle = [(F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in ("lon", "lat")]
 
     def grid(rows: DataFrame, box: spatial.Box) -> DataFrame:
-        (x1, y1), (x2, y2) = [[int(v // spatial.CELL) for v in corner] for corner in (box[:2], box[2:])]
+        (x1, y1), (x2, y2) = [[math.floor(v / spatial.CELL) for v in corner] for corner in (box[:2], box[2:])]  # as ``spatial.cells``
         return rows.where(F.col("cx").between(x1, x2) & F.col("cy").between(y1, y2)).dropDuplicates(["id"])
 
     def quadtree(rows: DataFrame, box: spatial.Box) -> DataFrame:
