@@ -41,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e)
     state = _state(e)
-    while True:
+    while state[0]:
         wide = written(_large(e, state[0]))
         e = written(_small(wide, wide.count()))
         if (new := _state(e)) == state:

@@ -107,6 +107,20 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_groups_of_pieces_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PACK_TASKS", 3)
+    rng = random.Random(6)
+    rows = [(i, 0, rng.randrange(1, 101)) for i in range(900)] + [(None, 0, 7)] * 5
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(5), capacity=100, group_pieces=60).collect()
+    assert len(got) == len(rows) and len({r["sequence_id"] >> 40 for r in got}) == 15
+    full = {}
+    for r in got:
+        full.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in full.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()] and sum(n for _, n in parts) <= 100
+    assert packing.pack(spark.createDataFrame([], "doc_id long, piece int, length long")).count() == 0
+
+
 def test_bins_are_full_where_they_can_be():
     rng = np.random.default_rng(0)
     for n, top in ((1, 5), (50, 100), (2000, 100), (300, 17)):
@@ -408,6 +422,18 @@ def test_repeated_passages_of_a_phrase_in_many_contexts(spark, monkeypatch, heav
     check_removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rows)
 
 
+def test_runs_of_a_long_text_piece_by_piece(monkeypatch):
+    """Every passage start is in one run, whatever the pieces, and has its own minimiser."""
+    rng = random.Random(8)
+    texts = [prose(rng, 300).encode(), b"", b"x" * 49, b"y" * 50, prose(rng, 90).encode()]
+    found = []
+    for step in (64, 333, 1 << 19):
+        monkeypatch.setattr(suffixdedup, "_STEP", step)
+        runs = suffixdedup.Runs(texts)
+        found.append(sorted((d, s + k, v) for d, s, n, v in zip(runs.doc.tolist(), runs.start.tolist(), runs.size.tolist(), runs.value.tolist(), strict=True) for k in range(n)))
+    assert found[0] == found[1] == found[2] and [(d, s) for d, s, _ in found[0]] == [(d, s) for d, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
 def test_contexts_of_one_phrase_spread_over_buckets(monkeypatch):
     """3000 contexts of one phrase: no bucket gets more than a few times its share of strings."""
     monkeypatch.setattr(suffixdedup, "HEAVY", 100)
@@ -596,6 +622,15 @@ def test_kneser_ney_sums_to_one():
         assert sum(seen) + rest * (0x110000 - 6) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh é", "".join(map(chr, range(97, 123))) + "àéîõü", "".join(map(chr, range(0x4E00, 0x5E00)))])
+def test_distinct_ngrams(letters):
+    rng = random.Random(2)
+    grams, _ = langid.ngrams(["".join(rng.choice(letters + " ") for _ in range(900)) for _ in range(3)])
+    rows, which = langid.distinct(grams)
+    assert np.array_equal(rows[which], grams) and len({tuple(r) for r in rows.tolist()}) == len(rows) == len({tuple(r) for r in grams.tolist()})
+    assert len(langid.distinct(grams[:0])[0]) == 0
+
+
 def test_ngrams_do_not_cross_texts():
     texts = ("abc d", "xyz", "", None, "é!!f", "𐌰漢")
     one = [langid.ngrams([t])[0].tolist() for t in texts]

@@ -82,8 +82,8 @@ def test_near_stage_judges_rows(spark):
     out = corpus_pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     left = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
-    # the capitals are no difference to shingles of lower-case words, the q is one shingle more of many
-    assert left == sorted([("3", CLEAN), ("5", "zz " + LINE), ("1", LINE), ("2", LINE + " tail one"), ("2", LINE + " tail two"), ("None", LINE + " nobody"), ("7", ""), ("8", ""), ("None", "")]) or ("None", "q " + CLEAN.upper()) in left
+    # a word or two more leave over 0.8 of the shingles in common, and capitals are no difference; rows without words are classes of their own
+    assert left == sorted([("3", CLEAN), ("1", LINE), ("7", ""), ("8", ""), ("None", "")])
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
