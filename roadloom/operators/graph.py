@@ -77,7 +77,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         e = materialised(e)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == state:
+        if now == state or not now[0]:
             break
         state, e = now, _star(e, now[0])
     every = nodes.select(F.col("id").alias("node")).unionByName(edges.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
