@@ -23,6 +23,8 @@ CALIBRATION_ROWS = 4096
 BROADCAST_ENTRIES = 8_000_000
 #: Steps of a margin's logarithm in which calibration rows are summed.
 STEPS = 256
+#: Keys of a batch's n-grams that are found by a table instead of by sorting.
+TABLE_BITS = 24
 UNDETERMINED = "und"
 _TABLE: list[np.ndarray] = []
 _FACTORS = random_table(ORDER, 29) | np.uint64(1)
@@ -65,6 +67,41 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams[distance > 0], starts - np.arange(len(starts))  # the boundary that begins a text is context only
 
 
+def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``grams`` and which of them each row is.
+
+    The symbols that occur are numbered, so that a row fits a small key: where keys are few
+    enough a table finds them, else sorting does.
+    """
+    if not len(grams):
+        return grams, np.zeros(0, np.int64)
+    held = np.bincount(grams[:, -1])
+    held[0] += 1  # the boundary before a text
+    used = np.flatnonzero(held)
+    bits = max(1, (len(used) - 1).bit_length())
+    if ORDER * bits > 64:
+        return np.unique(grams, axis=0, return_inverse=True)
+    place = np.zeros(len(held), np.uint64 if ORDER * bits > 32 else np.uint32)
+    place[used] = np.arange(len(used))
+    key, shift = np.zeros(len(grams), place.dtype), place.dtype.type(bits)
+    for k in range(ORDER):
+        key = key << shift | place[grams[:, k]]
+    if ORDER * bits <= TABLE_BITS:
+        there = np.zeros(1 << ORDER * bits, bool)
+        there[key] = True
+        keys = np.flatnonzero(there)
+        rank = np.empty(len(there), np.uint32)
+        rank[keys] = np.arange(len(keys))
+        which = rank[key]
+    else:
+        keys = np.unique(key)
+        which = np.searchsorted(keys, key)
+    keys = keys.astype(np.uint64)
+    mask = np.uint64((1 << bits) - 1)
+    rows = [used[(keys >> np.uint64(bits * (ORDER - 1 - k)) & mask).astype(np.int64)] for k in range(ORDER)]
+    return np.stack(rows, axis=1).astype(np.uint32), which
+
+
 def packed(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of four symbols as two longs, two symbols each."""
     wide = grams.astype(np.int64)
@@ -141,12 +178,8 @@ class LanguageModel:
         out = np.zeros((len(texts), len(self.languages)))
         if not len(grams) or not self.languages:
             return out, n
-        high, low = packed(grams)
-        order = np.lexsort((low, high))
-        new = np.concatenate([[True], (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])])
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        keys, before = hashes(grams[order[new]])  # each distinct n-gram once
+        single, which = distinct(grams)
+        keys, before = hashes(single)
         has = n > 0
         for k, model in enumerate(self.models):
             cost = -np.log(model.probability(keys, before))
@@ -215,8 +248,8 @@ def _counted(rows: DataFrame) -> DataFrame:
             for lang, held in {*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}:
                 own = batch.column(2).filter(pc.and_(pc.equal(batch.column(0), lang), pc.equal(batch.column(1), held)))
                 for a, b in byte_runs(pc.binary_length(own).to_pylist(), 1 << 22):
-                    grams, _ = ngrams(own.slice(a, b - a).to_pylist())
-                    got = grouped(*packed(grams), np.ones(len(grams), np.int64))
+                    single, which = distinct(ngrams(own.slice(a, b - a).to_pylist())[0])
+                    got = (*packed(single), np.bincount(which, minlength=len(single)))
                     sums[lang, held] = got if (lang, held) not in sums else grouped(*map(np.concatenate, zip(sums[lang, held], got, strict=True)))
         for (lang, held), (high, low, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([held] * len(n), pa.bool_()), pa.array(high), pa.array(low), pa.array(n)], names=["lang", "held", "high", "low", "n"])
@@ -293,12 +326,12 @@ def _costs_by_join(rows: DataFrame, model: LanguageModel) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 grams, _ = ngrams([text])
                 if len(grams):
-                    both, n = np.unique(np.stack(packed(grams), axis=1), axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(n), pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n.astype(np.int64))], names=["key", "high", "low", "n"])
+                    single, which = distinct(grams)
+                    high, low = packed(single)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(high), pa.binary()), pa.array(high), pa.array(low), pa.array(np.bincount(which).astype(np.int64))], names=["key", "high", "low", "n"])
 
     parts = written(rows.select("key", "text").mapInArrow(cut, "key binary, high long, low long, n long"))
-    distinct = parts.groupBy("high", "low").agg(F.count(F.lit(1)).alias("size"))
-    asked = _keyed(distinct)
+    asked = _keyed(parts.groupBy("high", "low").agg(F.count(F.lit(1)).alias("size")))
     level = F.explode(F.array(*[F.struct(F.lit(2 * k - (c == "c")).alias("level"), F.col(f"{c}{k}").alias("key")) for k in range(1, ORDER + 1) for c in "kc"]))
     asked = asked.select("high", "low", "size", level.alias("l")).select("high", "low", "size", "l.*")
     place = F.map_from_arrays(F.array(*map(F.lit, model.languages)), F.array(*map(F.lit, range(len(model.languages)))))
