@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geodesy as g
-from .functions.types import GEOFENCES
+from .functions.types import GEOFENCES, TRAJECTORY_POINTS
 from .operators import graph, lineage, matching, measures, spatial, topology, trajectory
 from .plans import benchmarks, sample
 from .sources import geojson, osm
@@ -146,9 +146,11 @@ class MapEngine:
             raise NotFound("no such trajectory")
         return rows
 
-    def trace(self, coordinates: list[Coordinate], trajectory_id: str = "request_trajectory") -> DataFrame:
-        rows = [(trajectory_id, i, float(c[0]), float(c[1])) for i, c in enumerate(coordinates)]
-        return self.spark.createDataFrame(rows, "trajectory_id string, point_index int, lon double, lat double")
+    def trace(self, coordinates: list[Coordinate], trajectory_id: str = "request_trajectory", timestamps: list[str] | None = None) -> DataFrame:
+        """The points of a request; timestamps go by place, as far as there are any."""
+        stamps = [None if t is None else str(t) for t in timestamps or []]
+        rows = [(trajectory_id, i, float(c[0]), float(c[1]), stamps[i] if i < len(stamps) else None) for i, c in enumerate(coordinates)]
+        return self.spark.createDataFrame(rows, TRAJECTORY_POINTS)
 
     def fence_rows(self, payload: list[dict]) -> DataFrame:
         """Fences from request objects with id, name and coordinates, or a geometry that has them."""

@@ -158,7 +158,8 @@ def test_benchmarks(spark, engine):
 def test_missing_trajectory(engine):
     with pytest.raises(NotFound):
         engine.trajectory("nobody")
-    assert engine.trace([(0, 0), (1, 1)]).count() == 2
+    assert [r["ts_raw"] for r in engine.trace([(0, 0), (1, 1)], timestamps=["8:00"]).orderBy("point_index").collect()] == ["8:00", None]
+    assert len(engine.match(engine.trace([(116.391, 39.9098), (116.402, 39.9102)]), "nearest").collect()) == 2
 
 
 def test_sql_functions(spark):

@@ -110,7 +110,7 @@ def test_places_in_a_long_file(spark, tmp_path):
     assert [r["id"] for r in nodes.orderBy("pos").collect()] == [f"osm_node_{i}" for i in ids]
 
 
-def test_online_sources_ask_for_the_box(spark):
+def test_online_sources_ask_for_the_box(spark, tmp_path):
     asked = []
 
     def fetch(url, body=None):
@@ -119,6 +119,8 @@ def test_online_sources_ask_for_the_box(spark):
 
     assert osm.download_place(spark, "somewhere", fetch)[1].count() == 3
     assert b"39.0%2C116.0%2C40.0%2C117.0" in asked[1][1]
+    assert osm.save_place(spark, "somewhere", str(tmp_path / "roads"), fetch) == 3
+    assert {r["id"] for r in geojson.read_feature_lines(spark, str(tmp_path / "roads")).collect()} == {"osm_way_900_0", "osm_way_900_1", "osm_way_17_0"}
     with pytest.raises(ValueError, match="no such place"):
         osm.geocode("nowhere", lambda url, body=None: "[]")
 
