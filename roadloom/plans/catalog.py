@@ -315,10 +315,12 @@ def trajectory_analyze(m: TestMap) -> DataFrame:
 
 @query(
     with_map(
-        """SELECT trajectory_id, round(x, 7) AS lon, round(y, 7) AS lat FROM (
-  SELECT p.trajectory_id, p.lon AS x, p.lat AS y, min((q.lon - p.lon) * (r.lat - p.lat) - (q.lat - p.lat) * (r.lon - p.lon)) AS least
+        """SELECT DISTINCT trajectory_id, round(x, 7) AS lon, round(y, 7) AS lat FROM rim r
+WHERE NOT EXISTS (SELECT 1 FROM rim e WHERE e.trajectory_id = r.trajectory_id AND e.qx = r.x AND e.qy = r.y AND abs((r.x - e.x) * (r.qy - e.y) - (r.y - e.y) * (r.qx - e.x)) <= 1e-12)""",
+        """rim AS (SELECT trajectory_id, x, y, qx, qy FROM (
+  SELECT p.trajectory_id, p.lon AS x, p.lat AS y, q.lon AS qx, q.lat AS qy, min((q.lon - p.lon) * (r.lat - p.lat) - (q.lat - p.lat) * (r.lon - p.lon)) AS least
   FROM points p JOIN points q ON q.trajectory_id = p.trajectory_id AND (q.lon, q.lat) <> (p.lon, p.lat) JOIN points r ON r.trajectory_id = p.trajectory_id GROUP BY p.trajectory_id, p.lon, p.lat, q.lon, q.lat)
-WHERE least >= -1e-12 GROUP BY ALL"""
+WHERE least >= -1e-12)""",
     )
 )
 def convex_hull(m: TestMap) -> DataFrame:
