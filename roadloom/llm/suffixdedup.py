@@ -25,11 +25,12 @@ BLOCK_BYTES = 4 << 20
 TABLE_BYTES = 16 << 20
 #: Text for each bucket in which suffixes are sorted.
 BUCKET_BYTES = 2 << 20
-#: Stretches around one minimiser, over all blocks; with more of them its strings are dealt one by one.
-HEAVY = 4096
+#: Stretches around one minimiser, over all blocks, that fill half a bucket by themselves; with more of them its strings are dealt one by one.
+HEAVY = BUCKET_BYTES // (2 * (LENGTH + WINDOW))
 _BITS = np.uint64((1 << 48) - 1)
 _NEVER = np.int64((1 << 63) - 1)
-_STEP = 1 << 20
+#: Bytes whose hashes are held at once.
+_STEP = 1 << 19
 
 
 # Difference cover --------------------------------------------------------------------------------
@@ -97,9 +98,11 @@ class Runs:
 
     def __init__(self, texts: list[bytes]):
         parts: list[tuple[np.ndarray, ...]] = []
-        for a, b in byte_runs(map(len, texts), _STEP):
-            data = np.frombuffer(b"\n".join(texts[a:b]) + b"\n", np.uint8)
-            starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
+        # a long text goes piece by piece, each with the bytes that its last passages reach into the next one
+        pieces = [(d, at, t[at : at + _STEP + LENGTH - 1]) for d, t in enumerate(texts) for at in range(0, max(len(t) - LENGTH + 1, 1), _STEP)]
+        for a, b in byte_runs([len(p[2]) for p in pieces], _STEP):
+            data = np.frombuffer(b"\n".join([p[2] for p in pieces[a:b]]) + b"\n", np.uint8)
+            starts = np.concatenate([[0], np.cumsum([len(p[2]) + 1 for p in pieces[a:b]])])
             n = len(data) - LENGTH
             if n <= 0:
                 continue
@@ -120,8 +123,9 @@ class Runs:
             begin, end = at[:-1], at[1:]
             ok = valid[begin]
             begin, end = begin[ok], end[ok]
-            doc = np.searchsorted(starts, begin, side="right") - 1
-            parts.append((doc + a, begin - starts[doc], end - begin, m[begin], span_hash(h, begin, end + LENGTH - 1)))
+            piece = np.searchsorted(starts, begin, side="right") - 1
+            doc, offset = (np.array([p[k] for p in pieces[a:b]], np.int64)[piece] for k in (0, 1))
+            parts.append((doc, offset + begin - starts[piece], end - begin, m[begin], span_hash(h, begin, end + LENGTH - 1)))
         joined = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
         self.doc, self.start, self.size, self.value, self.text = joined
 
@@ -249,6 +253,7 @@ def answer_values(table: pa.Table) -> list[bytes]:
     """For each value 0, or 1 if more than one text has it, or 2 if there are also more than HEAVY stretches around it."""
     values, notes = _read_values(table)
     every, several, stretches = _merged_values(values, notes)
+    trim()
     return _masks(values, every, (several.astype(np.uint8) + (several & (stretches > HEAVY))).astype(np.uint8))
 
 
