@@ -181,3 +181,9 @@ def test_simplify_and_hull():
     assert trajectory.simplify(np.array([(0.0, 0.0)]), 10).sum() == 1
     ring = trajectory.hull(np.array([(0, 0), (1, 0), (0, 1), (0.2, 0.2)]))
     assert tuple(ring[0]) == (0, 0) and tuple(ring[-1]) == (0, 0) and len(ring) == 4
+
+
+def test_simplify_takes_the_first_of_vertices_equally_far():
+    y = 39.00001
+    line = np.array([(116.0, 39.0), (116.003, y), (116.006, np.nextafter(y, 90)), (116.009, 39.0)])  # the third is 8e-10 m farther
+    assert trajectory.simplify(line, 1.0989).tolist() == [True, True, False, True]
