@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from .graph import arcs, shortest_paths
+from .lineage import materialised
 from .spatial import nearby_roads
 from .trajectory import headings
 
@@ -36,6 +37,11 @@ def candidates(points: DataFrame, roads: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumns({"direction_cost": g.direction_cost(F.col("road_heading"), F.col("heading"), ~F.coalesce("oneway", F.lit(False))), "prior": g.class_prior(F.col("road_class"), F.col("road_type"))})
 
 
+def _kept_candidates(points: DataFrame, roads: DataFrame, k: int) -> DataFrame:
+    """``candidates`` without what only their computation needs, stored: matching reads them several times, and each plan would hold all rings of the search again."""
+    return materialised(candidates(points, roads, k).select("trajectory_id", "point_index", "cand_rank", "road_id", "lon", "lat", "distance", "plon", "plat", "road_heading", "direction_cost", "prior"))
+
+
 def _sequence(rows: DataFrame) -> Column:
     return F.array_sort(F.collect_list(F.struct("point_index", "road_id")))
 
@@ -107,7 +113,7 @@ def _picked(cands: DataFrame, chosen: DataFrame, extra: list[str]) -> DataFrame:
 
 def match_candidate_cost(points: DataFrame, roads: DataFrame, k: int = 5, weights: tuple[float, ...] = GREEDY) -> DataFrame:
     """The cheapest candidate of each point in turn, given the one chosen before; ties to the nearer, then the smaller road."""
-    cands = candidates(points, roads, k)
+    cands = _kept_candidates(points, roads, k)
     pairs = steps(cands, roads)
     connected = F.when(F.col("prev_rank").isNull(), F.lit(0.0)).otherwise(F.coalesce("network_m", F.lit(UNREACHABLE_M)))
     cost = weights[0] * F.col("distance") + weights[1] * F.col("direction_cost") + weights[2] * connected + weights[3] * F.col("turn") + weights[4] * F.col("prior")
@@ -149,7 +155,7 @@ def match_hmm(points: DataFrame, roads: DataFrame, k: int = 5, sigma: float = 20
     The class counts in both, as emission and as transition. A trajectory with a point
     without candidates has no result.
     """
-    cands = candidates(points, roads, k)
+    cands = _kept_candidates(points, roads, k)
     pairs = steps(cands, roads)
     emission = g.emission_log(F.col("distance"), sigma) - heading_weight * F.col("direction_cost") - class_weight * F.col("prior")
     transition = F.when(F.col("prev_rank").isNotNull(), g.transition_log(F.col("network_m"), F.col("gps_m"), beta, F.col("turn"), F.col("prior")))
