@@ -187,3 +187,11 @@ def test_simplify_takes_the_first_of_vertices_equally_far():
     y = 39.00001
     line = np.array([(116.0, 39.0), (116.003, y), (116.006, np.nextafter(y, 90)), (116.009, 39.0)])  # the third is 8e-10 m farther
     assert trajectory.simplify(line, 1.0989).tolist() == [True, True, False, True]
+
+
+def test_simplify_is_the_same_by_arrays_and_by_numbers(monkeypatch):
+    rng = np.random.default_rng(3)
+    many = [np.column_stack([116 + np.arange(n) * 0.0011, 39 + rng.integers(-1000, 1000, n) * 1e-6]) for n in (2, 3, 20, 70)]
+    by_numbers = [trajectory.simplify(line, 5.0).tolist() for line in many]
+    monkeypatch.setattr(trajectory, "SHORT", 0)
+    assert [trajectory.simplify(line, 5.0).tolist() for line in many] == by_numbers
