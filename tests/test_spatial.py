@@ -37,6 +37,20 @@ def test_nearest_roads_of_few_or_none(spark):
     assert spatial.nearest_roads(points, roads.limit(0), ["place"], 5).count() == 0
 
 
+def test_nearest_roads_never_broadcast(spark, monkeypatch):
+    """Stored points compress so well that Spark takes millions of them for a few MB and sends them through the driver."""
+    plans = []
+    stored = spatial.materialised
+    monkeypatch.setattr(spatial, "materialised", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    _, roads = random_roads(spark, 40)
+    points = spark.range(200).select(F.col("id").alias("place"), (116.0 + F.col("id") * 0.0004).alias("lon"), F.lit(39.02).alias("lat"))
+    found = spatial.nearest_roads(stored(points), stored(roads), ["place"], 1)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 200
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_nearest_node(spark):
     nodes = node_table(spark, {f"n{i}": (116 + 0.01 * (i % 5), 39 + 0.01 * (i // 5)) for i in range(20)})
     points = spark.createDataFrame([(0, 116.012, 39.019), (1, 115.0, 39.0)], "place int, lon double, lat double")
