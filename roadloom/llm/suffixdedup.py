@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ASK, SPLIT, asked, first_buckets
-from .textkit import block_numbers, byte_runs, fresh, mix64, prefix_hash, row_key, span_hash, table_buckets, trim, written, written_in_buckets
+from .textkit import block_numbers, byte_runs, fresh, gram_hash, mix64, prefix_hash, row_key, span_hash, table_buckets, trim, written, written_in_buckets
 
 #: Bytes of a passage.
 LENGTH = 50
@@ -41,7 +41,7 @@ def _names(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int
     bits = max(int(x.max(initial=0)) for x in (a, b, c)).bit_length()
     if 3 * bits <= 64:
         key = (a.astype(np.uint64) << np.uint64(2 * bits)) | (b.astype(np.uint64) << np.uint64(bits)) | c.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = key[order[1:]] != key[order[:-1]]
     else:
         order = np.lexsort((c, b, a))
@@ -77,7 +77,9 @@ def difference_cover(s: np.ndarray) -> np.ndarray:
     zero, key = (x[np.argsort(key)] for x in (zero, key))
     low, high = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     before = np.searchsorted(t[low] * shift + rank[low + 1], key)
-    _, pair = np.unique(t[:n] * (t.max() + 1) + t[1 : n + 1], return_inverse=True)
+    pair, most = t[:n] * (t.max() + 1) + t[1 : n + 1], int(t.max()) + 1
+    if most * most * int(shift) >= 1 << 63:
+        pair = np.unique(pair, return_inverse=True)[1]
     before += np.searchsorted(pair[high] * shift + rank[high + 2], pair[zero] * shift + rank[zero + 2])
     out, rest = np.empty(n, np.int64), np.ones(n, bool)
     at = before + np.arange(len(zero))
@@ -107,8 +109,7 @@ class Runs:
             if n <= 0:
                 continue
             h = prefix_hash(data)
-            at = np.arange(len(data) - GRAM + 1)
-            m = span_hash(h, at, at + GRAM) & _BITS
+            m = gram_hash(h, GRAM) & _BITS
             size = 1
             while size * 2 <= WINDOW:
                 m = np.minimum(m[:-size], m[size:])
@@ -170,9 +171,19 @@ def _part(value: np.ndarray, level: int) -> np.ndarray:
 
 def _groups(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, where it is) for each bucket that is there, in the order of buckets."""
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
-    yield from zip(found.tolist(), np.split(order, first[1:]), strict=True) if len(found) else ()
+    if not len(bucket):
+        return
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by their digits
+    inside = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+    yield from zip(inside[first].tolist(), np.split(order, first[1:]), strict=True)
+
+
+def _grouped(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal values are together, and where in it each distinct one begins. Faster than a stable sort, as ``np.unique`` with indices has."""
+    order = np.argsort(value)
+    inside = value[order]
+    return order, np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]])) if len(value) else np.zeros(0, np.int64)
 
 
 def _inner(sizes: np.ndarray) -> np.ndarray:
@@ -185,7 +196,10 @@ def distinct_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tup
 
     Spans of one hash are compared byte by byte; should two differ, hashes are not used.
     """
-    _, first, inverse = np.unique(span_hash(prefix_hash(data), begin, begin + size), return_index=True, return_inverse=True)
+    order, group = _grouped(span_hash(prefix_hash(data), begin, begin + size))
+    first = np.minimum.reduceat(order, group) if len(group) else group
+    inverse = np.empty(len(begin), np.int64)
+    inverse[order] = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(order))))
     own = np.flatnonzero(first[inverse] != np.arange(len(begin)))
     for a, b in byte_runs(size[own].tolist(), _STEP):
         x = own[a:b]
@@ -208,16 +222,20 @@ def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> bytes:
 
 def _distinct_values(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The minimisers of a block, sorted, whether each is in more than one text, and how many different stretches are around it."""
-    order = np.lexsort((runs.text, runs.doc, runs.value))
-    value, doc = runs.value[order], runs.doc[order]
-    if not len(value):
-        return value, np.zeros(0, bool), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    last = np.append(first[1:], len(value)) - 1
-    order = np.lexsort((runs.text, runs.value))
-    text = runs.text[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (value[1:] != value[:-1])])
-    return value[first], doc[first] != doc[last], np.add.reduceat(new.astype(np.int64), first)
+    order, first = _grouped(runs.value)
+    if not len(order):
+        return runs.value, np.zeros(0, bool), np.zeros(0, np.int64)
+    doc, rows = runs.doc[order], np.diff(np.append(first, len(order)))
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    stretches = np.ones(len(first), np.int64)
+    repeated = np.flatnonzero(rows > 1)  # most values are there once, so only the others' stretches are sorted
+    group = np.repeat(repeated, rows[repeated])
+    text = runs.text[order[np.repeat(rows > 1, rows)]]
+    text = text[np.lexsort((text, group))]
+    again = (text[1:] == text[:-1]) & (group[1:] == group[:-1])
+    np.subtract.at(stretches, group[1:][again], 1)
+    stretches[repeated] += rows[repeated] - 1
+    return runs.value[order[first]], several, stretches
 
 
 def _send_values(value: np.ndarray, several: np.ndarray, stretches: np.ndarray) -> tuple[bytes, bytes]:
@@ -225,6 +243,21 @@ def _send_values(value: np.ndarray, several: np.ndarray, stretches: np.ndarray)
     return _planes(np.diff(value, prepend=np.uint64(0))), _planes(stretches.astype(np.uint64) * np.uint64(2) + several.astype(np.uint64))
 
 
+def _spare_bits(total: int, buckets: int) -> int:
+    """How many low bits of a minimiser need not be sent to its bucket.
+
+    What is sent has 12 bits more than a bucket has bytes of text, so one value in some
+    thousands is taken for another's. That only follows up a minimiser that one text has.
+    """
+    return max(0, int(_BITS).bit_length() - max(32, (total // max(buckets, 1)).bit_length() + 12))
+
+
+def _asked_values(texts: list[bytes], buckets: int, spare: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, values, notes): what a block asks about its minimisers."""
+    value, several, stretches = _distinct_values(Runs(texts))
+    return [(b, *_send_values(value[at] >> np.uint64(spare), several[at], stretches[at])) for b, at in _groups(_dealt(value, buckets))]
+
+
 def _read_values(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [np.cumsum(_values(p), dtype=np.uint64) for p in table["payload"].to_pylist()], [_values(e) for e in table["extra"].to_pylist()]
 
@@ -232,11 +265,10 @@ def _read_values(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
 def _merged_values(values: list[np.ndarray], notes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of several rows: each, whether more than one text has it, and its stretches in all of them."""
     every, note = np.concatenate(values), np.concatenate(notes)
-    order = np.argsort(every, kind="stable")
+    order, first = _grouped(every)
     every, note = every[order], note[order]
-    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
     rows = np.diff(np.append(first, len(every)))
-    several = (np.maximum.reduceat(note & np.uint64(1), first) > 0) | (rows > 1) if len(first) else np.zeros(0, bool)  # a row has a value once
+    several = (np.maximum.reduceat(note & np.uint64(1), first) > 0) | (rows > 1) if len(first) else np.zeros(0, bool)  # a row has a value once, but for the bits that are not sent
     return every[first], several, np.add.reduceat(note >> np.uint64(1), first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
 
 
@@ -447,7 +479,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     The texts, in blocks, are written to the shared folder once. Each string is dealt by
     its minimiser, the smallest hash of the grams in it, so equal strings meet in one
     bucket. Only minimisers that more than one document has are followed up; that they are
-    shared is found from all of them, so nothing is lost. A bucket gets the distinct
+    shared is found from all of them, by as many of their bits as a bucket needs, so nothing
+    is lost. A bucket gets the distinct
     stretches of bytes around its minimisers, each with the smallest id that a block has it
     under, however many copies there are. It sorts all suffixes of them with the
     difference-cover method, compares neighbours by their first LENGTH bytes, and answers
@@ -465,6 +498,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key") if with_spans else F.lit(None).cast("binary").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = first_buckets(total, BLOCK_BYTES, BUCKET_BYTES)
+    spare = _spare_bits(total, buckets)
     table_size = table_buckets(docs.sparkSession, -(-total // TABLE_BYTES))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,10 +508,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         block, held, ids, keys, texts = next(numbers), 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            value, several, stretches = _distinct_values(Runs(texts))
             out = [(0, block, -1, _zip(b"".join(texts)), _planes(np.array([len(t) for t in texts], np.uint64)), ids, keys if with_spans else None)]
-            for b, at in _groups(_dealt(value, buckets)):
-                out.append((1, block, b, *_send_values(value[at], several[at], stretches[at]), None, None))
+            out += [(1, block, *asks, None, None) for asks in _asked_values(texts, buckets, spare)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary())), strict=True)],
                 names=["kind", "block", "bucket", "payload", "extra", "ids", "keys"],
@@ -524,13 +556,15 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             edges = np.searchsorted(doc, np.arange(len(raw) + 1))
             for d, text in enumerate(raw):
                 a, b = edges[d], edges[d + 1]
-                gone = np.zeros(len(text) + 1, np.int32)
-                if b > a:
-                    strings = np.repeat(start[a:b], size[a:b]) + _inner(size[a:b])
-                    hit = strings[least[at[a] : at[a] + len(strings)] < ids[d]]
-                    np.add.at(gone, hit, 1)
-                    np.add.at(gone, hit + LENGTH, -1)
-                gone = np.cumsum(gone[:-1]) > 0
+                strings = np.repeat(start[a:b], size[a:b]) + _inner(size[a:b])
+                hit = strings[least[at[a] : at[a] + len(strings)] < ids[d]] if b > a else strings
+                if not len(hit):
+                    out.append([row["ids"][d], len(text), 0, 0, hashlib.sha256(text).hexdigest(), *([row["keys"][d], [], text.decode("utf-8", "replace")] if with_spans else [])])
+                    continue
+                gone = np.zeros(len(text) + 1, np.int8)  # a text has each string's start once
+                gone[hit] += 1
+                gone[hit + LENGTH] -= 1
+                gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
                 change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 data = np.frombuffer(text, np.uint8)
                 row_out = [row["ids"][d], len(text), int(gone.sum()), len(change) // 2, hashlib.sha256(data[~gone].tobytes()).hexdigest()]

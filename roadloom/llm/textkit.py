@@ -87,6 +87,13 @@ def span_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix64((h[stop] - h[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
+def gram_hash(h: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of the ``size`` bytes from each place on, without a list of places."""
+    n = max(len(h) - size, 0)
+    _, down = _POWERS.get(len(h))
+    return mix64((h[size:] - h[:n]) * down[:n] + np.uint64(size))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of words: digits, letters, everything beyond ASCII.

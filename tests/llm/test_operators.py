@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -729,3 +730,54 @@ def test_statistics_stand_alone():
 def test_isotonic():
     assert quality.isotonic(np.array([1, 1, 1, 1]), np.array([0, 1, 0, 1])).tolist() == [0, 0.5, 0.5, 1]
     assert quality.isotonic(np.array([2.0]), np.array([1.0])).tolist() == [0.5]
+
+
+def test_minimisers_of_a_block_sort_only_what_repeats(monkeypatch):
+    """Counts equal plain loops, and only rows of repeated minimisers are sorted by their stretches."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 400, dtype=np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 3000, dtype=np.uint8).tobytes() + (passage if i % 4 == 0 else b"") + rng.integers(97, 123, 500, dtype=np.uint8).tobytes() for i in range(12)] + [b"ab" * 100, b""]
+    runs = suffixdedup.Runs(texts)
+    held = {}
+    for v, d, t in zip(runs.value.tolist(), runs.doc.tolist(), runs.text.tolist(), strict=True):
+        docs, stretches = held.setdefault(v, (set(), set()))
+        docs.add(d)
+        stretches.add(t)
+    lexsort, rows = np.lexsort, []
+    monkeypatch.setattr(suffixdedup.np, "lexsort", lambda keys: rows.append(len(keys[0])) or lexsort(keys))
+    value, several, stretches = suffixdedup._distinct_values(runs)
+    assert value.tolist() == sorted(held)
+    assert several.tolist() == [len(held[v][0]) > 1 for v in sorted(held)]
+    assert stretches.tolist() == [len(held[v][1]) for v in sorted(held)]
+    assert any(several) and sum(rows) < len(runs.value) / 2
+
+
+def test_hashes_of_all_grams_equal_those_of_spans():
+    data = np.random.default_rng(6).integers(0, 256, 1000, dtype=np.uint8)
+    h = suffixdedup.prefix_hash(data)
+    for size in (1, 24, 1000, 1001):
+        at = np.arange(max(1001 - size, 0))
+        assert suffixdedup.gram_hash(h, size).tolist() == suffixdedup.span_hash(h, at, at + size).tolist()
+
+
+def test_minimisers_are_sent_with_few_bits():
+    """A bucket of 2 MB is asked in less than four bytes a minimiser, and what is shared is still found."""
+    rng = np.random.default_rng(7)
+    blocks = [[rng.integers(0, 256, 400_000, dtype=np.uint8).tobytes()] for _ in range(2)]
+    blocks[1][0] += blocks[0][0][1000:3000]
+    buckets = 4
+    spare = suffixdedup._spare_bits(buckets * suffixdedup.BUCKET_BYTES, buckets)
+    asked = [suffixdedup._asked_values(texts, buckets, spare) for texts in blocks]
+    values = [suffixdedup._distinct_values(suffixdedup.Runs(texts))[0] for texts in blocks]
+    assert sum(len(p) + len(e) for rows in asked for _, p, e in rows) < 4 * sum(map(len, values))
+    both = set(values[0].tolist()) & set(values[1].tolist())
+    told = [set(), set()]
+    for b in range(buckets):
+        rows = [next(r for r in a if r[0] == b) for a in asked]
+        answers = suffixdedup.answer_values(pa.table({"payload": [r[1] for r in rows], "extra": [r[2] for r in rows]}))
+        for k in (0, 1):
+            own = values[k][suffixdedup._dealt(values[k], buckets) == b]
+            told[k] |= set(own[np.frombuffer(suffixdedup._unzip(answers[k]), np.uint8) > 0].tolist())
+    assert len(both) > 50 and both <= told[0] & told[1]
+    assert all(len(t - both) < 50 for t in told)
+    assert suffixdedup._spare_bits(10**15, 256) == 0
