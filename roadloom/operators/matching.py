@@ -1,24 +1,26 @@
 """Map matching: candidates, nearest, greedy by cost, hidden Markov model, synthetic traces, evaluation.
 
 Candidates, network distances and all cost terms are relational and computed for all
-trajectories at once. Only the choice along one trajectory runs in Python, a group of
-points times candidates at a time.
+trajectories at once. The choice along trajectories runs in Python, in arrays, for many
+trajectories at a time.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as g
 from .graph import arcs, shortest_paths
 from .lineage import materialised
-from .spatial import nearby_roads
+from .spatial import nearby_roads, nearest_lists
 from .trajectory import headings
 
 #: Weights of distance, direction, connectivity, turn and class in the greedy cost.
@@ -37,9 +39,13 @@ def candidates(points: DataFrame, roads: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumns({"direction_cost": g.direction_cost(F.col("road_heading"), F.col("heading"), ~F.coalesce("oneway", F.lit(False))), "prior": g.class_prior(F.col("road_class"), F.col("road_type"))})
 
 
-def _kept_candidates(points: DataFrame, roads: DataFrame, k: int) -> DataFrame:
-    """``candidates`` without what only their computation needs, stored: matching reads them several times, and each plan would hold all rings of the search again."""
-    return materialised(candidates(points, roads, k).select("trajectory_id", "point_index", "cand_rank", "road_id", "lon", "lat", "distance", "plon", "plat", "road_heading", "direction_cost", "prior"))
+def _candidate_lists(points: DataFrame, roads: DataFrame, k: int) -> DataFrame:
+    """One row a point that has candidates, stored: trajectory_id, point_index, lon, lat, heading, points, how many its trajectory has, and near, its ``candidates`` in columns that matching reads."""
+    every = F.count(F.lit(1)).over(Window.partitionBy("trajectory_id"))
+    rows = headings(points).withColumn("points", every).where("trajectory_id is not null and point_index is not null")
+    about = {"road_heading": g.bearing(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), "two_way": ~F.coalesce("oneway", F.lit(False)), "prior": g.class_prior(F.col("road_class"), F.col("road_type"))}
+    lists = nearest_lists(rows.select("trajectory_id", "point_index", "lon", "lat", "heading", "points"), roads, k, about=about)
+    return lists.where(F.size("near") > 0)
 
 
 def _sequence(rows: DataFrame) -> Column:
@@ -99,54 +105,181 @@ def steps(cands: DataFrame, roads: DataFrame, max_cost: float | None = None) ->
     ).drop("_plon", "_plat")
 
 
-def _layers(group: pd.DataFrame) -> list[pd.DataFrame]:
-    return [layer for _, layer in group.sort_values(["point_index", "cand_rank", "prev_rank"], na_position="first").groupby("point_index", sort=True)]
+def _with_moves(lists: DataFrame, roads: DataFrame) -> DataFrame:
+    """``lists`` with gps_m, the distance from the point before, and moves: for each candidate there the ``network_m`` to each one here, a row after the other.
 
+    -1 stands for one road, null for no way; both columns are null at a first point. Ways
+    are looked up once for all steps between the same two lists of roads.
+    """
+    order = Window.partitionBy("trajectory_id").orderBy("point_index")
+    ids = F.transform("near", lambda c: c["road_id"])
+    marked = lists.withColumn("ids", ids)
+    marked = marked.withColumns({"prev_ids": F.lag("ids").over(order), "gps_m": g.haversine(F.lag("lon").over(order), F.lag("lat").over(order), F.col("lon"), F.col("lat"))})
+    steps_between = materialised(marked.where("prev_ids is not null").select("prev_ids", "ids").distinct())
+    one = steps_between.select("*", F.posexplode("prev_ids").alias("i", "prev_road")).select("*", F.posexplode("ids").alias("j", "road"))
+    net = network_distances(roads, one.select("prev_road", "road"))
+    found = one.join(net, ["prev_road", "road"], "left")
+    metres = F.when(F.col("prev_road") == F.col("road"), F.lit(-1.0)).otherwise(F.col("network_m"))
+    in_order = F.array_sort(F.collect_list(F.struct("i", "j", metres.alias("m"))))
+    moves = materialised(found.groupBy("prev_ids", "ids").agg(in_order.alias("m")).select("prev_ids", "ids", F.transform("m", lambda x: x["m"]).alias("moves")))
+    return marked.join(moves.hint("merge"), ["prev_ids", "ids"], "left").drop("prev_ids", "ids")
+
+
+class _Steps(NamedTuple):
+    """Whole trajectories one after the other, a row a point; candidates are padded to the longest list."""
+
+    first: np.ndarray
+    size: np.ndarray
+    offsets: np.ndarray
+    valid: np.ndarray
+    distance: np.ndarray
+    direction: np.ndarray
+    prior: np.ndarray
+    network: np.ndarray
+    gps: np.ndarray
+    turn: np.ndarray
+
+    def layers(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Step by step, the trajectories that go on, longest first, and their points."""
+        longest = np.argsort(-self.size, kind="stable")
+        ordered = -self.size[longest]
+        for t in range(int(self.size.max(initial=0))):
+            going = longest[: np.searchsorted(ordered, -t, "left")]
+            yield going, self.first[going] + t
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(np.mod(a - b + 180.0, 360.0) - 180.0)
+
+
+def _steps_of(rows: pa.Table) -> _Steps:
+    """The numbers of ``_with_moves``, sorted by trajectory and point, in arrays."""
+    ids = rows["trajectory_id"].combine_chunks()
+    changes = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(ids) > 1 else np.array([], np.int64)
+    first = np.concatenate([[0], changes]).astype(np.int64)
+    size = np.diff(np.append(first, len(ids)))
+    near = rows["near"].combine_chunks()
+    flat = near.flatten()
+    n = pc.list_value_length(near).to_numpy().astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    most = int(n.max(initial=1))
+    row, place = np.repeat(np.arange(len(n)), n), np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+
+    def padded(name: str) -> np.ndarray:
+        out = np.zeros((len(n), most))
+        out[row, place] = flat.field(name).to_numpy(zero_copy_only=False)
+        return out
+
+    valid, heading, travel = np.zeros((len(n), most), bool), padded("road_heading"), rows["heading"].to_numpy()[:, None]
+    valid[row, place] = True
+    ahead, back = _angle(heading, travel), _angle(np.mod(heading + 180.0, 360.0), travel)
+    direction = np.where(np.isnan(travel), 0.0, np.where(padded("two_way") > 0, np.minimum(ahead, back), ahead) / 180.0)
+    lists = rows["moves"].combine_chunks()
+    metres = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    began = np.zeros(len(n), bool)
+    began[first] = True
+    here, before = np.where(began, 0, n), np.where(began, 0, np.concatenate([[0], n[:-1]]))
+    pairs = here * before
+    at = np.repeat(np.arange(len(n)), pairs)
+    rank = np.arange(len(at)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    network = np.full((len(n), most, most), np.nan)
+    network[at, rank // np.maximum(here[at], 1), rank % np.maximum(here[at], 1)] = metres
+    same = network == -1.0
+    network[same] = 0.0
+    turn = np.zeros_like(network)
+    turn[1:] = _angle(heading[:-1, :, None], heading[1:, None, :]) / 180.0
+    turn[same] = 0.0
+    return _Steps(first, size, offsets, valid, padded("distance"), direction, padded("prior"), network, rows["gps_m"].to_numpy(), turn)
+
+
+def _along(points: DataFrame, moves: DataFrame, choose: Callable[[_Steps], tuple[np.ndarray, np.ndarray]], whole: bool) -> DataFrame:
+    """(trajectory_id, point_index, road_id, distance, plon, plat, direction_cost, prior, total_cost) of the candidate that ``choose`` takes at each point.
+
+    ``choose`` gives its place and cost for many trajectories at once, those of a batch of
+    rows; one that goes on in the next batch waits for it. With ``whole`` trajectories with
+    a point without candidates are left out.
+    """
+    kind, index = (points.schema[c].dataType.simpleString() for c in ("trajectory_id", "point_index"))
+    schema = f"trajectory_id {kind}, point_index {index}, road_id string, distance double, plon double, plat double, direction_cost double, prior double, total_cost double"
+
+    def chosen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        steps = _steps_of(rows)
+        place, cost = choose(steps)
+        kept = np.arange(rows.num_rows)
+        if whole:
+            full = steps.size == rows["points"].to_numpy()[steps.first]
+            kept = kept[np.repeat(full, steps.size)]
+        at = steps.offsets[:-1] + place
+        flat, take = rows["near"].combine_chunks().flatten(), pa.array(at[kept])
+        columns = [rows[c].take(pa.array(kept)).combine_chunks() for c in ("trajectory_id", "point_index")] + [flat.field(c).take(take) for c in ("road_id", "distance", "plon", "plat")]
+        columns += [pa.array(steps.direction[kept, place[kept]]), flat.field("prior").take(take), pa.array(cost[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["trajectory_id", "point_index", "road_id", "distance", "plon", "plat", "direction_cost", "prior", "total_cost"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch.column("trajectory_id")
+            if not len(ids):
+                continue
+            last = pc.index(pc.equal(ids, ids[-1]), True).as_py()  # where the trajectory begins that may go on
+            if last or (waiting and waiting[-1].column("trajectory_id")[-1] != ids[0]):
+                ended = [*waiting, *([batch.slice(0, last)] if last else [])]
+                yield from chosen(pa.Table.from_batches(ended))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield from chosen(pa.Table.from_batches(waiting))
+
+    return moves.repartition("trajectory_id").sortWithinPartitions("trajectory_id", "point_index").mapInArrow(run, schema)
 
-def _along(pairs: DataFrame, columns: list[str], choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return pairs.select("trajectory_id", "point_index", "cand_rank", "prev_rank", *columns).groupBy("trajectory_id").applyInPandas(choose, schema)
 
+def match_candidate_cost(points: DataFrame, roads: DataFrame, k: int = 5, weights: tuple[float, ...] = GREEDY) -> DataFrame:
+    """The cheapest candidate of each point in turn, given the one chosen before; ties to the nearer, then the smaller road."""
 
-def _picked(cands: DataFrame, chosen: DataFrame, extra: list[str]) -> DataFrame:
-    return cands.join(chosen, ["trajectory_id", "point_index", "cand_rank"]).select("trajectory_id", "point_index", "road_id", "distance", "plon", "plat", *extra)
+    def choose(s: _Steps) -> tuple[np.ndarray, np.ndarray]:
+        place, cost = np.zeros(len(s.valid), np.int64), np.zeros(len(s.valid))
+        for t, (_, at) in enumerate(s.layers()):
+            connected = turn = 0.0
+            if t:
+                before = place[at - 1]
+                connected, turn = s.network[at, before], s.turn[at, before]
+                connected = np.where(np.isnan(connected), UNREACHABLE_M, connected)
+            total = weights[0] * s.distance[at] + weights[1] * s.direction[at] + weights[2] * connected + weights[3] * turn + weights[4] * s.prior[at]
+            total = np.where(s.valid[at], total, np.inf)
+            place[at] = np.argmin(np.round(total, TIE_DIGITS), axis=1)
+            cost[at] = total[np.arange(len(at)), place[at]]
+        return place, cost
 
+    rows = _along(points, _with_moves(_candidate_lists(points, roads, k), roads), choose, whole=False)
+    return rows.select("trajectory_id", "point_index", "road_id", "distance", "plon", "plat", "total_cost")
 
-def match_candidate_cost(points: DataFrame, roads: DataFrame, k: int = 5, weights: tuple[float, ...] = GREEDY) -> DataFrame:
-    """The cheapest candidate of each point in turn, given the one chosen before; ties to the nearer, then the smaller road."""
-    cands = _kept_candidates(points, roads, k)
-    pairs = steps(cands, roads)
-    connected = F.when(F.col("prev_rank").isNull(), F.lit(0.0)).otherwise(F.coalesce("network_m", F.lit(UNREACHABLE_M)))
-    cost = weights[0] * F.col("distance") + weights[1] * F.col("direction_cost") + weights[2] * connected + weights[3] * F.col("turn") + weights[4] * F.col("prior")
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for layer in _layers(group):
-            rows = layer if last is None else layer[layer["prev_rank"] == last]
-            best = rows.loc[rows["total_cost"].round(TIE_DIGITS).idxmin()]
-            last = int(best["cand_rank"])
-            out.append((best["trajectory_id"], int(best["point_index"]), last, float(best["total_cost"])))
-        return pd.DataFrame(out, columns=["trajectory_id", "point_index", "cand_rank", "total_cost"])
-
-    kind = points.schema["trajectory_id"].dataType.simpleString()
-    index = points.schema["point_index"].dataType.simpleString()
-    chosen = _along(pairs.withColumn("total_cost", cost), ["total_cost"], choose, f"trajectory_id {kind}, point_index {index}, cand_rank int, total_cost double")
-    return _picked(cands, chosen, ["total_cost"])
+
+def _viterbi(layers: list[np.ndarray], emission: np.ndarray, transition: np.ndarray, states: np.ndarray) -> None:
+    """Writes to ``states`` the most likely state of each row. ``layers`` are rows of sequences step by step, each of some that the layer before had first; ``transition`` (row, previous, current) belongs to a row and the one before it.
+
+    Ties, to TIE_DIGITS places, go to the first state.
+    """
+    score, parents = emission.copy(), np.zeros(emission.shape, np.int32)
+    for at in layers[1:]:
+        total = score[at - 1][:, :, None] + transition[at]
+        parents[at] = parent = np.argmax(np.round(total, TIE_DIGITS), axis=1)
+        score[at] = np.take_along_axis(total, parent[:, None, :], axis=1)[:, 0, :] + emission[at]
+    for at, after in zip(layers[::-1], [layers[0][:0], *layers[:0:-1]], strict=True):
+        going, ended = at[: len(after)], at[len(after) :]
+        states[going] = parents[after, states[after]]
+        states[ended] = np.argmax(np.round(score[ended], TIE_DIGITS), axis=1)
 
 
 def viterbi(emission: list[np.ndarray], transition: list[np.ndarray]) -> list[int]:
     """The most likely state of each layer; ``transition[t]`` scores (previous, current). Ties, to TIE_DIGITS places, go to the first state."""
-    score, parents = emission[0], []
-    for e, t in zip(emission[1:], transition, strict=True):
-        total = score[:, None] + t
-        parent = np.argmax(np.round(total, TIE_DIGITS), axis=0)
-        parents.append(parent)
-        score = total[parent, np.arange(len(e))] + e
-    state = int(np.argmax(np.round(score, TIE_DIGITS)))
-    states = [state]
-    for parent in reversed(parents):
-        state = int(parent[state])
-        states.append(state)
-    return states[::-1]
+    n, most = len(emission), max(map(len, emission))
+    e, t, states = np.full((n, most), -np.inf), np.zeros((n, most, most)), np.zeros(n, np.int64)
+    for i, row in enumerate(emission):
+        e[i, : len(row)] = row
+    for i, row in enumerate(transition, 1):
+        t[i, : row.shape[0], : row.shape[1]] = row
+    _viterbi([np.array([i]) for i in range(n)], e, t, states)
+    return states.tolist()
 
 
 def match_hmm(points: DataFrame, roads: DataFrame, k: int = 5, sigma: float = 20.0, beta: float = 50.0, heading_weight: float = 4.0, class_weight: float = 0.4) -> DataFrame:
@@ -155,30 +288,18 @@ def match_hmm(points: DataFrame, roads: DataFrame, k: int = 5, sigma: float = 20
     The class counts in both, as emission and as transition. A trajectory with a point
     without candidates has no result.
     """
-    cands = _kept_candidates(points, roads, k)
-    pairs = steps(cands, roads)
-    emission = g.emission_log(F.col("distance"), sigma) - heading_weight * F.col("direction_cost") - class_weight * F.col("prior")
-    transition = F.when(F.col("prev_rank").isNotNull(), g.transition_log(F.col("network_m"), F.col("gps_m"), beta, F.col("turn"), F.col("prior")))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        emissions, transitions, index, ranks = [], [], [], []
-        for layer in _layers(group):
-            now = layer.drop_duplicates("cand_rank").sort_values("cand_rank")
-            emissions.append(now["emission"].to_numpy())
-            ranks.append(now["cand_rank"].to_numpy())
-            index.append(now["point_index"].iloc[0])
-            if layer["prev_rank"].notna().any():
-                transitions.append(layer.pivot(index="prev_rank", columns="cand_rank", values="transition").sort_index().to_numpy())
-        states = viterbi(emissions, transitions)
-        return pd.DataFrame({"trajectory_id": group["trajectory_id"].iloc[0], "point_index": index, "cand_rank": [int(r[s]) for r, s in zip(ranks, states, strict=True)]})
-
-    kind = points.schema["trajectory_id"].dataType.simpleString()
-    index = points.schema["point_index"].dataType.simpleString()
-    complete = points.groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n")).join(cands.where("cand_rank = 1").groupBy("trajectory_id").agg(F.count(F.lit(1)).alias("n")), ["trajectory_id", "n"], "left_semi")
-    pairs = pairs.withColumns({"emission": emission, "transition": transition}).join(complete.select("trajectory_id"), "trajectory_id", "left_semi")
-    chosen = _along(pairs, ["emission", "transition"], choose, f"trajectory_id {kind}, point_index {index}, cand_rank int")
-    scored = cands.withColumns({"emission_prob": F.round(g.emission_score(F.col("distance"), sigma), 4), "heading_cost": F.round("direction_cost", 4), "road_class_prior": F.round("prior", 4)})
-    return _picked(scored, chosen, ["emission_prob", "heading_cost", "road_class_prior"])
+
+    def choose(s: _Steps) -> tuple[np.ndarray, np.ndarray]:
+        emission = -0.5 * np.square(s.distance / max(sigma, 1.0)) - heading_weight * s.direction - class_weight * s.prior
+        emission = np.where(s.valid, emission, -np.inf)
+        move = -np.abs(s.network - s.gps[:, None, None]) / max(beta, 1.0) - 1.5 * s.turn - 0.5 * s.prior[:, None, :]
+        states = np.zeros(len(emission), np.int64)
+        _viterbi([at for _, at in s.layers()], emission, np.where(np.isnan(s.network), -1e6, move), states)
+        return states, np.zeros(len(emission))
+
+    rows = _along(points, _with_moves(_candidate_lists(points, roads, k), roads), choose, whole=True)
+    scored = {"emission_prob": F.round(g.emission_score(F.col("distance"), sigma), 4), "heading_cost": F.round("direction_cost", 4), "road_class_prior": F.round("prior", 4)}
+    return rows.select("trajectory_id", "point_index", "road_id", "distance", "plon", "plat", *[c.alias(name) for name, c in scored.items()])
 
 
 def _uniform(seed: int, *what: Column | str | int) -> Column:

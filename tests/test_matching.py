@@ -73,6 +73,45 @@ def test_hmm_is_the_best_sequence(spark, town):
     assert {"emission_prob", "heading_cost", "road_class_prior"} <= set(rows[0].asDict())
 
 
+@pytest.fixture(scope="module")
+def drives(spark, town):
+    """Trajectories of 1 to 12 points on the town's roads, one with a point that is nowhere, and the candidates' pairs of each."""
+    rng = np.random.default_rng(4)
+    rows = [(f"d{n:02d}", i, float(x), float(y)) for n in range(12) for i, (x, y) in enumerate(np.array(TRACE[0]) + np.cumsum(rng.normal(0.001, 0.002, (n + 1, 2)), axis=0))]
+    rows += [("gap", 0, *TRACE[0]), ("gap", 1, None, None), ("gap", 2, *TRACE[2])]
+    points = matching.trace_rows(spark, rows)
+    pairs: dict = {}
+    for r in matching.steps(matching.candidates(points, town[1], 3), town[1]).collect():
+        pairs.setdefault(r["trajectory_id"], {}).setdefault(r["point_index"], []).append(r)
+    return spark.createDataFrame(points.collect(), points.schema), pairs
+
+
+def _chosen(spark, query, points, roads, name):
+    """What a query of whole trajectories finds, its rows handed over seven at a time; no row of Python's input may be a pair of candidates."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = query(points, roads, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan and "prev_rank" not in plan
+        return {(r["trajectory_id"], r["point_index"]): r[name] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_greedy_of_many_drives_at_once(spark, town, drives):
+    points, pairs = drives
+    got = _chosen(spark, matching.match_candidate_cost, points, town[1], "total_cost")
+    want = {}
+    for name, layers in pairs.items():
+        last = None
+        for i in sorted(layers):
+            cost = lambda r: r["distance"] + 30 * r["direction_cost"] + 0.02 * ((1e6 if r["network_m"] is None else r["network_m"]) if r["prev_rank"] else 0) + 25 * r["turn"] + 12 * r["prior"]
+            best = min((r for r in layers[i] if last is None or r["prev_rank"] == last), key=lambda r: (round(cost(r), 9), r["cand_rank"]))
+            last, want[name, i] = best["cand_rank"], cost(best)
+    assert got.keys() == want.keys() and len(want) == 80
+    assert [got[k] for k in want] == pytest.approx(list(want.values()))
+
+
 def test_evaluation(spark):
     sequences = spark.createDataFrame([("a", ["x", "y", "z"], 0.5), ("b", ["x"], 0.1)], "trajectory_id string, matched_road_sequence array<string>, confidence double")
     truth = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["x"]), ("c", ["q"])], "trajectory_id string, roads array<string>")

@@ -51,6 +51,28 @@ def test_nearest_roads_never_broadcast(spark, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_points_of_one_cell_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SHARE", 20, raising=False)
+    folders = []
+    stored = spatial.materialised
+    monkeypatch.setattr(spatial, "materialised", lambda df: folders.append(stored(df)) or folders[-1])
+    rows, roads = random_roads(spark, 40)
+    rng = np.random.default_rng(9)
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.array([116.02, 39.02]) + rng.uniform(0.0005, 0.0095, (300, 2)))]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = spatial.nearest_roads(spark.createDataFrame(places, "place int, lon double, lat double"), roads, ["place"], 3)
+        tasks = max(df.select(F.input_file_name()).distinct().count() for df in folders if "place" in df.columns)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["place"], []).append((r["cand_rank"], r["road_id"]))
+    assert len(got) == 300 and tasks > 1
+    for place, x, y in places:
+        assert [g[1] for g in sorted(got[place])] == [i for _, i in sorted((round(_distance((x, y), line), 6), i) for i, _, _, line in rows)[:3]]
+
+
 def test_nearest_node(spark):
     nodes = node_table(spark, {f"n{i}": (116 + 0.01 * (i % 5), 39 + 0.01 * (i // 5)) for i in range(20)})
     points = spark.createDataFrame([(0, 116.012, 39.019), (1, 115.0, 39.0)], "place int, lon double, lat double")
