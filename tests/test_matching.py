@@ -112,6 +112,27 @@ def test_greedy_of_many_drives_at_once(spark, town, drives):
     assert [got[k] for k in want] == pytest.approx(list(want.values()))
 
 
+def test_hmm_of_many_drives_at_once(spark, town, drives):
+    points, pairs = drives
+    got = _chosen(spark, matching.match_hmm, points, town[1], "road_id")
+    want = {}
+    for name, layers in pairs.items():
+        if name == "gap":  # a point without candidates
+            continue
+        best: dict = {}
+        for i in sorted(layers):
+            new: dict = {}
+            for r in layers[i]:
+                emission = -0.5 * (r["distance"] / 20) ** 2 - 4 * r["direction_cost"] - 0.4 * r["prior"]
+                move = 0.0 if r["prev_rank"] is None else -1e6 if r["network_m"] is None else -abs(r["network_m"] - r["gps_m"]) / 50 - 1.5 * r["turn"] - 0.5 * r["prior"]
+                before = (0.0, []) if r["prev_rank"] is None else best[r["prev_rank"]]
+                new.setdefault(r["cand_rank"], []).append((-round(before[0] + move, 9), r["prev_rank"] or 0, before[0] + move + emission, [*before[1], r["road_id"]]))
+            best = {rank: min(ways)[2:] for rank, ways in new.items()}
+        roads = min((-round(score, 9), rank, way) for rank, (score, way) in best.items())[2]
+        want |= {(name, i): road for i, road in zip(sorted(layers), roads, strict=True)}
+    assert got == want and len(want) == 78
+
+
 def test_evaluation(spark):
     sequences = spark.createDataFrame([("a", ["x", "y", "z"], 0.5), ("b", ["x"], 0.1)], "trajectory_id string, matched_road_sequence array<string>, confidence double")
     truth = spark.createDataFrame([("a", ["x", "x", "y"]), ("b", ["x"]), ("c", ["q"])], "trajectory_id string, roads array<string>")
